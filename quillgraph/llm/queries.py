@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import crosssplit, cutting, encoding, packing, splits
+from quillgraph.llm import crosssplit, cutting, encoding, neighbours, packing, replies, splits, subjects
 from quillgraph.runtime import Scratch, table
 
 
@@ -33,6 +33,22 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosssplit.report(_overlaps(spark, sf_dir), table(spark, sf_dir, "sft_pairs"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies.defects(table(spark, sf_dir, "training_records"), table(spark, sf_dir, "answers"), Scratch(spark, "p3"))
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_found(spark, sf_dir).groupBy("tbl", "defect").agg(F.count("*").alias("n"))
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(neighbours.usable(table(spark, sf_dir, "notes")), Scratch(spark, "p4"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(p4_neighbours(spark, sf_dir), 0.75)
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutting.pieces(table(spark, sf_dir, "resources"))
 
@@ -64,7 +80,22 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, subject, share)``."""
+    return subjects.subject_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), Scratch(spark, "p8"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source, cleaned lang and subject."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring(F.lower(F.trim("lang")), 1, 2).alias("lang"))
+    return p8_found(spark, sf_dir).join(docs, "doc_id").groupBy("source", "lang", "subject").agg(F.count("*").alias("documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p2_report, p5_found, p5_pieces, p6_ids, p6_roundtrip, p7_containers, p7_fill)
+    for f in (p1_found, p1_splits, p2_found, p2_report, p3_found, p3_counts, p4_found, p4_neighbours, p5_found, p5_pieces, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_shares, p8_composition)
 }
