@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from quillgraph.runtime import Scratch
 
 DIM, K = 128, 5
-BOOKS, WORDS, BEAM = 16, 256, 4
+BOOKS, WORDS, BEAM = 32, 256, 4
 SAMPLE = 16_384
-RERANK = 48
+RERANK = 32
 BLOCK = 8192
 CELL = 1500
 MOST_CELLS = 1024
-REACH = 0.985
+REACH = 0.99
 
 
 def usable(notes: DataFrame, dim: int = DIM, id_col: str = "id") -> DataFrame:
