@@ -39,6 +39,8 @@ BLOCK = 8192
 CELL = 1500
 MOST_CELLS = 1024
 REACH = 0.99
+#: Fixed point of the tables, and the queries and codes scored together.
+FIXED, QUERIES, STRIP = 6000, 256, 512
 
 
 def usable(notes: DataFrame, dim: int = DIM, id_col: str = "id") -> DataFrame:
@@ -106,11 +108,11 @@ class Quantiser:
         place = np.empty_like(self.order)
         np.put_along_axis(place, self.order, np.arange(len(self.cells))[None, :].repeat(len(self.cells), 0), axis=1)
         seen = []
-        for i in range(0, min(len(x), 4096), 1024):
-            s = x[i : i + 1024] @ x.T
+        for i in range(0, min(len(x), 4096), 512):
+            s = x[i : i + 512] @ x.T
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
             top = np.argpartition(-s, min(K, len(x) - 1) - 1, axis=1)[:, : min(K, len(x) - 1)]
-            seen.append(place[cell[i : i + 1024][:, None], cell[top]].ravel())
+            seen.append(place[cell[i : i + 512][:, None], cell[top]].ravel())
         return int(np.quantile(np.concatenate(seen), REACH)) + 1
 
     def cell(self, x: np.ndarray) -> np.ndarray:
@@ -141,16 +143,55 @@ class Quantiser:
         return np.concatenate(out), np.concatenate(norms).astype(np.float32)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Products of each codeword with each query, (BOOKS, words, queries)."""
-        return np.einsum("bwd,qd->bwq", self.books, q.astype(np.float32), optimize=True)
-
-    @staticmethod
-    def score(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Approximate cosines, (codes, queries), by table lookup."""
-        s = tables[0][codes[:, 0]]
-        for b in range(1, len(tables)):
-            s += tables[b][codes[:, b]]
-        return s / np.maximum(norms, 1e-6)[:, None]
+        """Products of each codeword with each query in fixed point, (BOOKS, words, queries)."""
+        flat = self.books.reshape(-1, self.books.shape[2])
+        t = np.clip(np.rint((flat @ q.T.astype(np.float32)) * np.float32(FIXED)), -32_000, 32_000).astype(np.int16, order="C")
+        return t.reshape(len(self.books), -1, len(q))
+
+
+def table_scores(tables: np.ndarray, codes: np.ndarray, scale: np.ndarray, sums: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Approximate cosines, (codes, queries): sums of looked-up products over stored norms.
+
+    codes are (BOOKS, n); sums and spare are buffers of at least n rows, small enough for the cache.
+    """
+    n = codes.shape[1]
+    s, t = sums[:n], spare[:n]
+    np.take(tables[0], codes[0], axis=0, out=s, mode="clip")
+    for b in range(1, len(tables)):
+        np.take(tables[b], codes[b], axis=0, out=t, mode="clip")
+        s += t
+    return s * scale[:, None]
+
+
+class Best:
+    """The best candidates of each query so far, and the score a new one must exceed."""
+
+    def __init__(self, queries: int, keep: int):
+        self.keep, self.bar = keep, np.full(queries, -np.inf, np.float32)
+        self.parts, self.n, self.room = [], 0, 4 * keep * queries
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        r, q = np.nonzero(scores > self.bar[None, :])
+        if len(r):
+            self.parts.append((q, scores[r, q], ids[r]))
+            self.n += len(r)
+            if self.n > self.room:
+                self.settle()
+
+    def settle(self):
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q, s, c = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((c, -s, q))
+        q, s, c = q[order], s[order], c[order]
+        first = np.searchsorted(q, q, "left")
+        nth = np.arange(len(q)) - first
+        full = nth == self.keep - 1
+        self.bar[q[full]] = s[full]
+        top = nth < self.keep
+        self.parts, self.n = [(q[top], s[top], c[top])], int(top.sum())
+        self.room = max(4 * self.n, 1)
+        return q[top], c[top]
 
 
 def _encode_batches(model: Quantiser, dim: int):
@@ -182,28 +223,27 @@ def _search(model: Quantiser, rerank: int):
             return pd.DataFrame({"q": pd.Series([], dtype="int64"), "c": pd.Series([], dtype="int64")})
         q = np.frombuffer(b"".join(queries["x"]), np.float32).reshape(len(queries), -1)
         qid = queries["c"].to_numpy()
+        stored = []
+        for cs, codes, norms in zip(blocks["cs"], blocks["codes"], blocks["norms"]):
+            cs = np.frombuffer(cs, np.int64)
+            codes = np.frombuffer(codes, np.uint8).reshape(len(cs), -1)
+            scale = 1 / (FIXED * np.maximum(np.frombuffer(norms, np.float32), 1e-6))
+            stored.append((cs, np.ascontiguousarray(codes.T), scale.astype(np.float32)))
         out_q, out_c = [], []
-        for i in range(0, len(q), 256):
-            tables = model.tables(q[i : i + 256])
-            own = qid[i : i + 256]
-            best = np.full((len(own), 0), 0, np.float32)
-            ids = np.full((len(own), 0), 0, np.int64)
-            for cs, codes, norms in zip(blocks["cs"], blocks["codes"], blocks["norms"]):
-                cs = np.frombuffer(cs, np.int64)
-                s = model.score(tables, np.frombuffer(codes, np.uint8).reshape(len(cs), -1), np.frombuffer(norms, np.float32)).T
-                s[cs[None, :] == own[:, None]] = -9
-                if s.shape[1] > rerank:
-                    part = np.argpartition(-s, rerank - 1, axis=1)[:, :rerank]
-                    s, new = np.take_along_axis(s, part, axis=1), cs[part]
-                else:
-                    new = np.broadcast_to(cs, s.shape)
-                best, ids = np.concatenate([best, s], axis=1), np.concatenate([ids, new], axis=1)
-                if best.shape[1] > rerank:
-                    part = np.argpartition(-best, rerank - 1, axis=1)[:, :rerank]
-                    best, ids = np.take_along_axis(best, part, axis=1), np.take_along_axis(ids, part, axis=1)
-            r, col = np.nonzero(best > -5)
-            out_q.append(own[r])
-            out_c.append(ids[r, col])
+        sums, spare = np.empty((STRIP, QUERIES), np.int16), np.empty((STRIP, QUERIES), np.int16)
+        for i in range(0, len(q), QUERIES):
+            tables = model.tables(q[i : i + QUERIES])
+            own = qid[i : i + QUERIES]
+            best = Best(len(own), rerank + 1)  # one more, for the query itself
+            a, b = np.ascontiguousarray(sums[:, : len(own)]), np.ascontiguousarray(spare[:, : len(own)])
+            for cs, codes, scale in stored:
+                for j in range(0, len(cs), STRIP):
+                    strip = codes[:, j : j + STRIP].astype(np.intp)
+                    best.add(table_scores(tables, strip, scale[j : j + STRIP], a, b), cs[j : j + STRIP])
+            at, c = best.settle()
+            other = own[at] != c
+            out_q.append(own[at[other]])
+            out_c.append(c[other])
         return pd.DataFrame({"q": np.concatenate(out_q), "c": np.concatenate(out_c)})
 
     return run
