@@ -6,7 +6,7 @@ candidates, the longest common subsequence decides: at least 65 % of the longer
 
 The join is an exact prefix filter with respect to the shingle share. All shingles have one global
 order, rarest first. Where two sets share t of n shingles, their prefixes of n - t + L shingles share
-at least L of them, so counting L common prefix shingles loses no pair.
+at least L of them (L <= t), so asking for L common prefix shingles loses no pair.
 
 Defined results: a repeated pair_id counts once; null splits, null messages and texts without a word
 take no part; identical word sequences are one class and joined once, then unfolded into their pairs;
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from quillgraph.runtime import Scratch
 
 LEAST = 0.65
-SHARE = 0.2
+SHARE = 0.25
 WIDTH = 5
 #: Texts up to SHORT words are also indexed by single words; above LONG_FROM words by shingles.
 SHORT, LONG_FROM = 30, 19
-COMMON = 3
+#: Common prefix shingles that a candidate must show (fewer where a text's own share is smaller).
+COMMON = 6
 BUCKETS = 1 << 19
 
 _WORD = re.compile(r"[^\W_]+")
@@ -141,9 +142,9 @@ def _prefix_batches(table: np.ndarray):
             for c, n, text in zip(cid, n_of, norm):
                 for kind, g in shingles(text.split(" "), memo):
                     order = np.lexsort((g, table[(g % BUCKETS).astype(np.int64)]))
-                    share, common = (LEAST, 1) if kind else (SHARE, COMMON)
                     size = len(g)
-                    p = min(size, size - int(np.ceil(share * size - 1e-9)) + common)
+                    part = int(np.ceil((LEAST if kind else SHARE) * size - 1e-9))
+                    p = min(size, size - part + (1 if kind else min(COMMON, part)))
                     g = g[order[:p]]
                     for col, v in zip(cols, (np.full(p, c), np.full(p, n), np.full(p, kind), np.full(p, size), np.arange(p), g.view(np.int64))):
                         col.append(v)
@@ -199,8 +200,8 @@ def overlaps(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     )
     near = (
         met.groupBy(F.col("cid_a").alias("ca"), F.col("cid_b").alias("cb"), "kind_a")
-        .agg(F.count("*").alias("c"))
-        .where((F.col("kind_a") == 1) | (F.col("c") >= COMMON))
+        .agg(F.count("*").alias("c"), F.min(F.least("size_a", "size_b")).alias("size"))
+        .where((F.col("kind_a") == 1) | (F.col("c") >= F.least(F.lit(COMMON), F.ceil(SHARE * F.col("size") - 1e-9))))
         .select("ca", "cb")
         .distinct()
     )
