@@ -1,4 +1,543 @@
 """The core queries by name, with their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillgraph.functions import text as T
+from quillgraph.operators import checks, graph, search
+from quillgraph.operators import resolve as R
+from quillgraph.plans import vault
+from quillgraph.runtime import Scratch, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+TODAY = "2026-01-01"
+QUESTION = "which telescope isolates the molecule"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _vault(sql: str) -> str:
+    return vault.SQL + sql
+
+
+def _graph(spark, d):
+    n = Scratch(spark, "vault").keep(vault.notes(spark, d))
+    return n, vault.edges(n)
+
+
+# --- full text and fusion
+
+_TOK = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_BM25 = rf"""
+WITH t AS (SELECT doc_id AS id, {_TOK} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS al FROM t),
+q AS (SELECT unnest(['which','telescope','isolates','the','molecule']) AS term),
+tf AS (SELECT id, term, len(list_filter(w, lambda x: x = term)) AS tf, len(w) AS dl FROM t CROSS JOIN q),
+df AS (SELECT term, count(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY term),
+bm AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))), 6) AS score
+       FROM tf JOIN df USING (term) CROSS JOIN s WHERE tf > 0 GROUP BY id)
+"""
+
+
+@query(_BM25 + "SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 10")
+def bm25_search(spark, d):
+    return search.bm25(table(spark, d, "documents"), QUESTION, 10, "doc_id")
+
+
+_COS = """, e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+sim AS (SELECT a.id AS query, b.id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 20 = 0),
+knn AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sim QUALIFY rank <= 5)
+"""
+
+
+def _knn(spark, d, k=5):
+    e = table(spark, d, "embeddings")
+    return search.nearest(e.where("vec_id % 20 = 0"), e, k)
+
+
+@query("WITH x AS (SELECT 1)" + _COS + "SELECT query, id, score, rank FROM knn")
+def knn_similar(spark, d):
+    return _knn(spark, d)
+
+
+@query("WITH x AS (SELECT 1)" + _COS + "SELECT least(query, id) AS a, greatest(query, id) AS b, max(score) AS score, false AS linked FROM knn WHERE score >= 0.3 GROUP BY ALL")
+def similarity_pairs(spark, d):
+    return search.similarity_pairs(_knn(spark, d), None, 0.3)
+
+
+@query(_BM25.rstrip() + _COS.replace("a.id % 20 = 0", "a.id = 0").replace("rank <= 5", "rank <= 20") + """,
+legs AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 20)
+  UNION ALL SELECT id, rank - 1 FROM knn)
+SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM legs GROUP BY id ORDER BY score DESC, id LIMIT 10""")
+def hybrid_search(spark, d):
+    e = table(spark, d, "embeddings")
+    fts = search.bm25(table(spark, d, "documents"), QUESTION, 20, "doc_id").select(F.lit("fts").alias("leg"), "id", "score")
+    vec = search.nearest(e.where("vec_id = 0"), e, 20).select(F.lit("vector").alias("leg"), "id", "score")
+    return search.rrf(fts.unionByName(vec), 10)
+
+
+@query("WITH x AS (SELECT 1)" + _COS + "SELECT id, round(sum(1.0::DOUBLE / (60 + rank - 1)), 9) AS score FROM knn GROUP BY id")
+def rrf_fuse(spark, d):
+    return search.rrf(_knn(spark, d).select(F.col("query").alias("leg"), "id", "score"))
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id AS id, unnest({_TOK}) AS term FROM documents), p AS (SELECT term, id, count(*) AS tf FROM t GROUP BY ALL),
+s AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM p) AS total), dl AS (SELECT id, sum(tf) AS dl FROM p GROUP BY id),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT DISTINCT subject AS query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(terms, ' ')), '[^\p{{L}}\p{{N}}]+'), lambda x: strlen(x) > 1)) AS term FROM subjects),
+m AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / total))), 6) AS score
+  FROM q JOIN p USING (term) JOIN df USING (term) JOIN dl USING (id) CROSS JOIN s GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m QUALIFY rank <= 6""")
+def candidate_pages(spark, d):
+    subjects = table(spark, d, "subjects").select(F.col("subject").alias("query_id"), F.array_join("terms", " ").alias("query"))
+    return search.bm25_batch(table(spark, d, "documents"), subjects, 6, "doc_id")
+
+
+@query(rf"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def term_frequencies(spark, d):
+    return search.postings(table(spark, d, "documents"), "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+# --- text functions
+
+
+def _col(name, table_name, key, expr, sql):
+    QUERIES[name] = lambda spark, d: table(spark, d, table_name).select(key, expr().alias("value"))
+    ORACLES[name] = f"SELECT {key}, {sql} AS value FROM {table_name}"
+
+
+_col("normalize_ws", "documents", "doc_id", lambda: T.normalize_ws(F.col("text")), r"trim(regexp_replace(text, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ')")
+_col("fts_strip", "documents", "doc_id", lambda: T.strip_links(F.col("text")), r"regexp_replace(regexp_replace(text, '\[\[[^\]\n|]*\|\s*([^\]\n]*?)\s*\]\]', '\1', 'g'), '\[\[(?:[^\]\n|#]*/)?\s*([^\]\n|#/]*?)\s*(?:#[^\]\n]*)?\]\]', '\1', 'g')")
+_col("sha_hash", "documents", "doc_id", lambda: F.sha2("text", 256), "sha256(text)")
+_col("slug_from_filename", "resources", "rel_path", lambda: T.slug_from_filename(F.col("rel_path")), r"CASE WHEN length(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(rel_path, '^.*/', ''), '\.md$', ''), '^\d{4}-\d{2}-\d{2}[-_]?', '')), '[^a-z0-9]+', '-', 'g'), '-')) < 2 THEN 'capture' ELSE trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(rel_path, '^.*/', ''), '\.md$', ''), '^\d{4}-\d{2}-\d{2}[-_]?', '')), '[^a-z0-9]+', '-', 'g'), '-') END")
+_col("strip_headings", "documents", "doc_id", lambda: F.regexp_replace("text", r"(?m)^#+[ \t]*", ""), r"regexp_replace(text, '(?m)^#+[ \t]*', '', 'g')")
+_col("note_preview", "notes", "id, synced_at".split(", ")[0], lambda: T.preview(F.col("body_text")), "substring(ltrim(body_text), 1, 600) || CASE WHEN length(ltrim(body_text)) > 600 THEN '…' ELSE '' END")
+_col("truncate_note", "notes", "id", lambda: F.octet_length(F.substring("body_text", 1, 7000)).cast("long"), "strlen(substring(body_text, 1, 7000))::BIGINT")
+
+
+@query(r"SELECT path, replace(regexp_replace(regexp_replace(path, '^wiki/', ''), '\.md$', ''), '/', '-') AS id, split_part(regexp_replace(path, '\.md$', ''), '/', -1) AS slug, CASE WHEN contains(regexp_replace(path, '^wiki/', ''), '/') THEN split_part(regexp_replace(path, '^wiki/', ''), '/', 1) ELSE '' END AS dir FROM notes")
+def derive_ids(spark, d):
+    p = F.col("path")
+    return table(spark, d, "notes").select("path", T.note_id(p).alias("id"), T.note_slug(p).alias("slug"), T.note_dir(p).alias("dir"))
+
+
+@query(r"SELECT doc_id, trim(split_part(split_part(l, '|', 1), '#', 1)) AS target, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\[\[([^\]\n]*)\]\]', 1)) AS l FROM documents) WHERE trim(split_part(split_part(l, '|', 1), '#', 1)) <> '' GROUP BY ALL")
+def wikilinks(spark, d):
+    from quillgraph.functions.markup import parsed_notes
+
+    files = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("rel_path"), F.concat(F.lit(" "), "text").alias("text"))
+    links = parsed_notes(files).select(F.col("path").cast("long").alias("doc_id"), F.explode("links").alias("l"))
+    return links.groupBy("doc_id", F.col("l.target").alias("target")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[\s(])#([\p{L}_][\p{L}\p{N}_/-]*)', 1)) AS tag FROM documents")
+def inline_tags(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(T.inline_tags(F.col("text"))).alias("tag"))
+
+
+@query()
+def frontmatter_fields(spark, d):
+    from quillgraph.functions.markup import parsed_notes
+
+    files = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("rel_path"), "text")
+    n = parsed_notes(files).where("frontmatter_json <> 'null' and kind is not null and status is not null")
+    return n.select(F.col("path").cast("long").alias("doc_id"), "kind", "status")
+
+
+@query(r"SELECT doc_id, unnest(list_transform(list_filter(string_split(regexp_extract(text, '(?m)^## Key claims[ \t\r]*\n((?s:.*?))(?:^## |\z)', 1), chr(10)), lambda x: starts_with(x, '- ')), lambda x: trim(substring(x, 3), ' '))) AS claim FROM documents")
+def section_bullets(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(T.bullets(T.section(F.col("text"), "Key claims"))).alias("claim"))
+
+
+@query("SELECT key, ('0x' || substring(sha256(key), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE < 0.1 AS valid FROM (SELECT DISTINCT key FROM sft_pairs WHERE key IS NOT NULL)")
+def split_assign(spark, d):
+    k = table(spark, d, "sft_pairs").where("key is not null").select("key").distinct()
+    return k.select("key", T.is_valid_split(F.col("key"), 0.1).alias("valid"))
+
+
+@query(f"SELECT DISTINCT id, updated, round(greatest(0, least(1, 1 - date_diff('day', updated, DATE '{TODAY}') / 548.0::DOUBLE)), 6)::DOUBLE AS fresh FROM notes WHERE updated IS NOT NULL")
+def recency(spark, d):
+    n = table(spark, d, "notes").where("updated is not null")
+    return n.select("id", "updated", F.round(T.recency(F.col("updated"), F.lit(TODAY).cast("date")), 6).alias("fresh")).distinct()
+
+
+# --- links and edges
+
+
+@query(_vault("SELECT src, target, outcome, dst, count(*) AS n FROM resolved GROUP BY ALL"))
+def resolve_links(spark, d):
+    n = vault.notes(spark, d)
+    return R.resolve(R.note_links(n), n).groupBy("src", "target", "outcome", "dst").agg(F.count("*").alias("n"))
+
+
+@query(_vault("SELECT src, dst FROM edge WHERE edge = 'LINKS_TO'"))
+def edges_wikilink(spark, d):
+    return R.wikilink_edges(vault.notes(spark, d)).select("src", "dst")
+
+
+@query(_vault("SELECT src, dst, edge FROM edge WHERE edge IN ('CONTRADICTS', 'SOURCE_OF')"))
+def edges_frontmatter(spark, d):
+    n = vault.notes(spark, d)
+    return R.field_edges(n, "contradicts", "CONTRADICTS").unionByName(R.field_edges(n, "source_refs", "SOURCE_OF", True)).select("src", "dst", "edge")
+
+
+@query(_vault("SELECT src, dst FROM edge WHERE edge = 'TAGGED'"))
+def edges_tagged(spark, d):
+    return R.tag_edges(vault.notes(spark, d)).select("src", "dst")
+
+
+@query(_vault("SELECT dst, src, count(*) AS n FROM resolved WHERE outcome = 'resolved' AND src <> dst GROUP BY ALL"))
+def backlinks(spark, d):
+    return R.backlinks(vault.notes(spark, d)).groupBy("dst", "src").agg(F.count("*").alias("n"))
+
+
+@query(_vault("SELECT 'raw/' || source || '.md' AS rel_path FROM note WHERE i % 2 = 0 UNION SELECT rel_path FROM resources WHERE rel_path IS NOT NULL"))
+def resources_with_stubs(spark, d):
+    n = vault.notes(spark, d)
+    res = table(spark, d, "resources").where("rel_path is not null").groupBy("rel_path").agg(F.max("synced_at").alias("synced_at"))
+    return R.resources_with_stubs(res, R.field_edges(n, "source_refs", "SOURCE_OF", True)).select("rel_path")
+
+
+@query(_vault(", gone AS (SELECT id FROM note WHERE i % 13 = 0) SELECT count(*) AS links, count(DISTINCT src) AS notes FROM resolved WHERE dst IN (SELECT id FROM gone) AND NOT contains(target, '/') AND lower(target) LIKE 'd%'"))
+def relink(spark, d):
+    n = vault.notes(spark, d)
+    links = R.note_links(n)
+    after = n.where(~((F.regexp_extract("slug", r"^d(\d+)$", 1) != "") & (F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long") % 13 == 0)))
+    got = R.shifted(links, n, after).where("not contains(target, '/') and lower(target) like 'd%'")
+    return got.agg(F.count("*").alias("links"), F.countDistinct("src").alias("notes"))
+
+
+# --- graph reads
+
+
+@query(_vault("SELECT edge, count(*) AS n FROM edge GROUP BY edge"))
+def edge_counts(spark, d):
+    return _graph(spark, d)[1].groupBy("edge").agg(F.count("*").alias("n"))
+
+
+@query(_vault("SELECT id FROM note WHERE id NOT IN (SELECT src FROM edge WHERE edge <> 'TAGGED') AND id NOT IN (SELECT dst FROM edge WHERE edge <> 'TAGGED')"))
+def orphans(spark, d):
+    return graph.orphans(*_graph(spark, d))
+
+
+@query(_vault("SELECT id FROM note WHERE id NOT IN (SELECT src FROM edge WHERE edge = 'LINKS_TO') AND id NOT IN (SELECT dst FROM edge WHERE edge = 'LINKS_TO')"))
+def orphans_body_links(spark, d):
+    n, e = _graph(spark, d)
+    return graph.orphans(n, e.where("edge = 'LINKS_TO'"))
+
+
+@query(_vault("SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edge WHERE dst_type = 'Note' AND src <> dst"))
+def linked_pairs(spark, d):
+    return graph.linked_pairs(_graph(spark, d)[1])
+
+
+@query(_vault("SELECT id, (SELECT count(*) FROM edge WHERE src = note.id AND edge <> 'TAGGED') + (SELECT count(*) FROM edge WHERE dst = note.id AND edge <> 'TAGGED') AS degree, round(least(14, greatest(2.5, 2 + 1.6 * sqrt((SELECT count(*) FROM edge WHERE src = note.id AND edge <> 'TAGGED') + (SELECT count(*) FROM edge WHERE dst = note.id AND edge <> 'TAGGED')))), 6)::DOUBLE AS size FROM note"))
+def degree(spark, d):
+    n, e = _graph(spark, d)
+    return graph.degree(n, e.where("edge <> 'TAGGED'"))
+
+
+@query(_vault("SELECT e.edge, coalesce(m.id, e.dst) AS id, e.dst_type AS node_type FROM edge e LEFT JOIN note m ON m.id = e.dst WHERE e.src = (SELECT min(src) FROM edge WHERE edge = 'CONTRADICTS')"))
+def neighbours_out(spark, d):
+    n, e = _graph(spark, d)
+    start = e.where("edge = 'CONTRADICTS'").agg(F.min("src")).first()[0] or ""
+    res = e.where("dst_type = 'Resource'").select(F.col("dst").alias("rel_path"), F.lit(None).cast("string").alias("title")).distinct()
+    return graph.neighbours(e, graph.node_view(n, res), start, limit=200).select("edge", "id", "node_type")
+
+
+@query(_vault("SELECT edge, src AS id, 'Note' AS node_type FROM edge WHERE dst = (SELECT min(dst) FROM edge WHERE edge = 'CONTRADICTS') ORDER BY edge, id LIMIT 200"))
+def neighbours_in(spark, d):
+    n, e = _graph(spark, d)
+    start = e.where("edge = 'CONTRADICTS'").agg(F.min("dst")).first()[0] or ""
+    return graph.neighbours(e, graph.node_view(n), start, "in", limit=200).select("edge", "id", "node_type")
+
+
+_SEEDS = "SELECT id FROM note WHERE i % 250 = 0"
+
+
+def _expand(spark, d, hops):
+    n, e = _graph(spark, d)
+    seeds = n.where(F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long") % 250 == 0)
+    return graph.expand(e, seeds, hops)
+
+
+@query(_vault(f"SELECT id, min(hop)::INT AS hop FROM (SELECT id, 0 AS hop FROM ({_SEEDS}) UNION ALL SELECT b, 1 FROM adj WHERE a IN ({_SEEDS})) GROUP BY id"))
+def expand_1hop(spark, d):
+    return _expand(spark, d, 1)
+
+
+@query(_vault(f"SELECT id, min(hop)::INT AS hop FROM (SELECT id, 0 AS hop FROM ({_SEEDS}) UNION ALL SELECT b, 1 FROM adj WHERE a IN ({_SEEDS}) UNION ALL SELECT y.b, 2 FROM adj x JOIN adj y ON x.b = y.a WHERE x.a IN ({_SEEDS})) GROUP BY id"))
+def expand_2hop(spark, d):
+    return _expand(spark, d, 2)
+
+
+_WALK = ", walk AS (SELECT id AS root, id, 0 AS depth FROM note WHERE i % 50 = 0 UNION SELECT root, {to}, depth + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM edge WHERE dst_type = 'Note') e ON e.{frm} = walk.id WHERE depth < 3) SELECT root, id, depth::INT AS depth FROM walk WHERE depth > 0"
+
+
+def _lineage(spark, d, forward):
+    n, e = _graph(spark, d)
+    roots = n.where(F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long") % 50 == 0)
+    return graph.lineage(e.where("dst_type = 'Note'"), roots, 3, forward)
+
+
+@query(_vault(_WALK.format(to="dst", frm="src")))
+def lineage_down(spark, d):
+    return _lineage(spark, d, True)
+
+
+@query(_vault(_WALK.format(to="src", frm="dst")))
+def lineage_up(spark, d):
+    return _lineage(spark, d, False)
+
+
+@query(_vault("SELECT DISTINCT src, dst FROM contra WHERE dst IS NOT NULL"))
+def contradictions(spark, d):
+    return graph.contradictions(_graph(spark, d)[1])
+
+
+@query(_vault("SELECT DISTINCT src, dst FROM edge WHERE edge = 'SOURCE_OF' AND dst IN (SELECT 'raw/' || source || '.md' FROM note WHERE source LIKE '%notes%')"))
+def already_ingested(spark, d):
+    n, e = _graph(spark, d)
+    paths = n.select(F.explode("tags").alias("t")).where(F.col("t").contains("notes")).select(F.concat(F.lit("raw/"), "t", F.lit(".md")).alias("rel_path")).distinct()
+    return graph.already_ingested(e, paths)
+
+
+@query(_vault("SELECT id, (SELECT count(*) FROM edge WHERE src = note.id) AS out_n, (SELECT count(*) FROM edge WHERE dst = note.id) AS in_n FROM note WHERE i % 97 = 0"))
+def note_detail(spark, d):
+    n, e = _graph(spark, d)
+    ids = n.where(F.coalesce(F.regexp_extract("path", r"/x(\d+)/", 1).try_cast("long"), F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long")) % 97 == 0).select("id")
+    o = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
+    i = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
+    return ids.join(o, "id", "left").join(i, "id", "left").select("id", F.coalesce("o", F.lit(0)).cast("long").alias("out_n"), F.coalesce("i", F.lit(0)).cast("long").alias("in_n"))
+
+
+@query()
+def communities(spark, d):
+    n, e = _graph(spark, d)
+    return graph.communities(e, Scratch(spark, "communities"))
+
+
+@query()
+def diagnostics(spark, d):
+    n, _ = _graph(spark, d)
+    return checks.diagnostics(n, ("note", "clip", "source_page", "answer", "transcript"), {"source_page": ("updated", "source_refs")})
+
+
+@query(_vault("SELECT id, CASE WHEN len(ids) = 1 OR len(list_filter(ids, lambda x: starts_with(x, 'note-'))) = 1 AND starts_with(id, 'note-') THEN note.slug ELSE id END AS insert FROM note JOIN slugs ON slugs.slug = note.slug WHERE contains(id, 't1') ORDER BY id LIMIT 200"))
+def completion(spark, d):
+    return R.completions(vault.notes(spark, d), "note", "t1")
+
+
+# --- notes table
+
+_CUR = "WITH c AS (SELECT * FROM notes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY synced_at DESC) = 1) "
+
+
+@query(_CUR + "SELECT id, title, kind, status, updated FROM c WHERE kind = 'concept' AND status = 'draft' ORDER BY id LIMIT 500")
+def list_notes(spark, d):
+    n = vault.current_notes(spark, d).where("kind = 'concept' and status = 'draft'")
+    return n.select("id", "title", "kind", "status", "updated").orderBy("id").limit(500)
+
+
+@query(_CUR + f"SELECT id, updated FROM c WHERE updated < DATE '{TODAY}' - INTERVAL 180 DAY")
+def stale_notes(spark, d):
+    return graph.stale(vault.current_notes(spark, d), TODAY, 180)
+
+
+@query(_CUR + "SELECT CASE WHEN kind IS NULL OR kind = '' THEN '(none)' ELSE kind END AS value, count(*) AS n FROM c GROUP BY 1")
+def facet_kind(spark, d):
+    return graph.facet(vault.current_notes(spark, d), "kind")
+
+
+@query(_CUR + "SELECT CASE WHEN status IS NULL OR status = '' THEN '(none)' ELSE status END AS value, count(*) AS n FROM c GROUP BY 1")
+def facet_status(spark, d):
+    return graph.facet(vault.current_notes(spark, d), "status")
+
+
+@query(_CUR + "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM c) GROUP BY tag ORDER BY n DESC, tag LIMIT 30")
+def tag_top30(spark, d):
+    t = vault.current_notes(spark, d).select(F.explode("tags").alias("tag"))
+    return t.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(30)
+
+
+@query(_CUR + "SELECT id FROM c WHERE embedded_hash IS DISTINCT FROM body_hash AND coalesce(kind, '') <> 'source'")
+def embed_workset(spark, d):
+    n = vault.current_notes(spark, d)
+    return n.where(~F.col("embedded_hash").eqNullSafe(F.col("body_hash")) & (F.coalesce("kind", F.lit("")) != "source")).select("id")
+
+
+@query(_CUR + "SELECT id, title FROM c WHERE contains(lower(title), 'tel') OR contains(lower(id), 'tel') ORDER BY id LIMIT 200")
+def symbol_search(spark, d):
+    n = vault.current_notes(spark, d)
+    return n.where(F.lower("title").contains("tel") | F.lower("id").contains("tel")).select("id", "title").orderBy("id").limit(200)
+
+
+# --- change detection
+
+
+@query("""WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 10 <> 1),
+b AS (SELECT doc_id, sha256(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS h FROM documents WHERE doc_id % 10 <> 0)
+SELECT doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM a FULL JOIN b USING (doc_id) WHERE a.h IS DISTINCT FROM b.h""")
+def cdc_diff(spark, d):
+    from quillgraph.sources.snapshot import changes
+
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    old = docs.where("doc_id % 10 <> 1").select("doc_id", F.sha2("t", 256).alias("h"))
+    new = docs.where("doc_id % 10 <> 0").select("doc_id", F.sha2(F.concat("t", F.when(F.expr("doc_id % 7 = 0"), "!").otherwise("")), 256).alias("h"))
+    return changes(old, new, "doc_id", "h")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_latest(spark, d):
+    e = table(spark, d, "events")
+    last = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("l"))
+    return last.select("user_id", "l.event_id", "l.event_type", "l.value")
+
+
+# --- model replies, training data and evaluation
+
+
+def _claims(spark, d):
+    r = table(spark, d, "training_records").where("task in ('extract', 'extract_chunk') and raw_output is not null and try_parse_json(raw_output) is not null")
+    r = r.dropDuplicates(["run_id", "seq"])
+    c = r.select("run_id", "seq", F.from_json("raw_output", "key_claims array<struct<text: string>>").alias("j"))
+    return c.select("run_id", "seq", F.posexplode("j.key_claims.text").alias("pos", "text"))
+
+
+_CLAIMS = r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) run_id, seq, raw_output FROM training_records WHERE task IN ('extract', 'extract_chunk') AND json_valid(raw_output)),
+c AS (SELECT run_id, seq, unnest(json_extract(raw_output, '$.key_claims[*].text')) AS j, generate_subscripts(json_extract(raw_output, '$.key_claims[*].text'), 1) - 1 AS pos FROM r),
+k AS (SELECT run_id, seq, pos, j ->> '$' AS text FROM c)
+"""
+
+
+@query(_CLAIMS + r""", v AS (SELECT run_id, seq, pos, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM k), f AS (SELECT * FROM v WHERE strlen(text) >= 15 QUALIFY row_number() OVER (PARTITION BY run_id, seq, lower(text) ORDER BY pos) = 1)
+SELECT run_id, seq, text, row_number() OVER (PARTITION BY run_id, seq ORDER BY pos) AS n FROM f QUALIFY n <= 12""")
+def claims_validate(spark, d):
+    return checks.valid_claims(_claims(spark, d), ["run_id", "seq"], "text", ["pos"]).select("run_id", "seq", "text", "n")
+
+
+@query(_CLAIMS + """, f AS (SELECT * FROM k WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY run_id, lower(trim(text)) ORDER BY seq, pos) = 1)
+SELECT run_id, len(list(text)) AS n, sha256(string_agg(text, chr(10) ORDER BY seq, pos)) AS merged FROM f GROUP BY run_id""")
+def extract_merge(spark, d):
+    m = checks.merge_chunks(_claims(spark, d), ["run_id"], "text", ["seq", "pos"])
+    return m.select("run_id", F.size("merged").cast("long").alias("n"), F.sha2(F.array_join("merged", "\n"), 256).alias("merged"))
+
+
+@query("SELECT task, count(*) AS calls, count(*) FILTER (WHERE parsed_ok IS NOT TRUE) AS failed, round(100.0::DOUBLE * count(*) FILTER (WHERE parsed_ok IS NOT TRUE) / count(*), 4) AS failed_pct FROM training_records GROUP BY task")
+def eval_metrics(spark, d):
+    return checks.run_metrics(table(spark, d, "training_records"))
+
+
+@query("SELECT task, sum(CASE WHEN provider = 'local' THEN 1 ELSE 0 END)::BIGINT AS local_calls, count(*) - sum(CASE WHEN provider = 'local' THEN 1 ELSE 0 END)::BIGINT AS other_calls FROM training_records GROUP BY task")
+def eval_compare(spark, d):
+    side = F.when(F.col("provider") == "local", "local_calls").otherwise("other_calls")
+    r = table(spark, d, "training_records").withColumn("s", side).groupBy("task").pivot("s", ["local_calls", "other_calls"]).count()
+    return r.na.fill(0, ["local_calls", "other_calls"])
+
+
+@query("SELECT DISTINCT answer_id FROM answers WHERE (abstained IS NOT TRUE AND len(citations) > 0) OR (abstained AND answer_id % 10 = 0)")
+def training_filter(spark, d):
+    a = table(spark, d, "answers")
+    keep = (~F.coalesce("abstained", F.lit(False)) & (F.size("citations") > 0)) | (F.coalesce("abstained", F.lit(False)) & (F.col("answer_id") % 10 == 0))
+    return a.where(keep).select("answer_id").distinct()
+
+
+@query("WITH a AS (SELECT DISTINCT ON (answer_id) answer_id, citations, abstained FROM answers), c AS (SELECT answer_id, unnest(citations) AS id, generate_subscripts(citations, 1) - 1 AS pos FROM a WHERE abstained IS NOT TRUE) SELECT answer_id, pos::INT AS pos, id FROM c WHERE id IN (SELECT x FROM (SELECT unnest(citations) AS x FROM answers) WHERE x LIKE 'sources-%')")
+def citations_valid(spark, d):
+    a = table(spark, d, "answers").dropDuplicates(["answer_id"])
+    evidence = table(spark, d, "answers").select(F.explode("citations").alias("id")).where("id like 'sources-%'")
+    return checks.cited(a, evidence)
+
+
+@query("SELECT task, coalesce(split, 'none') AS split, origin, count(*) AS n FROM (SELECT DISTINCT ON (pair_id) * FROM sft_pairs) GROUP BY ALL")
+def sft_histogram(spark, d):
+    p = table(spark, d, "sft_pairs").dropDuplicates(["pair_id"])
+    return p.groupBy("task", F.coalesce("split", F.lit("none")).alias("split"), "origin").agg(F.count("*").alias("n"))
+
+
+@query("SELECT task, key, pair_id, origin FROM (SELECT DISTINCT ON (pair_id) * FROM sft_pairs) WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task, key ORDER BY CASE origin WHEN 'run' THEN 0 ELSE 1 END, pair_id) = 1")
+def pair_dedup(spark, d):
+    p = table(spark, d, "sft_pairs").where("key is not null").withColumn("o", F.when(F.col("origin") == "run", 0).otherwise(1))
+    best = p.groupBy("task", "key").agg(F.min(F.struct("o", "pair_id", "origin")).alias("b"))
+    return best.select("task", "key", "b.pair_id", "b.origin")
+
+
+@query()
+def json_repair(spark, d):
+    """Replies that parse as they stand, after repair, or not at all, by task."""
+    from quillgraph.functions.markup import extract_json, parse_reply
+
+    @F.udf("string", useArrow=True)
+    def state(x):
+        if not x:
+            return "none"
+        return "none" if parse_reply(x) is None else "whole" if extract_json(x) else "repaired"
+
+    return table(spark, d, "training_records").groupBy("task", state("raw_output").alias("state")).agg(F.count("*").alias("n"))
+
+
+@query()
+def chunk_bodies(spark, d):
+    """Chunks of each body by section, within 28,000 bytes."""
+    from quillgraph.functions.markup import chunk_body
+
+    @F.udf("array<string>", useArrow=True)
+    def chunks(x):
+        return chunk_body(x or "")
+
+    r = table(spark, d, "resources").select("rel_path", "synced_at", F.posexplode(chunks("body_text")).alias("chunk", "t"))
+    return r.select("rel_path", "synced_at", "chunk", F.octet_length("t").alias("bytes"))
+
+
+# --- the key graph over the star schema
+
+_FK = """WITH RECURSIVE e AS (
+ SELECT 'n:' || n_nationkey AS src, 'r:' || n_regionkey AS dst, 'IN_REGION' AS edge FROM nation
+ UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'IN_NATION' FROM customer UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'IN_NATION' FROM supplier
+ UNION ALL SELECT 'c:' || o_custkey, 'o:' || o_orderkey, 'PLACED' FROM orders
+ UNION ALL SELECT DISTINCT 'o:' || l_orderkey, 'p:' || l_partkey, 'CONTAINS' FROM lineitem UNION ALL SELECT DISTINCT 'p:' || l_partkey, 's:' || l_suppkey, 'SUPPLIED_BY' FROM lineitem)
+"""
+
+
+def key_graph(spark, d) -> DataFrame:
+    """``(src, dst, dst_type, edge)``."""
+    t = lambda n: table(spark, d, n)
+    k = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    parts = [
+        t("nation").select(k("n:", "n_nationkey").alias("src"), k("r:", "n_regionkey").alias("dst"), F.lit("IN_REGION").alias("edge")),
+        t("customer").select(k("c:", "c_custkey"), k("n:", "c_nationkey"), F.lit("IN_NATION")),
+        t("supplier").select(k("s:", "s_suppkey"), k("n:", "s_nationkey"), F.lit("IN_NATION")),
+        t("orders").select(k("c:", "o_custkey"), k("o:", "o_orderkey"), F.lit("PLACED")),
+        t("lineitem").select("l_orderkey", "l_partkey").distinct().select(k("o:", "l_orderkey"), k("p:", "l_partkey"), F.lit("CONTAINS")),
+        t("lineitem").select("l_partkey", "l_suppkey").distinct().select(k("p:", "l_partkey"), k("s:", "l_suppkey"), F.lit("SUPPLIED_BY")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.withColumn("dst_type", F.lit("Note"))
+
+
+@query(_FK + "SELECT edge, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY edge")
+def key_graph_edges(spark, d):
+    return key_graph(spark, d).groupBy("edge").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+
+
+@query(_FK + ", w AS (SELECT DISTINCT 'c:' || c_custkey AS root, 'c:' || c_custkey AS id, 0 AS depth FROM customer WHERE c_custkey % 20 = 0 UNION SELECT root, dst, depth + 1 FROM w JOIN e ON e.src = w.id WHERE depth < 3) SELECT root, id, depth::INT AS depth FROM w WHERE depth > 0")
+def key_graph_lineage(spark, d):
+    roots = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    return graph.lineage(key_graph(spark, d), roots, 3)
