@@ -13,6 +13,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillgraph.runtime import spread
+
 try:
     import yaml
 except ImportError:
@@ -21,7 +23,8 @@ except ImportError:
 _FRONT = re.compile(r"\A---\r?\n(.*?)(?<=\n)---(?:\r?\n|\Z)", re.S)
 _WIKI = re.compile(r"\[\[([^\]\n]*)\]\]")
 _MDLINK = re.compile(r"(!?)\[([^\]\n]*)\]\(\s*<?([^()\s<>]+)>?(?:\s+[\"'(][^)]*)?\s*\)")
-_HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
+_HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+([^\r\n]*?)(?:[ \t]+#+)?[ \t]*\r?$", re.M)
+_MAYBE_CODE = re.compile(r"`|~~~|^(?: {4}|\t)", re.M)
 _TAG = re.compile(r"(?:\A|[\s(])#([^\W\d][\w/-]*)")
 
 
@@ -33,7 +36,7 @@ def split_frontmatter(text: str) -> tuple[str | None, str]:
 
 if yaml:
 
-    class _Core(yaml.SafeLoader):
+    class _Core(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         """Scalars of the JSON schema only: dates and 'yes' stay strings."""
 
     _Core.yaml_implicit_resolvers = {}
@@ -70,6 +73,8 @@ def as_list(v) -> list[str]:
 
 def code_ranges(body: str) -> list[tuple[int, int]]:
     """Fenced blocks, indented blocks and inline code, as character ranges in order."""
+    if not _MAYBE_CODE.search(body):
+        return []
     out, at, fence, start, blank = [], 0, None, 0, True
     prose: list[tuple[int, int]] = []
     for line in body.splitlines(keepends=True):
@@ -148,13 +153,7 @@ def path_links(body: str, rel_path: str, prefix: str = "", ranges=None) -> list[
 def headings(body: str, ranges=None) -> list[tuple[int, str, int]]:
     """(level, text, start) of ATX headings outside code."""
     ranges = code_ranges(body) if ranges is None else ranges
-    out, at = [], 0
-    for line in body.splitlines(keepends=True):
-        m = _HEADING.match(line.rstrip("\r\n"))
-        if m and not _inside(ranges, at):
-            out.append((len(m.group(1)), m.group(2).replace("`", ""), at))
-        at += len(line)
-    return out
+    return [(len(m.group(1)), m.group(2).replace("`", ""), m.start()) for m in _HEADING.finditer(body) if not _inside(ranges, m.start())]
 
 
 def tags_in(body: str, ranges=None) -> list[str]:
@@ -380,4 +379,4 @@ def parsed_notes(files: DataFrame, edge_fields: tuple[str, ...] = (), names: dic
             rows = [parse_file(p, t or "", edge_fields, names, inline) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield from pa.Table.from_pylist(rows, schema).to_batches()
 
-    return files.where("rel_path is not null").select("rel_path", "text").mapInArrow(run, NOTE)
+    return spread(files.where("rel_path is not null").select("rel_path", "text")).mapInArrow(run, NOTE)

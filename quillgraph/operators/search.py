@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import NON_WORD
+from quillgraph.runtime import spread
 
 K1, B, RRF = 1.2, 0.75, 60
 BLOCK = 4096
@@ -23,8 +24,9 @@ def bm25(docs: DataFrame, query: str, k: int | None = 10, id_col: str = "id", te
     """
     terms = [t for t in dict.fromkeys(_split(query)) if len(t.encode()) > 1]
     words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), NON_WORD), lambda w: w != "")
-    base = docs.select(F.col(id_col).alias("id"), words.alias("w"))
-    base = base.select("id", F.size("w").alias("dl"), *[_occurrences("w", t).alias(f"t{i}") for i, t in enumerate(terms)])
+    base = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), words.alias("w"))
+    base = base.select("id", F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(terms)).alias("w"))
+    base = base.select("id", "dl", *[_occurrences("w", t).alias(f"t{i}") for i, t in enumerate(terms)])
     if not terms:
         return base.where("false").select("id", F.lit(0.0).alias("score"))
     stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("al"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])

@@ -35,8 +35,13 @@ def _vault(sql: str) -> str:
     return vault.SQL + sql
 
 
+def _notes(spark, d):
+    return Scratch(spark, "vault").keep(vault.notes(spark, d))
+
+
 def _graph(spark, d):
-    n = Scratch(spark, "vault").keep(vault.notes(spark, d))
+    """Parsed notes, written once, and their edges."""
+    n = _notes(spark, d)
     return n, vault.edges(n)
 
 
@@ -181,41 +186,41 @@ def recency(spark, d):
 
 @query(_vault("SELECT src, target, outcome, dst, count(*) AS n FROM resolved GROUP BY ALL"))
 def resolve_links(spark, d):
-    n = vault.notes(spark, d)
+    n = _notes(spark, d)
     return R.resolve(R.note_links(n), n).groupBy("src", "target", "outcome", "dst").agg(F.count("*").alias("n"))
 
 
 @query(_vault("SELECT src, dst FROM edge WHERE edge = 'LINKS_TO'"))
 def edges_wikilink(spark, d):
-    return R.wikilink_edges(vault.notes(spark, d)).select("src", "dst")
+    return R.wikilink_edges(_notes(spark, d)).select("src", "dst")
 
 
 @query(_vault("SELECT src, dst, edge FROM edge WHERE edge IN ('CONTRADICTS', 'SOURCE_OF')"))
 def edges_frontmatter(spark, d):
-    n = vault.notes(spark, d)
+    n = _notes(spark, d)
     return R.field_edges(n, "contradicts", "CONTRADICTS").unionByName(R.field_edges(n, "source_refs", "SOURCE_OF", True)).select("src", "dst", "edge")
 
 
 @query(_vault("SELECT src, dst FROM edge WHERE edge = 'TAGGED'"))
 def edges_tagged(spark, d):
-    return R.tag_edges(vault.notes(spark, d)).select("src", "dst")
+    return R.tag_edges(_notes(spark, d)).select("src", "dst")
 
 
 @query(_vault("SELECT dst, src, count(*) AS n FROM resolved WHERE outcome = 'resolved' AND src <> dst GROUP BY ALL"))
 def backlinks(spark, d):
-    return R.backlinks(vault.notes(spark, d)).groupBy("dst", "src").agg(F.count("*").alias("n"))
+    return R.backlinks(_notes(spark, d)).groupBy("dst", "src").agg(F.count("*").alias("n"))
 
 
 @query(_vault("SELECT 'raw/' || source || '.md' AS rel_path FROM note WHERE i % 2 = 0 UNION SELECT rel_path FROM resources WHERE rel_path IS NOT NULL"))
 def resources_with_stubs(spark, d):
-    n = vault.notes(spark, d)
+    n = _notes(spark, d)
     res = table(spark, d, "resources").where("rel_path is not null").groupBy("rel_path").agg(F.max("synced_at").alias("synced_at"))
     return R.resources_with_stubs(res, R.field_edges(n, "source_refs", "SOURCE_OF", True)).select("rel_path")
 
 
 @query(_vault(", gone AS (SELECT id FROM note WHERE i % 13 = 0) SELECT count(*) AS links, count(DISTINCT src) AS notes FROM resolved WHERE dst IN (SELECT id FROM gone) AND NOT contains(target, '/') AND lower(target) LIKE 'd%'"))
 def relink(spark, d):
-    n = vault.notes(spark, d)
+    n = _notes(spark, d)
     links = R.note_links(n)
     after = n.where(~((F.regexp_extract("slug", r"^d(\d+)$", 1) != "") & (F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long") % 13 == 0)))
     got = R.shifted(links, n, after).where("not contains(target, '/') and lower(target) like 'd%'")
@@ -340,7 +345,7 @@ def diagnostics(spark, d):
 
 @query(_vault("SELECT id, CASE WHEN len(ids) = 1 OR len(list_filter(ids, lambda x: starts_with(x, 'note-'))) = 1 AND starts_with(id, 'note-') THEN note.slug ELSE id END AS insert FROM note JOIN slugs ON slugs.slug = note.slug WHERE contains(id, 't1') ORDER BY id LIMIT 200"))
 def completion(spark, d):
-    return R.completions(vault.notes(spark, d), "note", "t1")
+    return R.completions(_notes(spark, d), "note", "t1")
 
 
 # --- notes table

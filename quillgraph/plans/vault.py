@@ -43,15 +43,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed notes with id, slug and dir; of files with one id the last path counts."""
-    p = parsed_notes(files(spark, sf_dir), ("contradicts", "source_refs"), inline=False)
+    f = files(spark, sf_dir)
+    # ids are paths in another spelling: the last path of each id is found before any text is parsed
+    last = f.select(note_id(F.col("rel_path"), PREFIX).alias("id"), "rel_path").groupBy("id").agg(F.max("rel_path").alias("rel_path"))
+    p = parsed_notes(f.join(last, "rel_path", "left_semi"), ("contradicts", "source_refs"), inline=False)
     path = F.col("path")
     n = p.select(
         note_id(path, PREFIX).alias("id"), note_slug(path, PREFIX).alias("slug"), note_dir(path, PREFIX).alias("dir"), "path", F.col("title"), "kind", "status",
         lenient_date(F.col("updated")).alias("updated"), "tags", "body_text", "body_hash", "frontmatter_json", "fields", "links", "headings",
     )
-    # ids are paths in another spelling, so equal ids are rare: the last path is found on two short columns
-    last = n.groupBy("id").agg(F.max("path").alias("path"))
-    return n.join(last, ["id", "path"], "left_semi").withColumn("title", F.coalesce("title", "id"))
+    return n.withColumn("title", F.coalesce("title", "id"))
 
 
 def edges(n: DataFrame) -> DataFrame:

@@ -51,6 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for work in Python that a scan of one small
+    file would leave to one task. Scans with enough splits, as of any large table, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Scratch:
     """Intermediate tables in the shared folder: lineage is cut, and a lost executor loses nothing."""
 
