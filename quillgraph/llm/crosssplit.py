@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.runtime import Scratch
+from quillgraph.runtime import Scratch, spread
 
 LEAST = 0.65
 SHARE = 0.25
@@ -170,7 +170,7 @@ def overlaps(pairs: DataFrame, scratch: Scratch) -> DataFrame:
         F.when(F.lower(F.trim("split")) == "train", "t").when(F.lower(F.trim("split")).isin("valid", "test"), "e").alias("split"),
         F.transform(F.filter("messages", lambda m: F.lower(F.trim(m["role"])) == "user"), lambda m: m["content"]).alias("said"),
     )
-    said = said.where("split is not null and said is not null").mapInArrow(_norm_batches, "pair_id long, split string, norm string")
+    said = spread(said.where("split is not null and said is not null")).mapInArrow(_norm_batches, "pair_id long, split string, norm string")
     # all rows of a text, then one class for each text; copies never meet as pairs before the end
     member = scratch.keep(said.where("norm <> ''").withColumn("k", F.md5("norm")))
     ids = member.groupBy("k").agg(

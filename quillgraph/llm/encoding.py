@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.runtime import spread
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's published pattern for splitting text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -131,7 +133,7 @@ def encode_table(documents: DataFrame, path: str | None = None, id_col: str = "d
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[id_col, "ids"])
 
-    return documents.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, ids array<int>")
+    return spread(documents.select(id_col, text_col)).mapInArrow(run, f"{id_col} {kind.simpleString()}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +147,7 @@ def token_counts(documents: DataFrame, path: str | None = None, id_col: str = "d
             n = [len(codec.encode(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
 
-    return documents.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, n_tokens long")
+    return spread(documents.select(id_col, text_col)).mapInArrow(run, f"{id_col} {kind.simpleString()}, n_tokens long")
 
 
 def decode_column(spark, ids: Column, path: str | None = None) -> Column:

@@ -38,6 +38,8 @@ RERANK = 32
 BLOCK = 8192
 CELL = 1500
 MOST_CELLS = 1024
+#: Codes that one task of the search holds (about 25 MB).
+SHARE_CODES = 1 << 19
 REACH = 0.99
 #: Fixed point of the tables, and the queries and codes scored together.
 FIXED, QUERIES, STRIP = 6000, 256, 512
@@ -301,15 +303,20 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = K, dim: int = DIM, re
         placed = coded.join(plan.select("cell", "subs"), "cell").withColumn("sub", F.pmod(F.xxhash64("c"), F.col("subs")).cast("int"))
         blocks = placed.groupBy("cell", "sub").applyInPandas(_pack_blocks, "cell int, sub int, cs binary, codes binary, norms binary")
         visits = spark.createDataFrame([(int(c), int(s)) for c in size for s in range(int(subs[c]))], "qcell int, qsub int")
+        # what one block of queries visits is dealt to as many tasks as keep each below SHARE_CODES codes
+        tasks = max(1, -(-total * model.visits // len(model.cells) // SHARE_CODES))
         sent = (
             blocks.join(plan.select("cell", "visitors"), "cell")
-            .select("cs", "codes", "norms", F.explode("visitors").alias("qcell"))
+            .withColumn("task", F.pmod(F.xxhash64("cell", "sub"), F.lit(tasks)).cast("int"))
+            .select("cs", "codes", "norms", "task", F.explode("visitors").alias("qcell"))
             .join(visits, "qcell")
         )
-        queries = placed.select(F.col("cell").alias("qcell"), F.col("sub").alias("qsub"), "c", "x")
+        queries = placed.select(
+            F.col("cell").alias("qcell"), F.col("sub").alias("qsub"), "c", "x", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
+        )
         met = (
-            queries.groupBy("qcell", "qsub")
-            .cogroup(sent.groupBy("qcell", "qsub"))
+            queries.groupBy("qcell", "qsub", "task")
+            .cogroup(sent.groupBy("qcell", "qsub", "task"))
             .applyInPandas(_search(model, rerank), "q long, c long")
         )
         vec = coded.select("c", "x")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.replies import _FUNCTION, language
-from quillgraph.runtime import Scratch
+from quillgraph.runtime import Scratch, spread
 
 RANK = 40
 POWER_ROUNDS = 3
@@ -313,9 +313,12 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, scratch: Scratch,
     """``(doc_id, subject, share)``: the share of a document's sentences about each of its subjects."""
     spark = documents.sparkSession
     empty = spark.createDataFrame([], "doc_id long, subject string, share double")
-    named = sorted((r.subject, tuple(x for x in (r.terms or []) if x)) for r in subjects.where("subject is not null").distinct().collect())
+    merged: dict[str, set] = {}
+    for r in subjects.where("subject is not null").select("subject", "terms").collect():  # a fixed reference table
+        merged.setdefault(r.subject, set()).update(x for x in (r.terms or []) if x)
+    named = sorted((s, tuple(sorted(t))) for s, t in merged.items())
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text", "lang")
-    split = scratch.keep(texts.mapInArrow(_split_batches, "doc_id long, lang string, words array<string>, ends array<int>"))
+    split = scratch.keep(spread(texts).mapInArrow(_split_batches, "doc_id long, lang string, words array<string>, ends array<int>"))
     size = {r.lang: r.n for r in split.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     if not named or not total:
