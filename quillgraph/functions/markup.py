@@ -198,7 +198,7 @@ def repair_json(text: str) -> str | None:
     at = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
     if at < 0:
         return None
-    stack, marks, quoted, skip = [], [], False, False
+    stack, opens, marks, quoted, skip = [], [], [], False, False
     for i in range(at, len(text)):
         ch = text[i]
         if quoted:
@@ -212,13 +212,13 @@ def repair_json(text: str) -> str | None:
             quoted = True
         elif ch in "{[":
             stack.append("}" if ch == "{" else "]")
-            marks.append((i + 1, "".join(reversed(stack))))
+            opens.append((i + 1, "".join(reversed(stack))))
         elif ch in "}]" and stack:
             stack.pop()
             marks.append((i + 1, "".join(reversed(stack))))
         elif ch == "," and stack:
             marks.append((i, "".join(reversed(stack))))
-    for end, close in reversed(marks):
+    for end, close in [*reversed(marks), *reversed(opens)]:
         candidate = text[at:end] + close
         try:
             json.loads(candidate)

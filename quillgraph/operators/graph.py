@@ -94,7 +94,7 @@ def contradictions(edges: DataFrame, evidence: DataFrame | None = None, edge: st
     e = edges.where(F.col("edge") == edge).select("src", "dst")
     if evidence is not None:
         e = e.join(evidence.select(F.col("id").alias("src")), "src", "left_semi").join(evidence.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return e
+    return e.select("src", "dst")
 
 
 def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
