@@ -13,6 +13,11 @@ def normalize_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def note_id(path: Column, prefix: str = "wiki/") -> Column:
     """Prefix and .md stripped, slashes turned into dashes."""
     return F.replace(_bare(path, prefix), F.lit("/"), F.lit("-"))
@@ -73,7 +78,7 @@ def slug_from_filename(c: Column) -> Column:
 
 
 def strip_headings(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?m)^#+\s*", ""))
+    return strip(F.regexp_replace(c, r"(?m)^#+\s*", ""))
 
 
 def strip_marker(c: Column) -> Column:
@@ -103,5 +108,6 @@ def recency(updated: Column, today: Column, days: int = 548) -> Column:
 def yaml_scalar(c: Column) -> Column:
     """Quoted when a plain scalar would be read as something else."""
     plain = c.rlike(r"^[\p{L}_/][\p{L}\p{N} _./()-]*$") & ~F.lower(c).isin("true", "false", "yes", "no", "on", "off", "null", "~") & ~c.rlike(r"\s$")
-    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), "\n", r"\\\\n"), F.lit('"'))
+    inner = F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    quoted = F.concat(F.lit('"'), inner, F.lit('"'))
     return F.when(plain, c).otherwise(quoted)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import bullets, is_valid_split, section, strip_links
+from quillgraph.functions.text import bullets, is_valid_split, normalize_ws, section, strip, strip_links
 
 
 def mined(pages: DataFrame, resources: DataFrame) -> DataFrame:
@@ -17,13 +17,13 @@ def mined(pages: DataFrame, resources: DataFrame) -> DataFrame:
     raw = F.filter("fields", lambda f: f["field"] == "source_refs")
     p = pages.select("id", "title", "body_text", F.size(raw).alias("refs"), F.get(F.transform(raw, lambda f: f["value"]), 0).alias("rel_path"))
     r = resources.select("rel_path", F.col("body_text").alias("raw_text"), F.lit(True).alias("found"))
-    claims = F.transform(bullets(section(F.col("body_text"), "Key claims")), lambda c: F.trim(F.regexp_replace(strip_links(c), r"\s+", " ")))
+    claims = F.transform(bullets(section(F.col("body_text"), "Key claims")), lambda c: normalize_ws(strip_links(c)))
     j = p.join(r, "rel_path", "left").withColumn("claims", claims)
     why = (
         F.when(F.col("refs") == 0, "no_source_ref").when(F.col("refs") > 1, "several_source_refs").when(F.col("found").isNull(), "resource_missing")
-        .when(F.trim(F.coalesce("raw_text", F.lit(""))) == "", "resource_empty").when(F.size("claims") == 0, "no_claims")
+        .when(strip(F.coalesce("raw_text", F.lit(""))) == "", "resource_empty").when(F.size("claims") == 0, "no_claims")
     )
-    target = F.to_json(F.struct(F.trim(section(F.col("body_text"), "Summary")).alias("summary"), F.col("claims").alias("key_claims")))
+    target = F.to_json(F.struct(strip(section(F.col("body_text"), "Summary")).alias("summary"), F.col("claims").alias("key_claims")))
     return j.select(F.lit("extract").alias("task"), F.col("id").alias("key"), F.concat(F.lit("title: "), "title", F.lit("\n\n"), "raw_text").alias("prompt"), target.alias("target"), why.alias("skip_reason"))
 
 

@@ -25,7 +25,7 @@ def one(spark, expr, value, kind="string"):
         (T.strip_links, "x [[a/b#c|label]] [[a/b#c]] y", "x label b y"), (T.slug_from_filename, "raw/2024-01-02-Some File!.md", "some-file"), (T.slug_from_filename, "raw/!.md", "capture"),
         (lambda c: T.section(c, "Key claims"), "## Key claims\n- a\n\n## Next\n- b", "- a\n\n"), (lambda c: T.section(c, "X"), "## Y\n", ""), (T.bullets, "- a\n  - no\n- b ", ["a", "b"]),
         (T.strip_headings, "# A\n## B", "A\nB"), (T.strip_marker, "12. x", "x"), (T.strip_marker, "- x", "x"), (lambda c: T.preview(c, 3), "  abcd", "abc…"), (T.inline_tags, "#a x (#b-c) y#d ##e", ["a", "b-c"]),
-        (T.query_terms, "The é a C++", ["the", "é"]), (T.yaml_scalar, "plain text", "plain text"), (T.yaml_scalar, "yes", '"yes"'), (T.yaml_scalar, "a: b", '"a: b"'),
+        (T.query_terms, "The é a C++", ["the", "é"]), (T.yaml_scalar, "plain text", "plain text"), (T.yaml_scalar, "yes", '"yes"'), (T.yaml_scalar, "a: b", '"a: b"'), (T.yaml_scalar, 'q"\\', '"q\\"\\\\"'), (T.strip, "\n a \t", "a"),
     ],
 )
 def test_text(spark, f, given, want):
