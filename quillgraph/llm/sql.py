@@ -37,4 +37,13 @@ WHERE strlen(body_text) > 28000
 
 P6_ROUNDTRIP = "SELECT true AS same, count(*) AS n FROM documents"
 
-ORACLES = {"p1_found": P1_FOUND, "p5_found": P5_FOUND, "p6_roundtrip": P6_ROUNDTRIP}
+P4_FOUND = """
+WITH c AS (SELECT id, embedding FROM notes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY synced_at DESC) = 1),
+u AS (SELECT id, embedding::DOUBLE[] AS v FROM c WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 128
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id AS id, b.id AS other, list_cosine_similarity(a.v, b.v) AS score FROM u a JOIN u b ON a.id <> b.id),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= 5)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k WHERE score >= 0.75
+"""
+
+ORACLES = {"p4_found": P4_FOUND, "p1_found": P1_FOUND, "p5_found": P5_FOUND, "p6_roundtrip": P6_ROUNDTRIP}
