@@ -74,7 +74,7 @@ def _knn(spark, d, k=5):
     return search.nearest(e.where("vec_id % 20 = 0"), e, k)
 
 
-@query("WITH x AS (SELECT 1)" + _COS + "SELECT query, id, score, rank FROM knn")
+@query("WITH x AS (SELECT 1)" + _COS + "SELECT query, id, score, rank::INT AS rank FROM knn")
 def knn_similar(spark, d):
     return _knn(spark, d)
 
@@ -107,7 +107,7 @@ df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 q AS (SELECT DISTINCT subject AS query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(terms, ' ')), '[^\p{{L}}\p{{N}}]+'), lambda x: strlen(x) > 1)) AS term FROM subjects),
 m AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / total))), 6) AS score
   FROM q JOIN p USING (term) JOIN df USING (term) JOIN dl USING (id) CROSS JOIN s GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m QUALIFY rank <= 6""")
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM m QUALIFY rank <= 6""")
 def candidate_pages(spark, d):
     subjects = table(spark, d, "subjects").select(F.col("subject").alias("query_id"), F.array_join("terms", " ").alias("query"))
     return search.bm25_batch(table(spark, d, "documents"), subjects, 6, "doc_id")
@@ -431,7 +431,7 @@ k AS (SELECT run_id, seq, pos, j ->> '$' AS text FROM c)
 
 
 @query(_CLAIMS + r""", v AS (SELECT run_id, seq, pos, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM k), f AS (SELECT * FROM v WHERE strlen(text) >= 15 QUALIFY row_number() OVER (PARTITION BY run_id, seq, lower(text) ORDER BY pos) = 1)
-SELECT run_id, seq, text, row_number() OVER (PARTITION BY run_id, seq ORDER BY pos) AS n FROM f QUALIFY n <= 12""")
+SELECT run_id, seq, text, (row_number() OVER (PARTITION BY run_id, seq ORDER BY pos))::INT AS n FROM f QUALIFY n <= 12""")
 def claims_validate(spark, d):
     return checks.valid_claims(_claims(spark, d), ["run_id", "seq"], "text", ["pos"]).select("run_id", "seq", "text", "n")
 
@@ -546,3 +546,91 @@ def key_graph_edges(spark, d):
 def key_graph_lineage(spark, d):
     roots = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
     return graph.lineage(key_graph(spark, d), roots, 3)
+
+
+# --- ingest gates
+
+
+def _findings(spark, d):
+    r = table(spark, d, "training_records").where("task = 'contradiction' and raw_output is not null and try_parse_json(raw_output) is not null").dropDuplicates(["run_id", "seq"])
+    f = r.select("run_id", "seq", F.from_json("raw_output", "findings array<struct<page_id: string, existing_text: string, new_claim: string, explanation: string>>").alias("j"))
+    return f.select("run_id", "seq", F.posexplode("j.findings").alias("pos", "f")).select("run_id", "seq", "pos", "f.*")
+
+
+@query(r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) * FROM training_records WHERE task = 'contradiction' AND json_valid(raw_output)),
+f AS (SELECT run_id, seq, unnest(json_extract(raw_output, '$.findings[*]')) AS j, list_filter(messages, lambda m: m.role = 'user')[1].content AS body FROM r)
+SELECT run_id, seq, j ->> '$.page_id' AS page_id, contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(j ->> '$.new_claim', '\s+', ' ', 'g'))) AS verbatim FROM f""")
+def findings_verbatim(spark, d):
+    """Whether the claim of each contradiction finding stands in the message it was asked about."""
+    m = table(spark, d, "training_records").where("task = 'contradiction'").dropDuplicates(["run_id", "seq"])
+    body = m.select("run_id", "seq", F.get(F.filter("messages", lambda x: x["role"] == "user"), 0)["content"].alias("body"))
+    got = _findings(spark, d).join(body, ["run_id", "seq"])
+    return got.select("run_id", "seq", "page_id", T.normalize_ws(F.col("body")).contains(T.normalize_ws(F.col("new_claim"))).alias("verbatim"))
+
+
+@query(r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) * FROM training_records WHERE task = 'suggest_links' AND json_valid(raw_output)),
+c AS (SELECT run_id, seq, unnest(json_extract(raw_output, '$.linked_claims[*]')) ->> '$' AS claim FROM r),
+l AS (SELECT run_id, seq, unnest(regexp_extract_all(claim, '\[\[([^\]|#\n]+)', 1)) AS target FROM c)
+SELECT target, count(*) AS n, count(DISTINCT run_id) AS runs FROM l GROUP BY target""")
+def claim_links(spark, d):
+    """Targets of the links that were woven into claims."""
+    from quillgraph.operators.ingest import claim_targets
+
+    r = table(spark, d, "training_records").where("task = 'suggest_links' and raw_output is not null and try_parse_json(raw_output) is not null").dropDuplicates(["run_id", "seq"])
+    c = r.select("run_id", "seq", F.explode(F.from_json("raw_output", "linked_claims array<string>")["linked_claims"]).alias("claim"))
+    return claim_targets(c, "claim").groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))
+
+
+@query(rf"""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT query, id, round(1 - round(list_cosine_similarity(q.v, e.v), 6), 6) AS distance FROM q JOIN e ON q.query <> e.id WHERE round(1 - round(list_cosine_similarity(q.v, e.v), 6), 6) < 0.7
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(q.v, e.v), 6) DESC, id) <= 3""")
+def near_dup_vectors(spark, d):
+    """Up to three vectors nearer than a distance."""
+    from quillgraph.operators.ingest import near_duplicates
+
+    e = table(spark, d, "embeddings")
+    return near_duplicates(search.nearest(e.where("vec_id % 20 = 0"), e, 3), 0.7)
+
+
+@query("""WITH a AS (SELECT DISTINCT ON (answer_id) * FROM answers), t AS (SELECT answer_id % 10 = 0 AS probe, abstained FROM a)
+SELECT probe, count(*) AS n, count(*) FILTER (WHERE abstained) AS abstained FROM t GROUP BY probe""")
+def question_counts(spark, d):
+    a = table(spark, d, "answers").dropDuplicates(["answer_id"])
+    return a.groupBy((F.col("answer_id") % 10 == 0).alias("probe")).agg(F.count("*").alias("n"), F.count_if(F.coalesce("abstained", F.lit(False))).alias("abstained"))
+
+
+@query(_CUR + """, s AS (SELECT path, (row_number() OVER (ORDER BY sha256(path), path) - 1) AS n FROM c WHERE path IS NOT NULL) SELECT path, (n // 3)::INT AS batch FROM s""")
+def page_sampling(spark, d):
+    """Batches of three pages in the order of their hashes."""
+    from quillgraph.operators.ingest import batches
+
+    return batches(vault.current_notes(spark, d).where("path is not null"), "path", 3)
+
+
+@query(_CUR + f""" SELECT id FROM c WHERE coalesce(kind, '(none)') IN ('concept', '(none)') AND coalesce(status, '(none)') IN ('draft', '(none)')
+ AND list_has_any(tags, ['science', 'law', 'inbox']) AND updated BETWEEN DATE '2024-01-01' AND DATE '{TODAY}'""")
+def facet_filter(spark, d):
+    n = vault.current_notes(spark, d)
+    none = lambda c: F.coalesce(c, F.lit("(none)"))
+    hit = n.where(none("kind").isin("concept", "(none)") & none("status").isin("draft", "(none)") & F.arrays_overlap("tags", F.array(*[F.lit(t) for t in ("science", "law", "inbox")])))
+    return hit.where(F.col("updated").between(F.lit("2024-01-01").cast("date"), F.lit(TODAY).cast("date"))).select("id")
+
+
+@query(_CUR + """, k AS (SELECT slug, id, row_number() OVER (PARTITION BY slug ORDER BY id) AS n FROM c) SELECT id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS free_slug FROM k""")
+def slug_suffixes(spark, d):
+    """Slugs made unique by -2, -3 and so on in order of id."""
+    from quillgraph.operators.ingest import free_slugs
+
+    return free_slugs(vault.current_notes(spark, d), "slug", "id").select("id", "free_slug")
+
+
+@query(_vault("SELECT dst AS id, count(*) AS n FROM resolved WHERE outcome = 'resolved' AND src <> dst GROUP BY dst ORDER BY n DESC, id LIMIT 50"))
+def most_referenced(spark, d):
+    return R.backlinks(_notes(spark, d)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(50)
+
+
+@query(_vault("SELECT DISTINCT e.src AS id FROM edge e WHERE e.edge = 'SOURCE_OF' EXCEPT SELECT id FROM note WHERE i % 17 = 0 OR dir <> 'source_page'"))
+def pair_sources(spark, d):
+    """Source pages with a raw capture, which pairs can be mined from."""
+    n, e = _graph(spark, d)
+    return n.where("kind = 'source_page'").join(e.where("edge = 'SOURCE_OF'").select(F.col("src").alias("id")), "id", "left_semi").select("id")
