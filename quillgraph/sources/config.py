@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 SCHEMA_VERSION = 2
-#: Where a configuration is looked for, in order.
-NAMES = ("cogs.toml", ".cogs/config.toml")
+#: Where a configuration is looked for, in order; ``discover`` takes other names.
+NAMES = ("vault.toml", ".vault/config.toml")
 EDGE_NAME = re.compile(r"^[A-Z][A-Z0-9_]{0,30}$")
-SKIP = ("**/.obsidian/**", "**/.cogs/**", "**/.git/**", "**/node_modules/**")
+SKIP = ("**/.obsidian/**", "**/.vault/**", "**/.git/**", "**/node_modules/**")
 
 
 @dataclass(frozen=True)
@@ -140,11 +140,11 @@ def check(cfg: Config) -> None:
             raise ValueError(f"edge {e.name} needs a resources section")
 
 
-def discover(start: str) -> tuple[str, Config]:
+def discover(start: str, names: tuple[str, ...] = NAMES) -> tuple[str, Config]:
     """(root, configuration) of the nearest folder upwards that has one, else start and the defaults."""
     here = Path(start).resolve()
     for folder in (here, *here.parents):
-        for name in NAMES:
+        for name in names:
             if (folder / name).is_file():
                 return str(folder), parse((folder / name).read_text())
     return str(here), Config()

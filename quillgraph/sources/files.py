@@ -40,7 +40,7 @@ def listing(spark: SparkSession, root: str, cfg: Config) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     head = unquote(base.split(":", 1)[1]).lstrip("/")
     rel = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), rf"^[a-z0-9]+:/*\Q{head}\E/", "")
-    skip = rel.rlike(r"(^|/)(\.git|\.cogs|node_modules)/")
+    skip = rel.rlike(r"(^|/)(\.git|\.vault|node_modules)/")
     layer = F.when(is_note(rel, cfg), "note").when(is_resource(rel, cfg), "resource")
     return raw.where(~skip).select(rel.alias("rel_path"), layer.alias("layer"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
 

@@ -195,7 +195,13 @@ def test_config():
             config.parse(bad)
     assert config.parse('[llm]\nmodel = "a"\n[llm.ask]\nmodel = "b"').for_task("ask") == {"model": "b"}
     import re
+    import tempfile
+    from pathlib import Path
 
+    with tempfile.TemporaryDirectory() as d:
+        (Path(d) / "a/b").mkdir(parents=True)
+        (Path(d) / "own.toml").write_text(CFG)
+        assert config.discover(f"{d}/a/b", ("own.toml",))[1] == cfg and config.discover(f"{d}/a/b", ("own.toml",))[0] == str(Path(d).resolve())
     assert re.match(config.glob_regex("wiki/**/*.md"), "wiki/a/b.md") and re.match(config.glob_regex("**/*.md"), "b.md") and not re.match(config.glob_regex("raw/*.md"), "raw/a/b.md")
 
 
