@@ -1,12 +1,13 @@
 """Problem 2: the same or nearly the same records across splits.
 
-Texts are compared as word sequences. A candidate pair shares at least ``SHARE`` of the longer
-text's distinct five-word shingles (texts of at most ``SHORT`` words: 65 % of its single words); among
-candidates, the longest common subsequence decides: at least 65 % of the longer text's words.
+Texts are compared as word sequences: the longest common subsequence decides, at least 65 % of the longer
+text's words. Words in common in the same order are words in common in any order, so a pair has at least
+65 % of the longer text's words in common as bags, at any length and however the changes are scattered.
 
-The join is an exact prefix filter with respect to the shingle share. All shingles have one global
-order, rarest first. Where two sets share t of n shingles, their prefixes of n - t + L shingles share
-at least L of them (L <= t), so asking for L common prefix shingles loses no pair.
+The candidates are an exact prefix filter on that bound. All words (the second 'the' of a text is another
+token than the first) have one global order, rarest first. Where two bags share t of n tokens, the first L
+tokens they share (L <= t) stand among the first n - t + L of each, so asking for L common tokens there
+loses no pair. Tokens in common are counted by blocks of texts of similar length.
 
 Defined results: a repeated pair_id counts once; null splits, null messages and texts without a word
 take no part; identical word sequences are one class and joined once, then unfolded into their pairs;
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 from quillgraph.runtime import Scratch, spread
 
 LEAST = 0.65
-SHARE = 0.25
-WIDTH = 5
-#: Texts up to SHORT words are also indexed by single words; above LONG_FROM words by shingles.
-SHORT, LONG_FROM = 30, 19
-#: Common prefix shingles that a candidate must show (fewer where a text's own share is smaller).
-COMMON = 6
+#: Common prefix tokens that a candidate must show (fewer where 65 % of a text are fewer). Any number is exact.
+COMMON = 40
 BUCKETS = 1 << 19
+#: What a block holds at most, on average.
+BLOCK_TEXTS, BLOCK_WORDS = 8_192, 1 << 20
+#: Texts whose lengths differ by less than 65 % lie in the same or in neighbouring bands of this ratio.
+BAND = 0.64
 
 _WORD = re.compile(r"[^\W_]+")
 _NUMBERING = re.compile(r"(?m)^[ \t>]*\d{1,3}[.)][ \t]+")
@@ -97,26 +98,18 @@ def _hashes(words: list[str], memo: dict) -> np.ndarray:
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: list[str], memo: dict) -> list[tuple[int, np.ndarray]]:
-    """The one or two (kind, distinct hashes) sets under which a text is indexed."""
+def tokens(words: list[str], memo: dict) -> np.ndarray:
+    """One hash for each word of a text: the second 'the' is another token than the first."""
     h = _hashes(words, memo)
-    out = []
     with np.errstate(over="ignore"):
-        if len(h) <= SHORT:
-            # the second 'the' of a text is another token than the first: sets then count like bags
-            order = np.argsort(h, kind="stable")
-            s = h[order]
-            start = np.r_[True, s[1:] != s[:-1]]
-            nth = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
-            out.append((1, np.unique((s * _MIX + nth.astype(np.uint64)) * _MIX)))
-        if len(h) > LONG_FROM:
-            n = len(h) - WIDTH + 1
-            g = np.zeros(n, np.uint64)
-            for k in range(WIDTH):
-                g = (g ^ h[k : k + n]) * _MIX
-                g ^= g >> np.uint64(29)
-            out.append((0, np.unique(g)))
-    return out
+        s = np.sort(h)
+        start = np.r_[True, s[1:] != s[:-1]]
+        nth = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
+        return (s * _MIX + nth.astype(np.uint64)) * _MIX
+
+
+def needed(n: int) -> int:
+    return int(np.ceil(LEAST * n - 1e-9))
 
 
 def _count_batches(batches):
@@ -124,7 +117,7 @@ def _count_batches(batches):
     memo: dict = {}
     total = np.zeros(BUCKETS, np.int64)
     for b in batches:
-        sets = [g for norm in b.column("norm").to_pylist() for _, g in shingles(norm.split(" "), memo)]
+        sets = [tokens(norm.split(" "), memo) for norm in b.column("norm").to_pylist()]
         if sets:
             total += np.bincount((np.concatenate(sets) % BUCKETS).astype(np.int64), minlength=BUCKETS)
     at = np.flatnonzero(total)
@@ -133,29 +126,75 @@ def _count_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["bucket", "n"])
 
 
-def _prefix_batches(table: np.ndarray):
+class Blocks:
+    """Numbers for the blocks of one side: each band of lengths has as many as its texts and words ask for."""
+
+    def __init__(self, rows):
+        self.first, self.of, at = {}, {}, 0
+        for band, texts, words in sorted(rows):
+            self.first[band], self.of[band] = at, max(1, -(-texts // BLOCK_TEXTS), -(-words // BLOCK_WORDS))
+            at += self.of[band]
+
+    def own(self, band: int, cid: int) -> int:
+        return self.first[band] + (cid * 0x9E3779B97F4A7C15 >> 32) % self.of[band]
+
+    def met(self, band: int) -> list[int]:
+        return [self.first[b] + i for b in (band - 1, band, band + 1) if b in self.of for i in range(self.of[b])]
+
+
+_PREFIX = "cid long, n int, g array<long>, eb int, tb int, tbs array<int>, ebs array<int>"
+
+
+def _prefix_batches(table: np.ndarray, ev: Blocks, tr: Blocks):
     def run(batches):
         memo: dict = {}
         for b in batches:
-            cid, n_of, norm = b.column("cid").to_pylist(), b.column("n").to_pylist(), b.column("norm").to_pylist()
-            cols: list[list] = [[], [], [], [], [], []]
-            for c, n, text in zip(cid, n_of, norm):
-                for kind, g in shingles(text.split(" "), memo):
-                    order = np.lexsort((g, table[(g % BUCKETS).astype(np.int64)]))
-                    size = len(g)
-                    part = int(np.ceil((LEAST if kind else SHARE) * size - 1e-9))
-                    p = min(size, size - part + (1 if kind else min(COMMON, part)))
-                    g = g[order[:p]]
-                    for col, v in zip(cols, (np.full(p, c), np.full(p, n), np.full(p, kind), np.full(p, size), np.arange(p), g.view(np.int64))):
-                        col.append(v)
-            if cols[0]:
-                names = ["cid", "n", "kind", "size", "at", "g"]
-                types = [pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, types)], names=names)
+            cols: list[list] = [[], [], [], [], [], [], []]
+            for c, n, band, e, t, text in zip(*(b.column(x).to_pylist() for x in ("cid", "n", "band", "e", "t", "norm"))):
+                g = tokens(text.split(" "), memo)
+                p = min(n, n - needed(n) + min(COMMON, needed(n)))
+                g = g[np.lexsort((g, table[(g % BUCKETS).astype(np.int64)]))[:p]]
+                row = (c, n, g.view(np.int64), ev.own(band, c) if e else None, tr.own(band, c) if t else None, tr.met(band) if e else [], ev.met(band) if t else [])
+                for col, v in zip(cols, row):
+                    col.append(v)
+            types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in _PREFIX.split(", ")])
 
     return run
 
 
+def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    g = t.column("g").combine_chunks()
+    g = g.combine_chunks() if isinstance(g, pa.ChunkedArray) else g
+    return g.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(g.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+
+
+def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The pairs of a block of evaluation texts and a block of training texts with enough prefix tokens in common."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(left) and len(right):
+        ga, at_a = _flat(left)
+        gb, at_b = _flat(right)
+        ca, cb = left.column("cid").to_numpy(), right.column("cid").to_numpy()
+        na, nb = left.column("n").to_numpy(), right.column("n").to_numpy()
+        need_a, need_b = (np.minimum(COMMON, np.ceil(LEAST * n - 1e-9)) for n in (na, nb))
+        order = np.argsort(gb, kind="stable")
+        owner = np.repeat(np.arange(len(cb), dtype=np.int32), np.diff(at_b))[order]
+        known, start = np.unique(gb[order], return_index=True)
+        stop = np.r_[start[1:], len(gb)]
+        where = np.minimum(np.searchsorted(known, ga), len(known) - 1)
+        hit = known[where] == ga
+        for i in range(len(ca)):
+            k = where[at_a[i] : at_a[i + 1]][hit[at_a[i] : at_a[i + 1]]]
+            if len(k):
+                n = np.bincount(np.concatenate([owner[x:y] for x, y in zip(start[k], stop[k])]), minlength=len(cb))
+                j = np.flatnonzero((n >= np.minimum(need_a[i], need_b)) & (np.minimum(na[i], nb) >= LEAST * np.maximum(na[i], nb)) & (cb != ca[i]))
+                if len(j):
+                    found.append((np.full(len(j), ca[i]), cb[j]))
+    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+    return pa.table({"ca": pa.array(a, pa.int64()), "cb": pa.array(b, pa.int64())})
+
+
 def _verify_batches(batches):
     for b in batches:
         a, c = b.column("norm_a").to_pylist(), b.column("norm_b").to_pylist()
@@ -183,31 +222,17 @@ def overlaps(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     order = np.zeros(BUCKETS, np.int64)
     for r in rows:
         order[r.bucket] = r.n
-    prefix = scratch.keep(
-        cls.select("cid", "n", "norm").mapInArrow(_prefix_batches(order), "cid long, n int, kind byte, size int, at int, g long")
-    )
-    side = cls.select("cid", "t", "e")
-    left = prefix.join(side.where("e").select("cid"), "cid").select(*[F.col(c).alias(f"{c}_a") for c in ("cid", "n", "kind", "size", "at")], "g")
-    right = prefix.join(side.where("t").select("cid"), "cid").select(*[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "kind", "size", "at")], "g")
-    met = left.join(right, "g").where(
-        (F.col("kind_a") == F.col("kind_b"))
-        & (F.col("cid_a") != F.col("cid_b"))
-        & (F.least("n_a", "n_b") >= LEAST * F.greatest("n_a", "n_b"))
-        & (
-            F.least("at_a", "at_b") + 1 + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1)
-            >= F.when(F.col("kind_a") == 1, LEAST).otherwise(SHARE) * F.greatest("size_a", "size_b") - 1e-9
-        )
-    )
-    near = (
-        met.groupBy(F.col("cid_a").alias("ca"), F.col("cid_b").alias("cb"), "kind_a")
-        .agg(F.count("*").alias("c"), F.min(F.least("size_a", "size_b")).alias("size"))
-        .where((F.col("kind_a") == 1) | (F.col("c") >= F.least(F.lit(COMMON), F.ceil(SHARE * F.col("size") - 1e-9))))
-        .select("ca", "cb")
-        .distinct()
-    )
+    banded = cls.withColumn("band", F.floor(F.log("n") / -float(np.log(BAND))).cast("int"))
+    sizes = banded.groupBy("band").agg(*[f(F.when(F.col(x), v)).alias(f"{x}{y}") for x in ("e", "t") for y, f, v in (("n", F.count, F.lit(1)), ("w", F.sum, F.col("n")))]).collect()
+    ev, tr = (Blocks([(r.band, r[f"{x}n"], r[f"{x}w"]) for r in sizes if r[f"{x}n"]]) for x in ("e", "t"))
+    prefix = scratch.keep(spread(banded.select("cid", "n", "band", "e", "t", "norm")).mapInArrow(_prefix_batches(order, ev, tr), _PREFIX))
+    left = prefix.where("eb is not null").select("eb", F.explode("tbs").alias("tb"), "cid", "n", "g")
+    right = prefix.where("tb is not null").select(F.explode("ebs").alias("eb"), "tb", "cid", "n", "g")
+    near = left.groupBy("eb", "tb").cogroup(right.groupBy("eb", "tb")).applyInArrow(_meet, "ca long, cb long")
     texts = cls.select("cid", "norm")
     checked = (
-        near.join(texts.select(F.col("cid").alias("ca"), F.col("norm").alias("norm_a")), "ca")
+        scratch.keep(near)
+        .join(texts.select(F.col("cid").alias("ca"), F.col("norm").alias("norm_a")), "ca")
         .join(texts.select(F.col("cid").alias("cb"), F.col("norm").alias("norm_b")), "cb")
         .mapInArrow(_verify_batches, "ca long, cb long")
     )

@@ -109,6 +109,25 @@ def test_overlaps_equal_brute_force(spark):
     assert got == brute(rows) and len(got) > 50
 
 
+def test_overlaps_with_scattered_changes(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(60)]
+    rows, at = [], 0
+    for n in (40, 100, 160, 300):
+        for share in (0.6, 0.64, 0.65, 0.66, 0.7, 0.75):
+            t = [rng.choice(vocab) for _ in range(n)]
+            keep = {int(k / share + 0.5) for k in range(round(share * n))}
+            other = [w if i in keep else f"x{rng.randrange(60)}" for i, w in enumerate(t)]
+            grown = [y for i, w in enumerate(t) for y in ([w, f"y{i}"] if i % 2 else [w])]
+            for words, split in ((t, "train"), (other, "valid"), (grown, "test")):
+                rows.append(pair(at, text=" ".join(words), split=split))
+                at += 1
+    # every fourth word replaced: 75 of 100 words in order, and no run of five in common
+    rows += [pair(1000, text=" ".join(f"a{i}" for i in range(100)), split="train"), pair(1001, text=" ".join(f"a{i}" if i % 4 else f"b{i}" for i in range(100)), split="test")]
+    got = {(r.eval_id, r.train_id) for r in crosssplit.overlaps(spark.createDataFrame(rows, PAIR), Scratch(spark, "t")).collect()}
+    assert (1001, 1000) in got and got == brute(rows) and len(got) > 30
+
+
 def test_overlaps_empty(spark):
     assert crosssplit.overlaps(spark.createDataFrame([], PAIR), Scratch(spark, "t")).count() == 0
 
