@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from quillgraph.functions import text as T
 from quillgraph.operators import checks, graph, search
 from quillgraph.operators import resolve as R
 from quillgraph.plans import vault
-from quillgraph.runtime import Scratch, table
+from quillgraph.runtime import Scratch, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -417,9 +418,24 @@ def upsert_latest(spark, d):
 # --- model replies, training data and evaluation
 
 
-def _claims(spark, d):
-    r = table(spark, d, "training_records").where("task in ('extract', 'extract_chunk') and raw_output is not null and try_parse_json(raw_output) is not null")
-    r = r.dropDuplicates(["run_id", "seq"])
+def _replies(spark, d, tasks, every=False):
+    """One row for each call with a reply that parses as it stands; with ``every``, also what a fence, a lead-in or a break hides."""
+    r = table(spark, d, "training_records").where(F.col("task").isin(*tasks) & F.col("raw_output").isNotNull())
+    if not every:
+        return r.where("try_parse_json(raw_output) is not null").dropDuplicates(["run_id", "seq"])
+
+    from quillgraph.functions.markup import parse_reply
+
+    @F.udf("string", useArrow=True)
+    def parsed(x):
+        v = parse_reply(x)
+        return None if v is None else json.dumps(v)
+
+    return spread(r.dropDuplicates(["run_id", "seq"])).withColumn("raw_output", parsed("raw_output")).where("raw_output is not null")
+
+
+def _claims(spark, d, every=False):
+    r = _replies(spark, d, ("extract", "extract_chunk"), every)
     c = r.select("run_id", "seq", F.from_json("raw_output", "key_claims array<struct<text: string>>").alias("j"))
     return c.select("run_id", "seq", F.posexplode("j.key_claims.text").alias("pos", "text"))
 
@@ -432,14 +448,14 @@ k AS (SELECT run_id, seq, pos, j ->> '$' AS text FROM c)
 
 @query(_CLAIMS + r""", v AS (SELECT run_id, seq, pos, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM k), f AS (SELECT * FROM v WHERE strlen(text) >= 15 QUALIFY row_number() OVER (PARTITION BY run_id, seq, lower(text) ORDER BY pos) = 1)
 SELECT run_id, seq, text, (row_number() OVER (PARTITION BY run_id, seq ORDER BY pos))::INT AS n FROM f QUALIFY n <= 12""")
-def claims_validate(spark, d):
-    return checks.valid_claims(_claims(spark, d), ["run_id", "seq"], "text", ["pos"]).select("run_id", "seq", "text", "n")
+def claims_validate(spark, d, every=False):
+    return checks.valid_claims(_claims(spark, d, every), ["run_id", "seq"], "text", ["pos"]).select("run_id", "seq", "text", "n")
 
 
 @query(_CLAIMS + """, f AS (SELECT * FROM k WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY run_id, lower(trim(text)) ORDER BY seq, pos) = 1)
 SELECT run_id, len(list(text)) AS n, sha256(string_agg(text, chr(10) ORDER BY seq, pos)) AS merged FROM f GROUP BY run_id""")
-def extract_merge(spark, d):
-    m = checks.merge_chunks(_claims(spark, d), ["run_id"], "text", ["seq", "pos"])
+def extract_merge(spark, d, every=False):
+    m = checks.merge_chunks(_claims(spark, d, every), ["run_id"], "text", ["seq", "pos"])
     return m.select("run_id", F.size("merged").cast("long").alias("n"), F.sha2(F.array_join("merged", "\n"), 256).alias("merged"))
 
 
@@ -551,8 +567,8 @@ def key_graph_lineage(spark, d):
 # --- ingest gates
 
 
-def _findings(spark, d):
-    r = table(spark, d, "training_records").where("task = 'contradiction' and raw_output is not null and try_parse_json(raw_output) is not null").dropDuplicates(["run_id", "seq"])
+def _findings(spark, d, every=False):
+    r = _replies(spark, d, ("contradiction",), every)
     f = r.select("run_id", "seq", F.from_json("raw_output", "findings array<struct<page_id: string, existing_text: string, new_claim: string, explanation: string>>").alias("j"))
     return f.select("run_id", "seq", F.posexplode("j.findings").alias("pos", "f")).select("run_id", "seq", "pos", "f.*")
 
@@ -560,11 +576,11 @@ def _findings(spark, d):
 @query(r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) * FROM training_records WHERE task = 'contradiction' AND json_valid(raw_output)),
 f AS (SELECT run_id, seq, unnest(json_extract(raw_output, '$.findings[*]')) AS j, list_filter(messages, lambda m: m.role = 'user')[1].content AS body FROM r)
 SELECT run_id, seq, j ->> '$.page_id' AS page_id, contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(j ->> '$.new_claim', '\s+', ' ', 'g'))) AS verbatim FROM f""")
-def findings_verbatim(spark, d):
+def findings_verbatim(spark, d, every=False):
     """Whether the claim of each contradiction finding stands in the message it was asked about."""
     m = table(spark, d, "training_records").where("task = 'contradiction'").dropDuplicates(["run_id", "seq"])
     body = m.select("run_id", "seq", F.get(F.filter("messages", lambda x: x["role"] == "user"), 0)["content"].alias("body"))
-    got = _findings(spark, d).join(body, ["run_id", "seq"])
+    got = _findings(spark, d, every).join(body, ["run_id", "seq"])
     return got.select("run_id", "seq", "page_id", T.normalize_ws(F.col("body")).contains(T.normalize_ws(F.col("new_claim"))).alias("verbatim"))
 
 
@@ -572,15 +588,38 @@ def findings_verbatim(spark, d):
 c AS (SELECT run_id, seq, unnest(json_extract(raw_output, '$.linked_claims[*]')) ->> '$' AS claim FROM r),
 l AS (SELECT run_id, seq, unnest(regexp_extract_all(claim, '\[\[([^\]|#\n]+)', 1)) AS target FROM c)
 SELECT target, count(*) AS n, count(DISTINCT run_id) AS runs FROM l GROUP BY target""")
-def claim_links(spark, d):
+def claim_links(spark, d, every=False):
     """Targets of the links that were woven into claims."""
     from quillgraph.operators.ingest import claim_targets
 
-    r = table(spark, d, "training_records").where("task = 'suggest_links' and raw_output is not null and try_parse_json(raw_output) is not null").dropDuplicates(["run_id", "seq"])
+    r = _replies(spark, d, ("suggest_links",), every)
     c = r.select("run_id", "seq", F.explode(F.from_json("raw_output", "linked_claims array<string>")["linked_claims"]).alias("claim"))
     return claim_targets(c, "claim").groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))
 
 
+# Over every reply that the project's own parser reads. SQL cannot follow it; the queries above keep to what their SQL has.
+
+
+@query()
+def claims_validate_all(spark, d):
+    return claims_validate(spark, d, True)
+
+
+@query()
+def extract_merge_all(spark, d):
+    return extract_merge(spark, d, True)
+
+
+@query()
+def findings_verbatim_all(spark, d):
+    return findings_verbatim(spark, d, True)
+
+
+@query()
+def claim_links_all(spark, d):
+    return claim_links(spark, d, True)
+
+
 @query(rf"""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
 SELECT query, id, round(1 - round(list_cosine_similarity(q.v, e.v), 6), 6) AS distance FROM q JOIN e ON q.query <> e.id WHERE round(1 - round(list_cosine_similarity(q.v, e.v), 6), 6) < 0.7
 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(q.v, e.v), 6) DESC, id) <= 3""")

@@ -297,3 +297,27 @@ def test_catalog_names_have_sql():
     from quillgraph.plans import catalog
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.ORACLES) > 55
+
+
+def test_replies_in_fences_and_behind_lead_ins(spark, tmp_path):
+    import json
+
+    from quillgraph.plans import catalog
+
+    ways = [lambda x: x, lambda x: f"```json\n{x}\n```", lambda x: f"Here is the result:\n{x}", lambda x: f"[{x}]", lambda x: x[:-2], lambda x: "no reply"]
+    rows = []
+    for i, way in enumerate(ways):
+        asked = [("user", f"The body says  claim number {i} in full.")]
+        claim = {"text": f"claim number {i} in full"}
+        found = {"page_id": f"p{i}", "existing_text": "e", "new_claim": claim["text"], "explanation": "x"}
+        for task, reply in (("extract", {"key_claims": [claim]}), ("contradiction", {"findings": [found]}), ("suggest_links", {"linked_claims": [f"see [[d{i}]] now"]})):
+            rows.append((f"{task}{i}", 0, task, asked, way(json.dumps(reply))))
+    rows.append(rows[3])
+    t = spark.createDataFrame(rows, "run_id string, seq long, task string, messages array<struct<role: string, content: string>>, raw_output string")
+    t.write.parquet(f"{tmp_path}/training_records.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(r.run_id for r in run("claims_validate_all")) == [f"extract{i}" for i in range(5)]
+    assert {(r.run_id, r.n) for r in run("extract_merge_all")} == {(f"extract{i}", 1) for i in range(5)}
+    assert {(r.page_id, r.verbatim) for r in run("findings_verbatim_all")} >= {(f"p{i}", True) for i in range(4)}
+    assert {r.target for r in run("claim_links_all")} >= {f"d{i}" for i in range(4)}
+    assert "extract1" not in {r.run_id for r in run("claims_validate")}
