@@ -2,8 +2,8 @@
 
 One pass over each table labels what shows in the record itself (empty, copied, truncated, another
 language) and reduces the opening of each reply to a template: words that the corpus of prompts uses as
-subject matter, names and numbers become slots. Templates are clustered by MinHash over five-word
-shingles, every link verified at a Jaccard similarity of 0.8. A cluster that recurs across unrelated
+subject matter, names and numbers become slots. Templates are clustered over five-word shingles, by MinHash
+first and by an exact prefix filter for what that leaves, every link verified at a Jaccard similarity of 0.8. A cluster that recurs across unrelated
 prompts and whose members mostly stand where the task demanded another form, or mostly abstain, is a
 way of declining; its members that do not state an abstention are refusals.
 
@@ -299,10 +299,13 @@ def _band_batches(batches):
 
 
 def clustered(skeletons: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(sid, cluster)`` of distinct templates ``(sid, skeleton)``.
+    """``(sid, cluster)`` of distinct templates ``(sid, skeleton)``: chains of a Jaccard similarity of SIMILAR.
 
-    Members of a bucket are linked to the bucket's smallest member and to their neighbour in order,
-    never to each other in all pairs; each link is verified on the exact shingle sets.
+    MinHash links come first, from each member of a bucket to its smallest and greatest member, each verified on
+    the exact shingle sets; they are cheap and join most of a cluster, but not all of it. An exact prefix filter
+    then finds the rest: sets of a Jaccard similarity j share a shingle among the first n - ceil(j n) + 1 of each
+    in one global order, rarest first. Only pairs from different clusters meet there, so a large cluster
+    that MinHash has joined costs nothing more.
     """
     bands = skeletons.mapInArrow(_band_batches, "sid long, bands array<long>").select("sid", F.posexplode("bands").alias("band", "k"))
     low = bands.groupBy("band", "k").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high")
@@ -313,17 +316,30 @@ def clustered(skeletons: DataFrame, scratch: Scratch) -> DataFrame:
         .select(F.greatest("sid", "other").alias("u"), F.least("sid", "other").alias("v"))
         .distinct()
     )
-    sets = skeletons.select(
-        "sid",
-        F.expr("split(skeleton, ' ')").alias("w"),
-    ).select(
-        "sid",
-        F.expr("array_distinct(transform(sequence(0, greatest(0, size(w) - 5)), i -> array_join(slice(w, i + 1, 5), ' ')))").alias("s"),
-    )
-    both = links.join(sets.select(F.col("sid").alias("u"), F.col("s").alias("su")), "u").join(
-        sets.select(F.col("sid").alias("v"), F.col("s").alias("sv")), "v"
+    sets = scratch.keep(
+        skeletons.select("sid", F.expr("split(skeleton, ' ')").alias("w")).select(
+            "sid",
+            F.expr("transform(array_distinct(transform(sequence(0, greatest(0, size(w) - 5)), i -> array_join(slice(w, i + 1, 5), ' '))), x -> xxhash64(x))").alias("s"),
+        )
     )
-    sure = both.where(F.size(F.array_intersect("su", "sv")) >= SIMILAR * F.size(F.array_union("su", "sv"))).select("u", "v")
+
+    def verified(links: DataFrame) -> DataFrame:
+        both = links.join(sets.select(F.col("sid").alias("u"), F.col("s").alias("su")), "u").join(
+            sets.select(F.col("sid").alias("v"), F.col("s").alias("sv")), "v"
+        )
+        return both.where(F.size(F.array_intersect("su", "sv")) >= SIMILAR * F.size(F.array_union("su", "sv"))).select("u", "v")
+
+    sure = scratch.keep(verified(links))
+    first = components(sure, scratch).withColumnRenamed("u", "sid")
+    each = sets.select("sid", F.size("s").alias("n"), F.explode("s").alias("g"))
+    ranked = each.join(each.groupBy("g").agg(F.count("*").alias("df")), "g").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    prefix = ranked.select("sid", "n", F.explode(F.slice("o", F.lit(1), F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9).cast("int") + 1)).alias("x"))
+    prefix = prefix.join(first, "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("c"), F.col("x.g").alias("g"))
+    mixed = prefix.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g")
+    prefix = scratch.keep(prefix.join(mixed, "g", "left_semi"))
+    met = prefix.alias("a").join(prefix.alias("b"), "g").where("a.c <> b.c and a.sid > b.sid").where(F.expr(f"least(a.n, b.n) >= {SIMILAR} * greatest(a.n, b.n) - 1e-9"))
+    rest = verified(met.select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).distinct())
+    sure = sure.unionByName(rest)
     roots = components(sure, scratch)
     return skeletons.join(roots.withColumnRenamed("u", "sid"), "sid", "left").select("sid", "skeleton", F.coalesce("root", "sid").alias("cluster"))
 

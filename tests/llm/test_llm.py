@@ -379,3 +379,26 @@ def test_subjects(spark):
 def test_sentences_leave_furniture_out():
     text = "---\ntitle: X\n---\n# Head\n\nHome | All pages | Help\n\nThe star was found by us. Is it new?\nhttps://x.example/1\n\n- [[a-b]]\n- Whales live in the sea.\n## [2025-01-01] sync | x\n- 3 pages, 2 links\n"
     assert subjects.sentences(text) == ["The star was found by us.", "Whales live in the sea."]
+
+
+def test_clusters_hold_where_a_bucket_has_dissimilar_ends(spark):
+    # two templates at 0.85 among decoys at some 0.6 that take the smallest and greatest place of every shared bucket
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:56], "z0", "z1", "z2", "z3"]
+    rows = [(1000, base), (1001, near)]
+    for i in range(400):
+        t = list(base)
+        for at in (rng.randrange(0, 20), rng.randrange(20, 40), rng.randrange(40, 60)):
+            t[at] = f"y{i}x{at}"
+        rows.append((i if i % 2 else 2000 + i, t))
+    t = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "sid long, skeleton string")
+    got = {r.sid: r.cluster for r in replies.clustered(t, Scratch(spark, "t")).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(56)} for i, w in rows}
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    assert got[1000] == got[1001] and got == root
