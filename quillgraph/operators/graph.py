@@ -60,6 +60,18 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
     return seen
 
 
+def expand_each(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
+    """``(root, id, hop)``: what ``expand`` gives for each seed ``(id)`` by itself."""
+    adj = undirected(edges)
+    seen = seeds.select(F.col("id").alias("root"), "id").distinct().withColumn("hop", F.lit(0))
+    frontier = seen.select("root", "id")
+    for hop in range(1, hops + 1):
+        reached = frontier.join(adj, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
+        frontier = reached.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        seen = seen.unionByName(frontier.withColumn("hop", F.lit(hop)))
+    return seen
+
+
 def lineage(edges: DataFrame, roots: DataFrame, depth: int = 3, forward: bool = True) -> DataFrame:
     """``(root, id, depth)`` of directed walks of 1..depth steps (at most 5) from each root ``(id)``."""
     step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if forward else edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))

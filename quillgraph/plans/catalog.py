@@ -327,11 +327,48 @@ def already_ingested(spark, d):
 def note_detail(spark, d):
     n, e = _graph(spark, d)
     ids = n.where(F.coalesce(F.regexp_extract("path", r"/x(\d+)/", 1).try_cast("long"), F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long")) % 97 == 0).select("id")
+    return _detail(ids, e)
+
+
+def _detail(ids, e):
     o = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
     i = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
     return ids.join(o, "id", "left").join(i, "id", "left").select("id", F.coalesce("o", F.lit(0)).cast("long").alias("out_n"), F.coalesce("i", F.lit(0)).cast("long").alias("in_n"))
 
 
+# From every note. SQL is left to the queries above, which start from a part of the notes.
+
+
+@query()
+def note_detail_all(spark, d):
+    n, e = _graph(spark, d)
+    return _detail(n.select("id"), e)
+
+
+@query()
+def lineage_down_all(spark, d):
+    n, e = _graph(spark, d)
+    return graph.lineage(e.where("dst_type = 'Note'"), n.select("id"), 3)
+
+
+@query()
+def lineage_up_all(spark, d):
+    n, e = _graph(spark, d)
+    return graph.lineage(e.where("dst_type = 'Note'"), n.select("id"), 3, False)
+
+
+@query()
+def expand_1hop_all(spark, d):
+    n, e = _graph(spark, d)
+    return graph.expand_each(e, n, 1)
+
+
+@query()
+def expand_2hop_all(spark, d):
+    n, e = _graph(spark, d)
+    return graph.expand_each(e, n, 2)
+
+
 @query()
 def communities(spark, d):
     n, e = _graph(spark, d)
@@ -564,6 +601,12 @@ def key_graph_lineage(spark, d):
     return graph.lineage(key_graph(spark, d), roots, 3)
 
 
+@query()
+def key_graph_lineage_all(spark, d):
+    roots = table(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
+    return graph.lineage(key_graph(spark, d), roots, 3)
+
+
 # --- ingest gates
 
 

@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 
 import pytest
@@ -321,3 +322,32 @@ def test_replies_in_fences_and_behind_lead_ins(spark, tmp_path):
     assert {(r.page_id, r.verbatim) for r in run("findings_verbatim_all")} >= {(f"p{i}", True) for i in range(4)}
     assert {r.target for r in run("claim_links_all")} >= {f"d{i}" for i in range(4)}
     assert "extract1" not in {r.run_id for r in run("claims_validate")}
+
+
+def test_graph_reads_start_from_every_note(spark, tmp_path):
+    from quillgraph.plans import catalog, vault
+
+    docs = [(i, f"text {i}", "en", "web", "note", None) for i in range(120)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, kind string, updated date").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    n = vault.notes(spark, str(tmp_path))
+    edges = vault.edges(n).collect()
+    ids = {r.id for r in n.select("id").collect()}
+    assert len(ids) == 120
+    outs, ins = collections.Counter(e.src for e in edges), collections.Counter(e.dst for e in edges)
+    assert {(r.id, r.out_n, r.in_n) for r in run("note_detail_all")} == {(i, outs[i], ins[i]) for i in ids}
+    steps = {(e.src, e.dst) for e in edges if e.dst_type == "Note"}
+    for name, way in (("lineage_down_all", steps), ("lineage_up_all", {(b, a) for a, b in steps})):
+        level, want = {(i, i) for i in ids}, set()
+        for depth in (1, 2, 3):
+            level = {(r, b) for r, x in level for a, b in way if a == x}
+            want |= {(r, x, depth) for r, x in level}
+        assert {(r.root, r.id, r.depth) for r in run(name)} == want and want
+    near = steps | {(b, a) for a, b in steps}
+    seen = {(i, i): 0 for i in ids}
+    for hop in (1, 2):
+        for root, x in list(seen):
+            for a, b in near:
+                if a == x:
+                    seen.setdefault((root, b), hop)
+        assert {(r.root, r.id): r.hop for r in run(f"expand_{hop}hop_all")} == seen
