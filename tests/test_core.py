@@ -351,3 +351,21 @@ def test_graph_reads_start_from_every_note(spark, tmp_path):
                 if a == x:
                     seen.setdefault((root, b), hop)
         assert {(r.root, r.id): r.hop for r in run(f"expand_{hop}hop_all")} == seen
+
+
+def test_relink_counts_links_of_every_form(spark, tmp_path):
+    import re
+
+    from quillgraph.plans import catalog, vault
+
+    docs = [(i, f"text {i}", "en", "web", ("note", "clip", "answer", "log")[i // 10 % 4], None) for i in range(240)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, kind string, updated date").write.parquet(f"{tmp_path}/documents.parquet")
+    n = vault.notes(spark, str(tmp_path))
+    stay = [r.id for r in n.select("id", "path").collect() if int(re.search(r"/x(\d+)/", r.path)[1] if "/x" in r.path else re.search(r"d(\d+)\.md", r.path)[1]) % 13]
+    after = n.where(F.col("id").isin(stay))
+    links = resolve.note_links(n)
+    was, now = ({(r.src, r.pos): (r.dst, r.outcome, r.target) for r in resolve.resolve(links, x).select("src", "pos", "dst", "outcome", "target").collect()} for x in (n, after))
+    moved = {k for k in was if was[k][:2] != now[k][:2]}
+    assert any("/" in was[k][2] for k in moved) and any(was[k][2].startswith("t") for k in moved)
+    r = catalog.QUERIES["relink_all"](spark, str(tmp_path)).first()
+    assert (r.links, r.notes) == (len(moved), len({src for src, _ in moved}))
