@@ -6,8 +6,8 @@ sentence is embedded in the same space and assigned by cosine similarity to the
 centroids start from the subjects' seed terms and are refined from the sentences assigned to them. A
 document has a subject when the subject holds at least ``SHARE`` of its sentences.
 
-The vocabulary is every word in at least ``LEAST_DF`` of the documents, which bounds it by (distinct words
-of a document) / LEAST_DF whatever the corpus; matrices on the driver have one row for each such word.
+The vocabulary is every word in at least ``LEAST_DF`` of its language's documents, and in two, which bounds it for each language
+by (distinct words of a document) / LEAST_DF whatever the corpus; matrices on the driver have one row for each such word.
 
 Defined results: null, empty and blank texts, and texts of page furniture only (frontmatter, headings,
 menus, addresses, bare links, log lines), have no subject and no row; repeated texts get the same
@@ -323,11 +323,12 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, scratch: Scratch,
     total = sum(size.values())
     if not named or not total:
         return empty
+    least = F.coalesce(*[F.when(F.col("lang") == l, F.lit(max(2.0, n * LEAST_DF))) for l, n in size.items() if l is not None], F.lit(2.0))
     df = (
         split.select("lang", F.explode(F.array_distinct("words")).alias("w"))
         .groupBy("lang", "w")
         .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= max(2, total * LEAST_DF))
+        .where(F.col("n") >= least)
         .collect()
     )
     if not df:

@@ -402,3 +402,15 @@ def test_clusters_hold_where_a_bucket_has_dissimilar_ends(spark):
                 lo, hi = sorted((root[a], root[b]))
                 root = {k: lo if v == hi else v for k, v in root.items()}
     assert got[1000] == got[1001] and got == root
+
+
+def test_subjects_of_a_rare_language(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "LEAST_DF", 0.1)
+    rng = random.Random(9)
+    words = {"sky": "stern planet komet mond".split(), "sea": "wal riff flut hafen".split()}
+    seeds = spark.createDataFrame([("sky", ["star", "stern", "planet"]), ("sea", ["whale", "wal", "riff"])], "subject string, terms array<string>")
+    rows = [(i, " ".join(f"There was the {a} that we found by the {b}." for a, b in [rng.sample(t, 2) for _ in range(5)]), "en") for i in range(200) for t in ["star comet orbit moon".split() if i % 2 else "whale reef tide kelp".split()]]
+    rows += [(1000 + i, " ".join(f"Es war der {a} und wir sind nicht bei dem {b}." for a, b in [rng.sample(words[s], 2) for _ in range(5)]), "de") for i in range(12) for s in [("sky", "sea")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id for r in subjects.subject_shares(docs, seeds, Scratch(spark, "t"), rank=3).collect()}
+    assert sum(1000 + i in got for i in range(12)) >= 10
