@@ -3,9 +3,11 @@
 One pass over each table labels what shows in the record itself (empty, copied, truncated, another
 language) and reduces the opening of each reply to a template: words that the corpus of prompts uses as
 subject matter, names and numbers become slots. Templates are clustered over five-word shingles, by MinHash
-first and by an exact prefix filter for what that leaves, every link verified at a Jaccard similarity of 0.8. A cluster that recurs across unrelated
-prompts and whose members mostly stand where the task demanded another form, or mostly abstain, is a
-way of declining; its members that do not state an abstention are refusals.
+first and by an exact prefix filter for what that leaves, every link verified at a Jaccard similarity of 0.8.
+A cluster that recurs across RECURS unrelated prompts, counted exactly, and of whose members at least a third
+stand where the task demanded another form, or abstain, is a way of declining; its members that do not
+state an abstention are refusals, whatever their length. No list of phrases takes part. Prompts are unrelated
+when the sets of their words, function words aside, differ.
 
 Defined results: one row for a record at most, with the latest of repeated rows (by recorded_at or
 synced_at, then the greater defect) deciding; a null reply is empty; a null prompt leaves copied and
@@ -49,19 +51,7 @@ for _l, _w in FUNCTION_WORDS.items():
 _ONE = {w: ls[0] for w, ls in _LANG_OF.items() if len(ls) == 1}
 _FUNCTION = frozenset(_LANG_OF)
 
-#: Turns of phrase by which a writer declines.
-DECLINING = re.compile(
-    r"\bi (?:can(?:no|'|’)?t|won[’']?t|will not|am unable|am not (?:able|permitted|allowed)|must decline|decline|refuse|have to (?:pass|stop|decline)"
-    r"|do not have the ability|don[’']t take on|will leave it)\b|\bi[’'](?:m|d) (?:afraid i can|not able|unable|rather not|sorry)|\bunable to (?:provide|help|answer)"
-    r"|\bagainst my guidelines|\bnot be appropriate for me|\bi cannot|\boutside what i may|\bare not supported, so"
-    r"|\bkann ich (?:leider )?(?:nicht|keine)|\bdarf ich nicht|\bmöchte ich mich nicht|\bwerde ich nicht|\bschreibe ich grundsätzlich nicht|\bablehnen\b|\bleider bin ich nicht"
-    r"|\bje (?:ne (?:peux|suis|traiterai|puis) pas|dois refuser|préfère ne pas|m[’']abstiens|refuse)|\bje ne suis pas (?:en mesure|autorisé)"
-    r"|\bdebo rechazar|\bno (?:puedo|debo) |\bno voy a tratar|\bno estoy autorizad|\bno me (?:es posible|está permitido)|\bprefiero no (?:dar|responder)",
-    re.I,
-)
-
 FILLERS = frozenset(["", "n/a", "na", "none", "null", "nil", "-", "--", "---", "...", "…", "todo", "tbd", "undefined", "nan", "\"\"", "''", "[]", "{}", "()", "?"])
-SHORT_WORDS = 45
 RECURS = 3
 #: A prompt word is subject matter from this share of the prompts on.
 SUBJECT_SHARE = 2e-4
@@ -166,19 +156,19 @@ def opening(prose: str) -> str:
 
 
 def judge(task: str | None, prompt: str | None, reply: str | None, abstained: bool, subject: frozenset):
-    """(defect or None, template or None, stands in the demanded form, short, declines in words, abstained)."""
+    """(defect or None, template or None, stands in the demanded form, abstained)."""
     free = task is None
     if reply is None:
-        return "empty", None, False, True, False, abstained
+        return "empty", None, False, abstained
     text = _INVISIBLE.sub("", reply).strip()
     if free and abstained and text.lower() in FILLERS:
-        return "empty", None, False, True, False, abstained
+        return "empty", None, False, abstained
     m = _FENCE.match(text)
     body = m.group(1).strip() if m and (not free or m.group(1).count("```") == 0) else text
     if body.lower() in FILLERS:
         if task == "contradiction" and body == "[]":
-            return None, None, True, True, False, abstained
-        return "empty", None, False, True, False, abstained
+            return None, None, True, abstained
+        return "empty", None, False, abstained
     value, form, prose = None, free, body
     at = min((i for i in (body.find("{"), body.find("[") if body[:1] == "[" else -1) if i >= 0), default=-1)
     opened = at >= 0 and (not free or body[0] == "{")
@@ -190,14 +180,14 @@ def judge(task: str | None, prompt: str | None, reply: str | None, abstained: bo
         if value is None:
             rest = _OPEN_FENCE.sub("", body)
             if not free and (rest[:1] in "{[" or len(body[:at].split()) <= 12):
-                return "truncated", None, False, False, False, abstained
+                return "truncated", None, False, abstained
             opened = False
     if opened and isinstance(value, (dict, list)):
         if isinstance(value, dict) and task == "synthesize":
             abstained = value.get("abstained") is True
         if _blank(value):
             sound = (task == "contradiction" and isinstance(value, dict) and "findings" in value) or abstained
-            return (None if sound else "empty"), None, sound, True, False, abstained
+            return (None if sound else "empty"), None, sound, abstained
         if isinstance(value, dict):
             field = _STRING_FIELDS.get(task)
             form = field in value and all(k in value for k in _SCHEMA.get(task, ()))
@@ -221,11 +211,9 @@ def judge(task: str | None, prompt: str | None, reply: str | None, abstained: bo
         if not (form and task in ("decompose", "suggest_links", "contradiction")) and words:
             own = _WORD.findall(_LABEL.sub("", plain.lower().lstrip("> \t\n“\"«*")))
             if _copies(words, own, asked, prompt):
-                return "copied", None, form, False, False, abstained
-    short = len(words) <= SHORT_WORDS and (free or not form or task == "synthesize") and "[" not in prose
-    first = opening(prose)
-    skeleton = template(first, subject)
-    cue = short and bool(DECLINING.search(first.replace("’", "'")))
+                return "copied", None, form, abstained
+    # a reply that has the fields the task demands answers it, unless its one field is prose
+    skeleton = template(opening(prose), subject) if free or not form or task == "synthesize" else None
     defect = None
     if (free or not opened or (form and task in ("synthesize", "page_update"))) and broken_off(prose):
         defect = "truncated"
@@ -234,7 +222,7 @@ def judge(task: str | None, prompt: str | None, reply: str | None, abstained: bo
         mine, theirs = language(spoken), language(asked)
         if mine and theirs and mine != theirs:
             defect = "language"
-    return defect, skeleton, form, short, cue, abstained
+    return defect, skeleton, form, abstained
 
 
 def _copies(words: list[str], own: list[str], asked: list[str], prompt: str) -> bool:
@@ -252,7 +240,7 @@ def _copies(words: list[str], own: list[str], asked: list[str], prompt: str) ->
     return False
 
 
-_OUT = "tbl string, rec_key string, stamp timestamp, defect string, skeleton string, prompt_hash long, form boolean, short boolean, cue boolean, abstained boolean"
+_OUT = "tbl string, rec_key string, stamp timestamp, defect string, skeleton string, asked long, form boolean, abstained boolean"
 
 
 def _judge_batches(subject: frozenset):
@@ -264,12 +252,12 @@ def _judge_batches(subject: frozenset):
             got, seen = [], []
             for task, prompt, reply, abstained in zip(*cols):
                 got.append(judge(task, prompt, reply, abstained is True, subject))
-                seen.append(xxhash.xxh64_intdigest(prompt or "") >> 1)
-            d, s, f, h, c, a = zip(*got) if got else ((),) * 6
+                seen.append(None if got[-1][1] is None else xxhash.xxh64_intdigest(" ".join(sorted(set(_WORD.findall((prompt or "").lower())) - _FUNCTION))) >> 1)
+            d, s, f, a = zip(*got) if got else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), b.column(1), b.column(2), pa.array(d, pa.string()), pa.array(s, pa.string()), pa.array(seen, pa.int64()),
-                    pa.array(f, pa.bool_()), pa.array(h, pa.bool_()), pa.array(c, pa.bool_()), pa.array(a, pa.bool_()),
+                    pa.array(f, pa.bool_()), pa.array(a, pa.bool_()),
                 ],
                 names=[x.split()[0] for x in _OUT.split(", ")],
             )
@@ -377,35 +365,28 @@ def defects(records: DataFrame, answers: DataFrame, scratch: Scratch) -> DataFra
     )
     subject = frozenset(r.w for r in words.select("w").collect() if r.w)
     seen = scratch.keep(spread(rows).mapInArrow(_judge_batches(subject), _OUT))
-    per = (
-        seen.where("skeleton <> '' and coalesce(defect, '') not in ('empty', 'copied')")
-        .groupBy("skeleton")
-        .agg(
-            F.approx_count_distinct("prompt_hash").alias("prompts"),
-            F.count_if(F.expr("short and tbl = 'training_records'")).alias("standing"),
-            F.count_if(F.expr("short and not form")).alias("misplaced"),
-            F.count_if("abstained").alias("abstaining"),
-            F.count_if("cue").alias("cued"),
-            F.count("*").alias("n"),
-        )
+    told = seen.where("skeleton <> '' and coalesce(defect, '') not in ('empty', 'copied')")
+    per = scratch.keep(
+        told.groupBy("skeleton")
+        .agg(F.count_if(F.expr("not form or abstained")).alias("odd"), F.count("*").alias("n"))
         .withColumn("sid", F.xxhash64("skeleton"))
     )
-    per = scratch.keep(per)
     of = scratch.keep(clustered(per.select("sid", "skeleton"), scratch))
-    declining = (
+    likely = (
         of.join(per.drop("skeleton"), "sid")
         .groupBy("cluster")
-        .agg(*[F.sum(c).alias(c) for c in ("prompts", "misplaced", "abstaining", "cued", "n")])
-        .where(
-            (F.col("prompts") >= RECURS)
-            & ((F.col("misplaced") * 3 >= F.col("n")) | (F.col("abstaining") * 2 >= F.col("n")) | (F.col("cued") * 2 >= F.col("n")))
-        )
+        .agg(F.sum("odd").alias("odd"), F.sum("n").alias("n"))
+        .where((F.col("n") >= RECURS) & (F.col("odd") * 3 >= F.col("n")))
         .select("cluster")
     )
-    ways = of.join(declining, "cluster", "left_semi").select("skeleton", F.lit(True).alias("declining"))
+    ways = of.join(likely, "cluster", "left_semi").select("skeleton", "cluster")
+    # distinct prompts of each cluster, counted over rows that have been made distinct before they move
+    prompts = told.select("skeleton", "asked").distinct().join(ways, "skeleton").select("cluster", "asked").distinct()
+    recurring = prompts.groupBy("cluster").agg(F.count("*").alias("prompts")).where(F.col("prompts") >= RECURS)
+    ways = ways.join(recurring, "cluster", "left_semi").select("skeleton", F.lit(True).alias("declining"))
     final = seen.join(ways, "skeleton", "left").withColumn(
         "defect",
-        F.when(F.expr("short and not abstained and (declining or cue) and coalesce(defect, '') not in ('empty', 'copied')"), "refusal").otherwise(F.col("defect")),
+        F.when(F.expr("declining and not abstained and coalesce(defect, '') not in ('empty', 'copied')"), "refusal").otherwise(F.col("defect")),
     )
     return (
         final.groupBy("tbl", "rec_key")

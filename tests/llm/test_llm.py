@@ -181,9 +181,16 @@ def test_defects(spark):
         (2, "What is the telescope?", "Concerning objects like number 7 nothing shall be written by me today.", True, t, ""),
         (3, "What is the telescope?", "I can't help with this request.", False, t, ""), (4, None, None, None, None, None), (None, "q", "t", False, t, ""),
     ]
+    # a long way of declining with a citation, which recurs; and one that recurs across one prompt in three orders only
+    long = "Nothing at all shall come of that from me here [concepts-a]. " + "It is so and it was so and there is no more of it. " * 12
+    rows += [("l", i, "extract", ask(100 + i), long, True, t, 1) for i in range(3)]
+    same = ["What is the new telescope here?", "here is WHAT the new telescope", "The new telescope: what here?"]
+    rows += [("s", i, "extract", [("user", x)], "Well one could ask about that all day.", True, t, 1) for i, x in enumerate(same)]
     got = {(r.tbl, r.rec_key): r.defect for r in replies.defects(spark.createDataFrame(rows, rec), spark.createDataFrame(a, ans), Scratch(spark, "t")).collect()}
     want = {("training_records", f"r:{i}"): "refusal" for i in range(12)} | {("training_records", "r:60"): "empty"}
-    assert got == want | {("answers", "1"): "refusal", ("answers", "3"): "refusal", ("answers", "4"): "empty"}
+    want |= {("training_records", f"l:{i}"): "refusal" for i in range(3)}
+    # a refusal that occurs once, in whatever words, is none: the recurring template tells
+    assert got == want | {("answers", "1"): "refusal", ("answers", "4"): "empty"}
     none = replies.defects(spark.createDataFrame([], rec), spark.createDataFrame([], ans), Scratch(spark, "t"))
     assert none.count() == 0
 
