@@ -5,9 +5,11 @@ from each of ``BOOKS`` residual codebooks, chosen by beam search. The norm of th
 stored beside the codes. Queries score all codes of a block by tables of query-codeword products;
 the best ``RERANK`` candidates of each query are then scored exactly on the full vectors.
 
-The search is inverted: vectors lie in cells, and a query visits the cells nearest to its own. How many
-is measured on the training sample so that the true neighbours of the sample's vectors are found with
-probability ``REACH``; where vectors have no structure this is most of the cells, and recall is kept.
+The search is inverted: vectors lie in cells, and a query visits the cells nearest to its own. Cells have
+about ``CELL`` vectors at every size: beyond ``COARSE`` of them each is a coarse centroid plus one of a shared
+table of fine ones. How many cells to visit is measured on the training sample so that the true neighbours of
+the sample's vectors are found with probability ``REACH``; where vectors have no structure this is most of the
+cells, and recall is kept. Which cells a cell visits is found in tasks, from the two tables of centroids.
 Cells are stored in blocks of at most ``BLOCK`` codes, so no cell, however many vectors crowd in it, is
 one task's load. Equal vectors are one class and searched once; a class keeps its k + 1 smallest ids,
 which is all that a list of k neighbours can show of it.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.runtime import Scratch
+from quillgraph.runtime import Scratch, spread
 
 DIM, K = 128, 5
 BOOKS, WORDS, BEAM = 32, 256, 4
@@ -37,7 +39,10 @@ SAMPLE = 16_384
 RERANK = 32
 BLOCK = 8192
 CELL = 1500
-MOST_CELLS = 1024
+#: Coarse and fine centroids at most; both are trained on the sample, with four vectors or more for each.
+COARSE, FINE = 1024, 4096
+#: Sample vectors whose neighbours' cells are ranked, and candidates reranked for each neighbour asked for, at least.
+RANKED, PER_K = 4096, 4
 #: Codes that one task of the search holds (about 25 MB).
 SHARE_CODES = 1 << 19
 REACH = 0.99
@@ -90,8 +95,11 @@ class Quantiser:
     def __init__(self, sample: np.ndarray, total: int, seed: int = 3):
         rng = np.random.default_rng(seed)
         x = unit_rows(sample).astype(np.float32)
-        cells = int(np.clip(round(total / CELL), 1, MOST_CELLS))
-        self.cells = _kmeans(x, min(cells, len(x)), rng)
+        want = max(1, round(total / CELL))
+        self.coarse = _kmeans(x, min(want, COARSE, len(x)), rng)
+        rest = x - self.coarse[_nearest(x, self.coarse)]
+        fine = min(-(-want // len(self.coarse)), FINE, max(1, len(x) // 4))
+        self.fine = _kmeans(rest, fine, rng) if fine > 1 else np.zeros((1, x.shape[1]), np.float32)
         self.books, rest = [], x.copy()
         words = min(WORDS, len(x))
         for _ in range(BOOKS):
@@ -99,26 +107,57 @@ class Quantiser:
             self.books.append(book)
             rest -= book[_nearest(rest, book)]
         self.books = np.stack(self.books).astype(np.float32)
-        self.order = np.argsort(-(self.cells @ self.cells.T) + 0.5 * (self.cells * self.cells).sum(axis=1)[None, :], axis=1, kind="stable")
         self.visits = self._visits(x)
 
+    def __len__(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        c = _nearest(x, self.coarse)
+        return c if len(self.fine) == 1 else c * len(self.fine) + _nearest(x - self.coarse[c], self.fine)
+
+    def centre(self, cells: np.ndarray) -> np.ndarray:
+        return self.coarse[cells // len(self.fine)] + self.fine[cells % len(self.fine)]
+
+    def distances(self, cells: np.ndarray):
+        """Blocks of (first cell, squared distances up to a constant) from the centres of some cells to those of all."""
+        x = self.centre(cells)
+        step = max(1, (1 << 16) // len(self.fine))
+        for i in range(0, len(self.coarse), step):
+            y = (self.coarse[i : i + step, None, :] + self.fine[None, :, :]).reshape(-1, x.shape[1])
+            yield i * len(self.fine), 0.5 * (y * y).sum(axis=1) - x @ y.T
+
+    def visited(self, cells: np.ndarray) -> np.ndarray:
+        """The cells that queries of each given cell visit, nearest first, with its own."""
+        near = np.zeros((len(cells), 0), np.int64)
+        far = np.zeros((len(cells), 0), np.float32)
+        for first, d in self.distances(cells):
+            near = np.hstack([near, np.broadcast_to(np.arange(first, first + d.shape[1]), d.shape)])
+            far = np.hstack([far, d])
+            if near.shape[1] > self.visits:
+                top = np.argpartition(far, self.visits - 1, axis=1)[:, : self.visits]
+                near, far = np.take_along_axis(near, top, axis=1), np.take_along_axis(far, top, axis=1)
+        return np.take_along_axis(near, np.argsort(far, axis=1, kind="stable"), axis=1)
+
     def _visits(self, x: np.ndarray) -> int:
         """Cells to visit so that REACH of the sample's true neighbours lie in them."""
-        if len(self.cells) == 1 or len(x) < 2:
-            return len(self.cells)
+        if len(self) == 1 or len(x) < 2:
+            return len(self)
         cell = self.cell(x)
-        place = np.empty_like(self.order)
-        np.put_along_axis(place, self.order, np.arange(len(self.cells))[None, :].repeat(len(self.cells), 0), axis=1)
         seen = []
-        for i in range(0, min(len(x), 4096), 512):
+        for i in range(0, min(len(x), RANKED), 512):
             s = x[i : i + 512] @ x.T
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
             top = np.argpartition(-s, min(K, len(x) - 1) - 1, axis=1)[:, : min(K, len(x) - 1)]
-            seen.append(place[cell[i : i + 512][:, None], cell[top]].ravel())
-        return int(np.quantile(np.concatenate(seen), REACH)) + 1
-
-    def cell(self, x: np.ndarray) -> np.ndarray:
-        return _nearest(x, self.cells)
+            own, theirs = cell[i : i + 512], cell[top]
+            half = 0.5 * (self.centre(theirs) ** 2).sum(axis=2)
+            bar = half - np.einsum("id,ikd->ik", self.centre(own), self.centre(theirs))
+            place = np.zeros(theirs.shape, np.int64)
+            for _, d in self.distances(own):
+                d.sort(axis=1)
+                place += np.stack([np.searchsorted(row, b - 1e-6) for row, b in zip(d, bar)])
+            seen.append(place.ravel())
+        return min(len(self), int(np.quantile(np.concatenate(seen), REACH)) + 1)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, norm of the sum of the chosen codewords) by beam search."""
@@ -206,7 +245,7 @@ def _encode_batches(model: Quantiser, dim: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("c"),
-                    pa.array(model.cell(x), pa.int32()),
+                    pa.array(model.cell(x), pa.int64()),
                     pa.array([r.tobytes() for r in codes], pa.binary()),
                     pa.array(norms, pa.float32()),
                     pa.array([r.tobytes() for r in x], pa.binary()),
@@ -217,6 +256,18 @@ def _encode_batches(model: Quantiser, dim: int):
     return run
 
 
+def _visit_batches(model: Quantiser):
+    def run(batches):
+        for b in batches:
+            cells = b.column("cell").to_numpy()
+            for i in range(0, len(cells), 64):
+                own = cells[i : i + 64]
+                met = model.visited(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, met.shape[1])), pa.array(met.ravel())], names=["qcell", "cell"])
+
+    return run
+
+
 def _search(model: Quantiser, rerank: int):
     """One block of queries against the code blocks of the cells it visits."""
 
@@ -274,8 +325,12 @@ def _exact_batches(batches):
 
 
 def nearest(vectors: DataFrame, scratch: Scratch, k: int = K, dim: int = DIM, rerank: int = RERANK) -> DataFrame:
-    """``(id, other, score, rank)``: the k most similar other vectors of every vector ``(id, v)``."""
+    """``(id, other, score, rank)``: the k most similar other vectors of every vector ``(id, v)``.
+
+    At least PER_K * k candidates are scored exactly, so any k up to the number of vectors is served.
+    """
     spark = vectors.sparkSession
+    rerank = max(rerank, PER_K * k)
     keyed = scratch.keep(vectors.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(5), "v")))
     # The k + 1 smallest ids of a class; the rank filter runs before the shuffle.
     w = Window.partitionBy("h1", "h2").orderBy("id")
@@ -288,28 +343,19 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = K, dim: int = DIM, re
         sample = classes.orderBy("h1", "c").limit(SAMPLE).select("v").toArrow()
         model = Quantiser(_matrix(sample.column("v"), dim), total)
         coded = scratch.keep(
-            classes.select("c", "v").mapInArrow(_encode_batches(model, dim), "c long, cell int, codes binary, norm float, x binary")
-        )
-        size = {r.cell: r.n for r in coded.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most MOST_CELLS rows
-        subs = np.ones(len(model.cells), np.int64)
-        for c, n in size.items():
-            subs[c] = -(-n // BLOCK)
-        # a block table of fixed width: cell -> number of blocks, cells that query blocks of a cell visit
-        plan = spark.createDataFrame(
-            [(int(c), int(subs[c]), [int(x) for x in np.flatnonzero((model.order[:, : model.visits] == c).any(axis=1))]) for c in size],
-            "cell int, subs long, visitors array<int>",
+            classes.select("c", "v").mapInArrow(_encode_batches(model, dim), "c long, cell long, codes binary, norm float, x binary")
         )
-        plan = F.broadcast(plan)  # at most MOST_CELLS rows
-        placed = coded.join(plan.select("cell", "subs"), "cell").withColumn("sub", F.pmod(F.xxhash64("c"), F.col("subs")).cast("int"))
-        blocks = placed.groupBy("cell", "sub").applyInPandas(_pack_blocks, "cell int, sub int, cs binary, codes binary, norms binary")
-        visits = spark.createDataFrame([(int(c), int(s)) for c in size for s in range(int(subs[c]))], "qcell int, qsub int")
+        size = scratch.keep(coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("subs")))
+        placed = coded.join(size, "cell").withColumn("sub", F.pmod(F.xxhash64("c"), F.col("subs")).cast("int"))
+        blocks = placed.groupBy("cell", "sub").applyInPandas(_pack_blocks, "cell long, sub int, cs binary, codes binary, norms binary")
         # what one block of queries visits is dealt to as many tasks as keep each below SHARE_CODES codes
-        tasks = max(1, -(-total * model.visits // len(model.cells) // SHARE_CODES))
+        tasks = max(1, -(-total * model.visits // len(model) // SHARE_CODES))
+        visits = spread(size.select("cell")).mapInArrow(_visit_batches(model), "qcell long, cell long")
+        visits = visits.join(size.select(F.col("cell").alias("qcell"), F.col("subs").alias("qsubs")), "qcell")
         sent = (
-            blocks.join(plan.select("cell", "visitors"), "cell")
-            .withColumn("task", F.pmod(F.xxhash64("cell", "sub"), F.lit(tasks)).cast("int"))
-            .select("cs", "codes", "norms", "task", F.explode("visitors").alias("qcell"))
-            .join(visits, "qcell")
+            blocks.withColumn("task", F.pmod(F.xxhash64("cell", "sub"), F.lit(tasks)).cast("int"))
+            .join(visits, "cell")
+            .select("cs", "codes", "norms", "task", "qcell", F.explode(F.sequence(F.lit(0), (F.col("qsubs") - 1).cast("int"))).alias("qsub"))
         )
         queries = placed.select(
             F.col("cell").alias("qcell"), F.col("sub").alias("qsub"), "c", "x", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
@@ -328,15 +374,15 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = K, dim: int = DIM, re
     else:
         exact = spark.createDataFrame([], "q long, c long, score double")
     # Classes become ids again: of each class as many ids as a list of k can show.
-    names = firsts.select("c", "ids")
+    names = firsts.select("c", "id", "ids")
     own = firsts.where(F.size("ids") > 1).select(F.col("c").alias("q"), "c", F.lit(1.0).alias("score"))
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    near = exact.unionByName(own).withColumn("r", F.row_number().over(top)).where(F.col("r") <= 2 * k + 2).drop("r")
+    # the k + 1 first ids of a list lie in the k + 1 first classes, equal scores in order of the smallest id
+    top = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    near = exact.unionByName(own).join(names, "c").withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
     lists = (
-        near.join(names, "c")
-        .groupBy("q")
+        near.groupBy("q")
         .agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("ids"))).alias("l"))
-        .select("q", F.expr("slice(array_sort(flatten(transform(l, e -> transform(e.ids, i -> struct(e.s as s, i as other))))), 1, 2000)").alias("l"))
+        .select("q", F.slice(F.expr("array_sort(flatten(transform(l, e -> transform(e.ids, i -> struct(e.s as s, i as other)))))"), 1, k + 1).alias("l"))
     )
     member = keyed.select("id", "h1", "h2").join(firsts.select("h1", "h2", F.col("c").alias("q")), ["h1", "h2"])
     return (

@@ -241,6 +241,50 @@ def test_nearest_small(spark):
     assert neighbours.nearest(neighbours.usable(spark.createDataFrame(note_rows(3), NOTE)), Scratch(spark, "t")).count() == 6
 
 
+def test_nearest_gives_as_many_as_asked(spark):
+    rows = note_rows(150)
+    got = {}
+    for r in neighbours.nearest(neighbours.usable(spark.createDataFrame(rows, NOTE)), Scratch(spark, "t"), k=60).collect():
+        got.setdefault(r.id, {})[r.other] = r["rank"]
+    assert len(got) == 150 and all(len(x) == 60 and sorted(x.values()) == list(range(1, 61)) for x in got.values())
+    x = neighbours.unit_rows(np.array([r[1] for r in rows]))
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    hit = sum(len({rows[j][0] for j in np.argsort(-s[i])[:60]} & set(got[r[0]])) for i, r in enumerate(rows))
+    assert hit / (150 * 60) >= 0.97
+
+
+def test_nearest_orders_equal_scores_by_id(spark):
+    base = np.zeros(128)
+    base[0] = 1
+    other = [np.eye(128)[1] * (1 + i) * 1e-9 + base for i in range(9)]  # classes of their own with one and the same score
+    rows = [(f"m{i}", [float(v) for v in x * (9 - i)], dt.datetime(2025, 1, 1), 0) for i, x in enumerate(other)]
+    rows = [(i, [round(v, 6) + (1e-30 * n if d == 5 else 0) for d, v in enumerate(e)], t, c) for n, (i, e, t, c) in enumerate(rows)]
+    got = {}
+    for r in neighbours.nearest(neighbours.usable(spark.createDataFrame(rows, NOTE)), Scratch(spark, "t"), k=3).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.other))
+    assert [o for _, o in sorted(got["m8"])] == ["m0", "m1", "m2"] and [o for _, o in sorted(got["m1"])] == ["m0", "m2", "m3"]
+
+
+def test_two_levels_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 10)
+    monkeypatch.setattr(neighbours, "COARSE", 8)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rows = note_rows(600)
+    model = neighbours.Quantiser(np.array([r[1] for r in rows]), 600)
+    assert len(model.coarse) == 8 and len(model.fine) == 8 and len(model) == 64 and model.visits <= 64
+    met = model.visited(np.arange(64))
+    assert met.shape == (64, model.visits) and len(set(met[5].tolist())) == model.visits
+    x = neighbours.unit_rows(np.array([r[1] for r in rows]))
+    got = {}
+    for r in neighbours.nearest(neighbours.usable(spark.createDataFrame(rows, NOTE)), Scratch(spark, "t")).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    hit = sum(len({rows[j][0] for j in np.argsort(-s[i])[:5]} & got[r[0]]) for i, r in enumerate(rows))
+    assert hit / 3000 >= 0.95
+
+
 # --- 5
 
 
