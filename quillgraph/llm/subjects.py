@@ -8,6 +8,11 @@ document has a subject when the subject holds at least ``SHARE`` of its sentence
 
 The vocabulary is every word in at least ``LEAST_DF`` of its language's documents, and in two, which bounds it for each language
 by (distinct words of a document) / LEAST_DF whatever the corpus; matrices on the driver have one row for each such word.
+A word is a 64-bit hash of itself and its language throughout. Sentences are embedded once and stored in half
+precision; the passes that refine the centroids and the one that assigns read only that.
+
+The language is the one whose function words prevail, else the first two letters of lang; a text of neither is
+of the class 'other', which has a vocabulary and a subspace of its own, with 'en' where lang is blank, too.
 
 Defined results: null, empty and blank texts, and texts of page furniture only (frontmatter, headings,
 menus, addresses, bare links, log lines), have no subject and no row; repeated texts get the same
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.replies import _FUNCTION, language
+from quillgraph.llm.replies import _FUNCTION, _ONE
 from quillgraph.runtime import Scratch, spread
 
 RANK = 40
@@ -36,7 +41,7 @@ LEAST_DF = 1e-4
 SHARE = 0.15
 LEAST_COSINE = 0.12
 CONTEXT = 0.4
-LANGS = ("en", "de", "fr", "es")
+LANGS = ("en", "de", "fr", "es", "other")
 NONE = "none"
 BLOCKS = 16
 #: Words of housekeeping, by which remarks about the pages themselves are known.
@@ -58,8 +63,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
 _MARK = re.compile(r"^[\s>*+-]*(?:\d{1,3}[.)]\s+)?")
 
 
-def sentences(text: str) -> list[str]:
-    """The sentences of a text without its page furniture."""
+def sentence_words(text: str) -> list[list[str]]:
+    """The words of each sentence of a text, without its page furniture."""
     t = _INVISIBLE.sub("", text)
     t = _FENCE.sub("\n", _FRONT.sub("", t))
     out = []
@@ -70,72 +75,110 @@ def sentences(text: str) -> list[str]:
         for s in _END.split(line.strip()):
             s = s.strip()
             # furniture is short or does not end as a sentence does
-            if s and s.rstrip("\"”»’)* ")[-1:] in ".!?…。！？" and len(_WORD.findall(s)) >= 4:
-                out.append(s)
+            if s and s.rstrip("\"”»’)* ")[-1:] in ".!?…。！？":
+                words = _WORD.findall(s)
+                if len(words) >= 4:
+                    out.append(words)
     return out
 
 
-def terms(sentence: str, lang: str) -> list[str]:
-    """Lower-case words that can carry a subject; names, where capitals tell them, are left out."""
-    out = []
-    for i, m in enumerate(_WORD.finditer(sentence)):
-        w = m.group()
-        if i and lang != "de" and w[0].isupper() and not w.isupper():
-            continue
-        w = w.lower()
-        for cut in ("’", "'"):
-            if cut in w:
-                head, _, tail = w.partition(cut)
-                w = tail if lang == "fr" and len(head) <= 2 else head
-        if len(w) > 1 and w not in _FUNCTION:
-            out.append(w)
-    return out
+def term_of(w: str, lang: str) -> str | None:
+    """The lower-case word that can carry a subject; None for function words and single letters."""
+    w = w.lower()
+    for cut in ("’", "'"):
+        if cut in w:
+            head, _, tail = w.partition(cut)
+            w = tail if lang == "fr" and len(head) <= 2 else head
+    return w if len(w) > 1 and w not in _FUNCTION else None
+
+
+def word_hash(term: str, lang: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(f"{lang} {term}") - (1 << 63)
+
+
+class Terms:
+    """Hashes of the words of a language, by spelling: first in a sentence, and later. Names, where capitals
+    tell them, are left out later. What is remembered is bounded and changes no result."""
+
+    def __init__(self, lang: str):
+        self.lang, self.first, self.later = lang, {}, {}
+
+    def _add(self, w: str) -> None:
+        t = term_of(w, self.lang)
+        h = None if t is None else word_hash(t, self.lang)
+        self.first[w] = h
+        self.later[w] = None if self.lang != "de" and w[0].isupper() and not w.isupper() else h
+
+    def of(self, words: list[str]) -> list[int]:
+        if len(self.first) > 200_000:
+            self.first.clear()
+            self.later.clear()
+        for w in words:
+            if w not in self.first:
+                self._add(w)
+        got = [*map(self.later.get, words)]
+        got[0] = self.first.get(words[0])
+        return [h for h in got if h is not None]
+
+
+def language_of(sentences: list[list[str]], given: str | None, memo: dict) -> str:
+    """The language whose function words prevail, else what is given."""
+    n = dict.fromkeys(("en", "de", "fr", "es"), 0)
+    if len(memo) > 200_000:
+        memo.clear()
+    for words in sentences:
+        for w in words:
+            if w not in memo:
+                memo[w] = _ONE.get(w.lower())
+        for l in map(memo.get, words):
+            if l:
+                n[l] += 1
+    (a, x), (_, y) = sorted(n.items(), key=lambda p: -p[1])[:2]
+    if x >= 2 and x >= 2 * y:
+        return a
+    given = (given or "").strip().lower()[:2]
+    return given if given in LANGS else "other" if given else "en"
 
 
 def _split_batches(batches):
+    of, memo = {l: Terms(l) for l in LANGS}, {}
     for b in batches:
-        ids, langs, words, ends = [], [], [], []
+        ids, langs, words, at, ends = [], [], [], [0], []
         for d, t, given in zip(*(b.column(i).to_pylist() for i in range(3))):
-            ss = sentences(t) if t else []
+            ss = sentence_words(t) if t else []
             if not ss:
                 continue
-            lang = language(_WORD.findall(" ".join(ss).lower())) or (given or "").strip().lower()[:2]
-            lang = lang if lang in LANGS else "en"
-            flat, at = [], []
+            lang = language_of(ss, given, memo)
+            base, upto = len(words), []
             for s in ss:
-                flat += terms(s, lang)
-                at.append(len(flat))
+                words += of[lang].of(s)
+                upto.append(len(words) - base)
             ids.append(d)
-            langs.append(lang)
-            words.append(flat)
-            ends.append(at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(ends, pa.list_(pa.int32()))],
-            names=["doc_id", "lang", "words", "ends"],
-        )
+            langs.append(LANGS.index(lang))
+            at.append(len(words))
+            ends.append(upto)
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.array(words, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.int8()), lists, pa.array(ends, pa.list_(pa.int32()))], names=["doc_id", "lang", "words", "ends"])
 
 
-def _index_batches(vocab: dict[tuple[str, str], int]):
-    """Words to term ids, dropping words outside the vocabulary."""
+def _index_batches(known: np.ndarray):
+    """Hashes to places in the ordered vocabulary, dropping words outside it."""
 
     def run(batches):
-        of = {l: {w: i for (k, w), i in vocab.items() if k == l} for l in LANGS}
         for b in batches:
-            langs = b.column("lang").to_pylist()
-            ids, ends = [], []
-            for l, ws, es in zip(langs, b.column("words").to_pylist(), b.column("ends").to_pylist()):
-                get, flat, at, start = of[l].get, [], [], 0
-                for e in es:
-                    flat += [i for i in map(get, ws[start:e]) if i is not None]
-                    at.append(len(flat))
-                    start = e
-                ids.append(flat)
-                ends.append(at)
-            code = pa.array([LANGS.index(l) for l in langs], pa.int8())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), code, pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
-                names=["doc_id", "lang", "ids", "ends"],
-            )
+            h, upto = _flat(b.column("words"))
+            local, sents = _flat(b.column("ends"))
+            doc = np.repeat(np.arange(b.num_rows), np.diff(np.r_[0, sents]))
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[place] == h
+            before = np.r_[0, np.cumsum(hit)]  # words of the vocabulary before each word
+            base = np.r_[0, upto[:-1]]
+            start = before[base]
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, before[upto]].astype(np.int32)), pa.array(place[hit].astype(np.int32)))
+            ends = pa.ListArray.from_arrays(pa.array(np.r_[0, sents].astype(np.int32)), pa.array((before[base[doc] + local] - start[doc]).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), ids, ends], names=["doc_id", "lang", "ids", "ends"])
 
     return run
 
@@ -148,8 +191,12 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 def _row_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of consecutive rows of values up to each end; empty runs give zero."""
-    upto = np.vstack([np.zeros((1, values.shape[1]), np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
-    return upto[ends] - upto[np.r_[0, ends[:-1]]]
+    starts = np.r_[0, ends[:-1]]
+    out = np.zeros((len(ends), values.shape[1]), values.dtype)
+    full = ends > starts
+    if full.any():
+        out[full] = np.add.reduceat(values, starts[full], axis=0)
+    return out
 
 
 def _documents(ids: np.ndarray, ends: np.ndarray, idf: np.ndarray):
@@ -159,7 +206,7 @@ def _documents(ids: np.ndarray, ends: np.ndarray, idf: np.ndarray):
     d, t = key >> 32, key & 0xFFFFFFFF
     w = (1 + np.log(n)) * idf[t]
     norm = np.sqrt(np.bincount(d, w * w, len(ends)))
-    return d, t, w / np.maximum(norm[d], 1e-12)
+    return d, t, (w / np.maximum(norm[d], 1e-12)).astype(np.float32)
 
 
 def _chunks(batch, rows: int = 2000):
@@ -220,49 +267,69 @@ class Model:
         self.term, self.idf, self.mean, self.names = term.astype(np.float32), idf.astype(np.float32), mean, names
         self.centroids = np.zeros((len(LANGS), len(names), term.shape[1]))
 
-    def embed(self, b):
+    def read(self, b):
         """Unit vectors of all sentences, their document and language, the documents' vectors."""
-        ids, doc_ends = _flat(b.column("ids"))
-        ends = b.column("ends")
-        local, sent_upto = _flat(ends)
+        k = self.term.shape[1]
         lang = b.column("lang").to_numpy(zero_copy_only=False)
-        doc = np.repeat(np.arange(b.num_rows), np.diff(np.r_[0, sent_upto]))
-        base = np.r_[0, doc_ends[:-1]]
-        at = base[doc] + local
-        weighted = self.term[ids] * self.idf[ids][:, None]
-        raw = _row_sums(weighted, at) if len(at) else np.zeros((0, self.term.shape[1]))
-        of = lang[doc]
-        s = np.where(np.linalg.norm(raw, axis=1, keepdims=True) > 0, _unit(raw) - self.mean[of], 0)
-        whole = _row_sums(raw, sent_upto)
-        d = _unit(_unit(whole) - self.mean[lang])
-        return _unit(s), doc, of, d
+        cells = b.column("sentences").to_pylist()
+        doc = np.repeat(np.arange(b.num_rows), [len(c) // (2 * k) for c in cells])
+        s = np.frombuffer(b"".join(cells), np.float16).reshape(-1, k).astype(np.float32)
+        d = np.frombuffer(b"".join(b.column("whole").to_pylist()), np.float32).reshape(-1, k)
+        of, mean = lang[doc], self.mean.astype(np.float32)
+        s = np.where((s != 0).any(axis=1, keepdims=True), s - mean[of], 0)
+        return _unit(s), doc, of, _unit(d - mean[lang])
 
     def scores(self, s, doc, of, d):
-        out = np.full((len(s), len(self.names)), -1.0)
+        out = np.full((len(s), len(self.names)), -1.0, np.float32)
         for l in range(len(LANGS)):
             rows = of == l
             if rows.any():
-                c = self.centroids[l]
+                c = self.centroids[l].astype(np.float32)
                 out[rows] = s[rows] @ c.T + CONTEXT * (d[doc[rows]] @ c.T)
         return out
 
 
+def _embed_batches(model: Model):
+    """Unit vectors of a document's sentences in half precision, and of the document."""
+
+    def run(batches):
+        for batch in batches:
+            for b in _chunks(batch):
+                ids, doc_ends = _flat(b.column("ids"))
+                local, upto = _flat(b.column("ends"))
+                doc = np.repeat(np.arange(b.num_rows), np.diff(np.r_[0, upto]))
+                raw = _row_sums(model.term[ids] * model.idf[ids][:, None], np.r_[0, doc_ends[:-1]][doc] + local)
+                whole = _unit(_row_sums(raw, upto)).astype(np.float32)
+                half = _unit(raw).astype(np.float16)
+                cells = [half[i:j].tobytes() for i, j in zip(np.r_[0, upto[:-1]], upto)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id"), b.column("lang"), pa.array([r.tobytes() for r in whole], pa.binary()), pa.array(cells, pa.binary())],
+                    names=["doc_id", "lang", "whole", "sentences"],
+                )
+
+    return run
+
+
 def _mean_batches(model: Model):
     def run(batches):
         k = model.term.shape[1]
-        total, n = np.zeros((len(LANGS), k)), np.zeros((len(LANGS), 1))
+        total = np.zeros((len(LANGS), k + 1))
         for batch in batches:
             for b in _chunks(batch):
-                s, doc, of, d = model.embed(b)
-                np.add.at(total, of, s)
-                np.add.at(n, of, 1.0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([0], pa.int32()), pa.array([np.hstack([total, n]).tobytes()], pa.binary())], names=["block", "part"]
-        )
+                s, doc, of, d = model.read(b)
+                total += _by(of, np.hstack([s, np.ones((len(s), 1), s.dtype)]), len(LANGS))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "part"])
 
     return run
 
 
+def _by(label: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each label."""
+    order = np.argsort(label, kind="stable")
+    upto = np.searchsorted(label[order], np.arange(n), "right")
+    return _row_sums(values[order].astype(np.float64), upto)
+
+
 def _refine_batches(model: Model):
     """Sums of the sentences nearest to each centroid, weighted by how clear the choice is."""
 
@@ -271,7 +338,7 @@ def _refine_batches(model: Model):
         total = np.zeros((len(LANGS) * m, k + 1))
         for batch in batches:
             for b in _chunks(batch):
-                s, doc, of, d = model.embed(b)
+                s, doc, of, d = model.read(b)
                 if not len(s):
                     continue
                 sc = model.scores(s, doc, of, d)
@@ -279,7 +346,7 @@ def _refine_batches(model: Model):
                 two = np.partition(sc, -2, axis=1)[:, -2:]
                 clear = two[:, 1] - two[:, 0]
                 ok = (two[:, 1] >= 2 * LEAST_COSINE) & (clear > 0.05)
-                np.add.at(total, of[ok] * m + best[ok], np.hstack([s[ok], np.ones((ok.sum(), 1))]))
+                total += _by(of[ok].astype(np.int64) * m + best[ok], np.hstack([s[ok], np.ones((ok.sum(), 1), s.dtype)]), len(total))
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "part"])
 
     return run
@@ -291,7 +358,7 @@ def _assign_batches(model: Model, share: float):
     def run(batches):
         for batch in batches:
             for b in _chunks(batch):
-                s, doc, of, d = model.embed(b)
+                s, doc, of, d = model.read(b)
                 if not len(s):
                     continue
                 sc = model.scores(s, doc, of, d)
@@ -309,7 +376,7 @@ def _assign_batches(model: Model, share: float):
     return run
 
 
-def subject_shares(documents: DataFrame, subjects: DataFrame, scratch: Scratch, share: float = SHARE, rank: int = RANK) -> DataFrame:
+def subject_shares(documents: DataFrame, subjects: DataFrame, scratch: Scratch, least_share: float = SHARE, rank: int = RANK) -> DataFrame:
     """``(doc_id, subject, share)``: the share of a document's sentences about each of its subjects."""
     spark = documents.sparkSession
     empty = spark.createDataFrame([], "doc_id long, subject string, share double")
@@ -318,26 +385,26 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, scratch: Scratch,
         merged.setdefault(r.subject, set()).update(x for x in (r.terms or []) if x)
     named = sorted((s, tuple(sorted(t))) for s, t in merged.items())
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text", "lang")
-    split = scratch.keep(spread(texts).mapInArrow(_split_batches, "doc_id long, lang string, words array<string>, ends array<int>"))
+    split = scratch.keep(spread(texts).mapInArrow(_split_batches, "doc_id long, lang byte, words array<long>, ends array<int>"))
     size = {r.lang: r.n for r in split.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     if not named or not total:
         return empty
-    least = F.coalesce(*[F.when(F.col("lang") == l, F.lit(max(2.0, n * LEAST_DF))) for l, n in size.items() if l is not None], F.lit(2.0))
+    least = F.coalesce(*[F.when(F.col("lang") == l, F.lit(max(2.0, n * LEAST_DF))) for l, n in size.items()])
     df = (
         split.select("lang", F.explode(F.array_distinct("words")).alias("w"))
         .groupBy("lang", "w")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= least)
-        .collect()
+        .orderBy("w")
+        .toArrow()
     )
-    if not df:
+    if not len(df):
         return empty
-    df.sort(key=lambda r: (LANGS.index(r.lang), r.w))
-    vocab = {(r.lang, r.w): i for i, r in enumerate(df)}
-    idf = np.array([np.log((1 + size[r.lang]) / (1 + r.n)) + 1e-3 for r in df])
-    of_lang = np.array([LANGS.index(r.lang) for r in df])
-    rows = scratch.keep(split.mapInArrow(_index_batches(vocab), "doc_id long, lang byte, ids array<int>, ends array<int>"))
+    known, of_lang = (df.column(c).to_numpy() for c in ("w", "lang"))
+    share = df.column("n").to_numpy() / np.array([size.get(l, 1) for l in range(len(LANGS))])[of_lang]
+    idf = np.log((1 + np.array([size.get(l, 1) for l in range(len(LANGS))])[of_lang]) / (1 + df.column("n").to_numpy())) + 1e-3
+    rows = scratch.keep(split.mapInArrow(_index_batches(known), "doc_id long, lang byte, ids array<int>, ends array<int>"))
     scratch.drop(split)
 
     # Languages share no term, so A'A is block-diagonal and each block has its own subspace.
@@ -363,7 +430,9 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, scratch: Scratch,
 
     names = [s for s, _ in named] + [NONE]
     model = Model(term, idf, np.zeros((len(LANGS), rank)), names)
-    got = _summed(rows.mapInArrow(_mean_batches(model), "block int, part binary"))[0].reshape(len(LANGS), rank + 1)
+    said = scratch.keep(rows.mapInArrow(_embed_batches(model), "doc_id long, lang byte, whole binary, sentences binary"))
+    scratch.drop(rows)
+    got = _summed(said.mapInArrow(_mean_batches(model), "block int, part binary"))[0].reshape(len(LANGS), rank + 1)
     model.mean = got[:, :-1] / np.maximum(got[:, -1:], 1)
 
     # A term's own vector is the mean of its documents' vectors, a row of A'A times the basis.
@@ -372,15 +441,16 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, scratch: Scratch,
     for j, (_, words) in enumerate([*named, (NONE, tuple(HOUSEKEEPING))]):
         for phrase in words:
             for w in _WORD.findall(phrase.lower()):
-                found = [(df[i].n / size[l], i) for l in LANGS for i in [vocab.get((l, w))] if i is not None and w not in _FUNCTION]
-                if found:
-                    i = max(found)[1]
+                hashes = [word_hash(w, l) for l in LANGS] if w not in _FUNCTION else []
+                found = [(share[i], i) for h, i in zip(hashes, np.minimum(np.searchsorted(known, hashes), len(known) - 1)) if known[i] == h]
+                # a word seeds the language it is commonest in, and the class of other languages where it occurs
+                for i in {i for _, i in [*sorted(found)[-1:], *(f for f in found if of_lang[f[1]] == LANGS.index("other"))]}:
                     seeds[of_lang[i], j] += _unit(of_term[i] - model.mean[of_lang[i]])
     seeds = _unit(seeds)
     model.centroids = seeds
     for _ in range(REFINE_ROUNDS):
-        got = _summed(rows.mapInArrow(_refine_batches(model), "block int, part binary"))[0].reshape(len(LANGS), len(names), rank + 1)
+        got = _summed(said.mapInArrow(_refine_batches(model), "block int, part binary"))[0].reshape(len(LANGS), len(names), rank + 1)
         fresh = _unit(got[:, :, :-1])
         known = got[:, :, -1:] >= 3
         model.centroids = np.where(known, _unit(0.3 * seeds + 0.7 * fresh), seeds)
-    return rows.mapInArrow(_assign_batches(model, share), "doc_id long, subject string, share double")
+    return said.mapInArrow(_assign_batches(model, least_share), "doc_id long, subject string, share double")
