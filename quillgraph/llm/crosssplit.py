@@ -10,8 +10,9 @@ tokens they share (L <= t) stand among the first n - t + L of each, so asking fo
 loses no pair. Tokens in common are counted by blocks of texts of similar length.
 
 Defined results: a repeated pair_id counts once; null splits, null messages and texts without a word
-take no part; identical word sequences are one class and joined once, then unfolded into their pairs;
-an empty table gives an empty result; extra columns are ignored.
+take no part; identical word sequences are one class and joined once. ``class_links`` gives the links between
+classes and who is in them, ``report`` counts from those without unfolding copies, and only ``overlaps``, whose
+result is pairs, unfolds them; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,13 +100,16 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(words: list[str], memo: dict) -> np.ndarray:
-    """One hash for each word of a text: the second 'the' is another token than the first."""
+    """One 32-bit hash for each word of a text: the second 'the' is another token than the first.
+
+    Two tokens with one hash count as one everywhere, so they can add candidates and lose none.
+    """
     h = _hashes(words, memo)
     with np.errstate(over="ignore"):
         s = np.sort(h)
         start = np.r_[True, s[1:] != s[:-1]]
         nth = np.arange(len(s)) - np.maximum.accumulate(np.where(start, np.arange(len(s)), 0))
-        return (s * _MIX + nth.astype(np.uint64)) * _MIX
+        return ((s * _MIX + nth.astype(np.uint64)) * _MIX >> np.uint64(32)).astype(np.uint32)
 
 
 def needed(n: int) -> int:
@@ -142,7 +146,7 @@ class Blocks:
         return [self.first[b] + i for b in (band - 1, band, band + 1) if b in self.of for i in range(self.of[b])]
 
 
-_PREFIX = "cid long, n int, g array<long>, eb int, tb int, tbs array<int>, ebs array<int>"
+_PREFIX = "cid long, n int, g array<int>, eb int, tb int, tbs array<int>, ebs array<int>"
 
 
 def _prefix_batches(table: np.ndarray, ev: Blocks, tr: Blocks):
@@ -154,10 +158,10 @@ def _prefix_batches(table: np.ndarray, ev: Blocks, tr: Blocks):
                 g = tokens(text.split(" "), memo)
                 p = min(n, n - needed(n) + min(COMMON, needed(n)))
                 g = g[np.lexsort((g, table[(g % BUCKETS).astype(np.int64)]))[:p]]
-                row = (c, n, g.view(np.int64), ev.own(band, c) if e else None, tr.own(band, c) if t else None, tr.met(band) if e else [], ev.met(band) if t else [])
+                row = (c, n, g.view(np.int32), ev.own(band, c) if e else None, tr.own(band, c) if t else None, tr.met(band) if e else [], ev.met(band) if t else [])
                 for col, v in zip(cols, row):
                     col.append(v)
-            types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in _PREFIX.split(", ")])
 
     return run
@@ -202,8 +206,9 @@ def _verify_batches(batches):
         yield b.select(["ca", "cb"]).filter(keep)
 
 
-def overlaps(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(eval_id, train_id)`` of every evaluation record and every training record that match."""
+def class_links(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links ``(ca, cb)`` of a class with evaluation records and one with training records, the same class included,
+    and members ``(pair_id, split, cid)`` with split 'e' or 't'. A class is named by its smallest pair_id."""
     said = pairs.where("pair_id is not null and split is not null").select(
         "pair_id",
         F.when(F.lower(F.trim("split")) == "train", "t").when(F.lower(F.trim("split")).isin("valid", "test"), "e").alias("split"),
@@ -237,18 +242,50 @@ def overlaps(pairs: DataFrame, scratch: Scratch) -> DataFrame:
         .mapInArrow(_verify_batches, "ca long, cb long")
     )
     same = cls.where("t and e").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"))
-    links = checked.unionByName(same)
     of = member.join(ids.select("k", "cid"), "k").select("pair_id", "split", "cid").distinct()
-    ev = of.where("split = 'e'").select(F.col("pair_id").alias("eval_id"), F.col("cid").alias("ca"))
-    tr = of.where("split = 't'").select(F.col("pair_id").alias("train_id"), F.col("cid").alias("cb"))
+    return scratch.keep(checked.unionByName(same)), scratch.keep(of)
+
+
+def _sides(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (of.where(F.col("split") == x).select(F.col("pair_id").alias(i), F.col("cid").alias(c)) for x, i, c in (("e", "eval_id", "ca"), ("t", "train_id", "cb")))
+
+
+def overlaps(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(eval_id, train_id)`` of every evaluation record and every training record that match."""
+    links, of = class_links(pairs, scratch)
+    ev, tr = _sides(of)
     return links.join(ev, "ca").join(tr, "cb").where("eval_id <> train_id").select("eval_id", "train_id").distinct()
 
 
-def report(found: DataFrame, pairs: DataFrame) -> DataFrame:
+def linked_classes(links: DataFrame, of: DataFrame) -> DataFrame:
+    """``(eval_class, train_class, eval_records, train_records)``: one row for each link, whatever the copies."""
+    n = of.groupBy("cid").agg(F.count_if(F.col("split") == "e").alias("eval_records"), F.count_if(F.col("split") == "t").alias("train_records"))
+    e = n.select(F.col("cid").alias("ca"), "eval_records")
+    t = n.select(F.col("cid").alias("cb"), "train_records")
+    return links.join(e, "ca").join(t, "cb").select(F.col("ca").alias("eval_class"), F.col("cb").alias("train_class"), "eval_records", "train_records")
+
+
+def matches(links: DataFrame, of: DataFrame) -> DataFrame:
+    """``(eval_id, n)``: how many training records each evaluation record matches.
+
+    Classes are counted, not unfolded. Only records that are in several classes or on both sides go out as
+    pairs, so that none of their matches counts twice.
+    """
+    several = of.groupBy("pair_id").agg(F.count("*").alias("n")).where("n > 1").select("pair_id")
+    one, rest = of.join(several, "pair_id", "left_anti"), of.join(several, "pair_id", "left_semi")
+    (ev, tr), (ev2, tr2) = _sides(one), _sides(rest)
+    whole = links.join(tr.groupBy("cb").agg(F.count("*").alias("n")), "cb").groupBy("ca").agg(F.sum("n").alias("n"))
+    pairs = ev2.join(links, "ca").join(tr.unionByName(tr2), "cb").select("eval_id", "train_id")
+    pairs = pairs.unionByName(tr2.join(links, "cb").join(ev, "ca").select("eval_id", "train_id")).where("eval_id <> train_id").distinct()
+    return ev.join(whole, "ca").select("eval_id", "n").unionByName(pairs.groupBy("eval_id").agg(F.count("*").alias("n"))).groupBy("eval_id").agg(F.sum("n").alias("n"))
+
+
+def report(links: DataFrame, of: DataFrame, pairs: DataFrame) -> DataFrame:
     """The number of overlaps by evaluation split and source (origin, raw_path) of the evaluation record."""
     src = pairs.groupBy(F.col("pair_id").alias("eval_id")).agg(F.max(F.struct("split", "origin", "raw_path")).alias("s"))
     return (
-        found.join(src, "eval_id")
+        matches(links, of)
+        .join(src, "eval_id")
         .groupBy(F.col("s.split").alias("split"), F.col("s.origin").alias("origin"), F.col("s.raw_path").alias("raw_path"))
-        .agg(F.count("*").alias("overlaps"), F.countDistinct("eval_id").alias("records"))
+        .agg(F.sum("n").alias("overlaps"), F.count("*").alias("records"))
     )

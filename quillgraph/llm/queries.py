@@ -20,17 +20,22 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.balanced_splits(groups).select("pair_id", "split")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crosssplit.overlaps(table(spark, sf_dir, "sft_pairs"), Scratch(spark, "p2"))
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _overlaps(spark, sf_dir)
+    found = crosssplit.overlaps(table(spark, sf_dir, "sft_pairs"), Scratch(spark, "p2"))
     return found.select(F.least("eval_id", "train_id").alias("pair_id_a"), F.greatest("eval_id", "train_id").alias("pair_id_b"))
 
 
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return crosssplit.class_links(table(spark, sf_dir, "sft_pairs"), Scratch(spark, "p2"))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crosssplit.report(_overlaps(spark, sf_dir), table(spark, sf_dir, "sft_pairs"))
+    return crosssplit.report(*_links(spark, sf_dir), table(spark, sf_dir, "sft_pairs"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between classes of equal texts, with the number of records on each side."""
+    return crosssplit.linked_classes(*_links(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +102,5 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p2_report, p3_found, p3_counts, p4_found, p4_neighbours, p5_found, p5_pieces, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_shares, p8_composition)
+    for f in (p1_found, p1_splits, p2_found, p2_report, p2_classes, p3_found, p3_counts, p4_found, p4_neighbours, p5_found, p5_pieces, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_shares, p8_composition)
 }

@@ -128,6 +128,43 @@ def test_overlaps_with_scattered_changes(spark):
     assert (1001, 1000) in got and got == brute(rows) and len(got) > 30
 
 
+def test_report_counts_what_overlaps_unfolds(spark):
+    rng = random.Random(6)
+    words = [" ".join(rng.choice([f"w{i}" for i in range(50)]) for _ in range(20)) for _ in range(4)]
+    words += [w + " and one more" for w in words[:2]]
+    rows = [pair(i, text=words[i % 6], split=("train", "train", "valid", "test")[i // 6 % 4], raw=f"raw/{i % 3}") for i in range(96)]
+    # the same record with two texts, on both sides, and twice over
+    rows += [pair(200, text=words[0], split="train"), pair(200, text=words[0] + " and one more", split="train"), pair(201, text=words[0], split="train"), pair(201, text=words[0], split="test"), rows[0]]
+    t = spark.createDataFrame(rows, PAIR)
+    found = crosssplit.overlaps(t, Scratch(spark, "t")).collect()
+    links, of = crosssplit.class_links(t, Scratch(spark, "t"))
+    want = {}
+    for r in found:
+        want[r.eval_id] = want.get(r.eval_id, 0) + 1
+    assert {r.eval_id: r.n for r in crosssplit.matches(links, of).collect()} == want and len(found) > 300
+    rows = crosssplit.report(links, of, t).collect()
+    assert (sum(r.overlaps for r in rows), sum(r.records for r in rows)) == (len(found), len(want))
+    n = crosssplit.linked_classes(links, of)
+    assert n.count() == n.select("eval_class", "train_class").distinct().count() < 40
+
+
+def test_a_shared_preamble_makes_no_candidates(spark, monkeypatch):
+    rng = random.Random(12)
+    head = " ".join(f"head{i}" for i in range(60))
+    vocab = [f"v{i}" for i in range(3000)]
+    rows = [pair(i, text=head + " " + " ".join(rng.choice(vocab) for _ in range(60)), split="train" if i >= 60 else "test") for i in range(240)]
+    links, of = crosssplit.class_links(spark.createDataFrame(rows, PAIR), Scratch(spark, "t"))
+    assert links.count() == 0
+    memo, table = {}, np.zeros(crosssplit.BUCKETS, np.int64)
+    sets = [crosssplit.tokens(crosssplit.words_of(r[3][1][1]), memo) for r in rows]
+    for g in sets:
+        table += np.bincount(g % crosssplit.BUCKETS, minlength=crosssplit.BUCKETS)
+    need = crosssplit.needed(120)
+    cut = [set(g[np.lexsort((g, table[g % crosssplit.BUCKETS]))][: 120 - need + crosssplit.COMMON].tolist()) for g in sets]
+    met = sum(len(a & b) >= crosssplit.COMMON for a in cut[:60] for b in cut[60:])
+    assert met < 0.01 * 60 * 180
+
+
 def test_overlaps_empty(spark):
     assert crosssplit.overlaps(spark.createDataFrame([], PAIR), Scratch(spark, "t")).count() == 0
 
