@@ -23,7 +23,8 @@ except ImportError:
 _FRONT = re.compile(r"\A---\r?\n(.*?)(?<=\n)---(?:\r?\n|\Z)", re.S)
 _WIKI = re.compile(r"\[\[([^\]\n]*)\]\]")
 _MDLINK = re.compile(r"(!?)\[([^\]\n]*)\]\(\s*<?([^()\s<>]+)>?(?:\s+[\"'(][^)]*)?\s*\)")
-_HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+([^\r\n]*?)(?:[ \t]+#+)?[ \t]*\r?$", re.M)
+_HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+([^\r\n]*?))??(?:[ \t]+#+)?[ \t]*\r?$", re.M)
+_UNDERLINE = re.compile(r"^ {0,3}(?:=+|-{2,})[ \t]*$", re.M)
 _MAYBE_CODE = re.compile(r"`|~~~|^(?: {4}|\t)", re.M)
 _TAG = re.compile(r"(?:\A|[\s(])#([^\W\d][\w/-]*)")
 
@@ -71,34 +72,64 @@ def as_list(v) -> list[str]:
     return [t for t in map(as_text, v if isinstance(v, list) else [v]) if t is not None]
 
 
-def code_ranges(body: str) -> list[tuple[int, int]]:
-    """Fenced blocks, indented blocks and inline code, as character ranges in order."""
-    if not _MAYBE_CODE.search(body):
-        return []
-    out, at, fence, start, blank = [], 0, None, 0, True
-    prose: list[tuple[int, int]] = []
+_ITEM = re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])(?: +|$)")
+_SPAN = re.compile(r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)", re.S)
+
+
+def _blocks(body: str) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]:
+    """(code blocks, paragraphs as lists of line ranges) of a body.
+
+    A line indented by four blanks beyond the list item it stands in is code unless it continues a paragraph.
+    """
+    code, paragraphs, at, fence, start = [], [], 0, None, 0
+    inner, open_ = [], False  # content columns of the list items around; whether a paragraph is open
     for line in body.splitlines(keepends=True):
         end = at + len(line)
-        s = line.lstrip(" ")
-        indent = len(line) - len(s)
+        flat = line.expandtabs(4)
+        s = flat.lstrip(" ")
+        indent, text = len(flat) - len(s), s.strip()
         if fence:
-            if indent < 4 and s.rstrip().startswith(fence) and not s.strip().strip(fence[0]):
-                out.append((start, end))
+            if indent - (inner[-1] if inner else 0) < 4 and text.startswith(fence) and not text.strip(fence[0]):
+                code.append((start, end))
                 fence = None
-        elif indent < 4 and (m := re.match(r"(`{3,})[^`\n]*$|(~{3,})", s.rstrip("\r\n"))):
-            fence, start = m.group(1) or m.group(2), at
-        elif (indent >= 4 or line.startswith("\t")) and blank and s.strip():
-            out.append((at, end))
+        elif not text:
+            open_ = False
         else:
-            prose.append((at, end))
-        if fence is None and not (indent >= 4 and blank):
-            blank = not s.strip()
+            while inner and indent < inner[-1] and not open_:
+                inner.pop()
+            base = inner[-1] if inner and indent >= inner[-1] else 0
+            if indent - base >= 4 and not open_:
+                code.append((at, end))
+            elif m := re.match(r"(`{3,})[^`\n]*$|(~{3,})", s.rstrip("\r\n")):
+                fence, start, open_ = m.group(1) or m.group(2), at, False
+            else:
+                item = _ITEM.match(flat[base:]) if indent - base < 4 else None
+                if item and not re.match(r"(?:[-*_][ \t]*){3,}$", text):
+                    while inner and inner[-1] > indent:
+                        inner.pop()
+                    rest = flat[base:][item.end() :].strip()
+                    inner.append(base + (item.end() if rest and item.end() - len(item.group().rstrip()) <= 4 else len(item.group().rstrip()) + 1))
+                    open_ = False
+                if open_:
+                    paragraphs[-1].append((at, end))
+                else:
+                    paragraphs.append([(at, end)])
+                open_ = not text.startswith("#")
         at = end
     if fence:
-        out.append((start, len(body)))
-    for lo, hi in prose:
+        code.append((start, len(body)))
+    return code, paragraphs
+
+
+def code_ranges(body: str) -> list[tuple[int, int]]:
+    """Fenced blocks, indented blocks and inline code, as character ranges in order."""
+    if not _MAYBE_CODE.search(body):
+        return []
+    out, paragraphs = _blocks(body)
+    for lines in paragraphs:
+        lo, hi = lines[0][0], lines[-1][1]
         if "`" in body[lo:hi]:
-            out += [(lo + m.start(), lo + m.end()) for m in re.finditer(r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)", body[lo:hi])]
+            out += [(lo + m.start(), lo + m.end()) for m in _SPAN.finditer(body[lo:hi])]
     return sorted(out)
 
 
@@ -137,23 +168,45 @@ def normalize_path(path: str) -> str | None:
 
 
 def path_links(body: str, rel_path: str, prefix: str = "", ranges=None) -> list[dict]:
-    """Markdown links to .md files, relative or from the root, outside code."""
+    """Markdown links to .md files, relative or from the root, outside code; shaped as ``wikilinks``."""
     ranges = code_ranges(body) if ranges is None else ranges
     out = []
     for m in _MDLINK.finditer(body):
-        href = m.group(3).split("#")[0].split("?")[0]
+        href, sharp, anchor = m.group(3).partition("#")
         if m.group(1) or not href.endswith(".md") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", href) or _inside(ranges, m.start()):
             continue
         full = normalize_path(href.lstrip("/") if href.startswith("/") else posixpath.join(posixpath.dirname(rel_path), href))
-        if full:
-            out.append({"target": full.removeprefix(prefix).removesuffix(".md"), "alias": m.group(2), "start": m.start(), "end": m.end()})
+        target = (full or "").removeprefix(prefix).removesuffix(".md")
+        if target:
+            out.append(
+                {
+                    "target": target, "anchor": anchor.strip() or None, "alias": m.group(2).strip() or None,
+                    "start": m.start(), "end": m.end(), "masked": False,
+                }
+            )
     return out
 
 
 def headings(body: str, ranges=None) -> list[tuple[int, str, int]]:
-    """(level, text, start) of ATX headings outside code."""
+    """(level, text, start) of headings outside code, underlined ones too."""
     ranges = code_ranges(body) if ranges is None else ranges
-    return [(len(m.group(1)), m.group(2).replace("`", ""), m.start()) for m in _HEADING.finditer(body) if not _inside(ranges, m.start())]
+    out = [(len(m.group(1)), _plain(m.group(2) or ""), m.start()) for m in _HEADING.finditer(body) if not _inside(ranges, m.start())]
+    if _UNDERLINE.search(body):
+        for lines in _blocks(body)[1]:
+            for i, (lo, hi) in enumerate(lines):
+                line = body[lo:hi].strip()
+                if i and _UNDERLINE.fullmatch(body[lo:hi].rstrip("\r\n")):
+                    first = lines[0][0]
+                    if not body[first:hi].lstrip().startswith((">", "|")) and not _ITEM.match(body[first:]):
+                        out.append((1 if line[0] == "=" else 2, _plain(" ".join(body[first:lo].split())), first))
+                    break
+    return sorted(out, key=lambda h: h[2])
+
+
+def _plain(text: str) -> str:
+    """A heading's words without code ticks, emphasis and link targets."""
+    text = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", text.replace("`", ""))
+    return re.sub(r"(\*{1,3}|_{1,3})(?=\S)(.+?)(?<=\S)\1", r"\2", text).strip()
 
 
 def tags_in(body: str, ranges=None) -> list[str]:
@@ -319,9 +372,9 @@ def offset_of(text: str, line: int, column: int) -> int:
 
 
 def chunk_body(body: str, cap: int = 28_000) -> list[str]:
-    """A body in chunks of at most cap bytes: cut before '## ', packed greedily, blanks dropped."""
+    """A body in chunks of at most cap bytes: cut before '## ', packed greedily, blanks dropped. A short body is one chunk as it is."""
     if len(body.encode()) <= cap:
-        return [body] if body.strip() else []
+        return [body]
     out, cur, room = [], "", cap
     for part in re.split(r"(?<=\n)(?=## )", body):
         while len(part.encode()) > cap:
@@ -347,36 +400,69 @@ NOTE = (
 )
 
 
-def parse_file(path: str, text: str, edge_fields: tuple[str, ...] = (), names: dict | None = None, inline: bool = True) -> dict:
-    """All of a note's columns that come from its text."""
+def parse_file(path: str, text: str, edge_fields: tuple[str, ...] = (), names: dict | None = None, inline: bool = True, prefix: str | None = None, want: frozenset | None = None) -> dict:
+    """A note's columns that come from its text: all, or those wanted. A prefix, if only '', asks for markdown path links, too."""
+    need = lambda *columns: want is None or not want.isdisjoint(columns)
     names = {"title": "title", "kind": "kind", "status": "status", "created": "created", "updated": "updated", "tags": "tags"} | (names or {})
     block, body = split_frontmatter(text)
-    front = yaml_value(block)
+    front = yaml_value(block) if need("title", "kind", "status", "created", "updated", "tags", "frontmatter_json", "fields") else None
     get = front.get if isinstance(front, dict) else lambda k: None
-    ranges = code_ranges(body)
+    ranges = code_ranges(body) if need("links", "headings") or inline and need("tags") else []
+    links = [*wikilinks(body, ranges), *(path_links(body, path, prefix, ranges) if prefix is not None else ())] if need("links") else []
     tags = as_list(get(names["tags"])) if get(names["tags"]) is not None else []
-    for t in tags_in(body, ranges) if inline else ():
+    for t in tags_in(body, ranges) if inline and need("tags") else ():
         if t not in tags:
             tags.append(t)
     return {
         "path": path, "title": as_text(get(names["title"])), "kind": as_text(get(names["kind"])), "status": as_text(get(names["status"])),
         "created": as_text(get(names["created"])), "updated": as_text(get(names["updated"])), "tags": tags, "body_text": body,
-        "body_hash": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), "frontmatter_json": json.dumps(front, ensure_ascii=False),
+        "body_hash": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest() if need("body_hash") else None,
+        "frontmatter_json": json.dumps(front, ensure_ascii=False),
         "fields": [{"field": f, "value": v} for f in edge_fields for v in as_list(get(f)) if get(f) is not None],
-        "links": wikilinks(body, ranges), "headings": [{"level": l, "text": t, "start": s} for l, t, s in headings(body, ranges)],
+        "links": links, "headings": [{"level": l, "text": t, "start": s} for l, t, s in headings(body, ranges)] if need("headings") else [],
     }
 
 
-def parsed_notes(files: DataFrame, edge_fields: tuple[str, ...] = (), names: dict | None = None, inline: bool = True) -> DataFrame:
-    """Notes of files ``(rel_path, text)``; a null text is an empty file, a null path is left out."""
+def parsed_notes(
+    files: DataFrame, edge_fields: tuple[str, ...] = (), names: dict | None = None, inline: bool = True, prefix: str | None = None, want: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Notes of files ``(rel_path, text)``: all columns, or path and those wanted, and only what these need is parsed.
+
+    A null text is an empty file, a null path is left out. Files of one small table are spread over the cores by
+    the caller, at the scan.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL(NOTE))
+    shape = StructType.fromDDL(NOTE)
+    if want is not None:
+        shape = StructType([f for f in shape if f.name == "path" or f.name in want])
+        want = frozenset(shape.names)
+    schema = to_arrow_schema(shape)
 
     def run(batches):
         for b in batches:
-            rows = [parse_file(p, t or "", edge_fields, names, inline) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            rows = [parse_file(p, t or "", edge_fields, names, inline, prefix, want) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield from pa.Table.from_pylist(rows, schema).to_batches()
 
-    return spread(files.where("rel_path is not null").select("rel_path", "text")).mapInArrow(run, NOTE)
+    return files.where("rel_path is not null").select("rel_path", "text").mapInArrow(run, shape)
+
+
+def parsed_replies(replies: DataFrame, column: str) -> DataFrame:
+    """The rows whose reply ``parse_reply`` reads, with the reply as sound JSON; in Arrow batches."""
+    at, schema = replies.columns.index(column), replies.schema
+
+    def run(batches):
+        for b in batches:
+            got = [parse_reply(x) for x in b.column(at).to_pylist()]
+            out = pa.array([None if v is None else json.dumps(v) for v in got], pa.string())
+            yield b.set_column(at, column, out).filter(pa.array([v is not None for v in got], pa.bool_()))
+
+    return spread(replies).mapInArrow(run, schema)
+
+
+def reply_state(text: str | None) -> str:
+    """'whole' for a reply that parses as it stands or in its wrapping, 'repaired', or 'none'."""
+    if not text or parse_reply(text) is None:
+        return "none"
+    return "whole" if extract_json(text) else "repaired"

@@ -91,6 +91,16 @@ def preview(c: Column, chars: int = 600) -> Column:
     return F.concat(F.substring(t, 1, chars), F.when(F.length(t) > chars, "…").otherwise(""))
 
 
+def truncate_bytes(c: Column, cap: int) -> Column:
+    """The longest head of at most cap bytes in UTF-8 that ends between two characters."""
+    b = F.encode(c, "utf-8")
+    whole = lambda n: ~F.coalesce(F.hex(F.substring(b, n + 1, 1)).between("80", "BF"), F.lit(False))
+    end = F.lit(max(cap - 3, 0))
+    for n in range(max(cap - 2, 0), cap + 1):
+        end = F.when(whole(n), n).otherwise(end)
+    return F.when(F.octet_length(c) <= cap, c).otherwise(F.decode(F.substring(b, F.lit(1), end), "utf-8"))
+
+
 def key_fraction(key: Column) -> Column:
     """A number in [0, 1) from the first eight bytes of the key's SHA-256."""
     return F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.markup import parse_reply, tolerant_list
@@ -89,20 +91,44 @@ def ask(question: str, notes: DataFrame, edges: DataFrame, teacher: Recorded, li
     return {"question": question, "text": reply.get("answer") or "", "citations": cites, "contradictions": against, "notes_considered": len(evidence), "abstained": abstained or not cites}
 
 
-def embed_missing(notes: DataFrame, provider: EmbeddingProvider, exclude_kinds: tuple[str, ...] = ()) -> DataFrame:
-    """Notes with embeddings brought up to their bodies; a failed call keeps the old hash, so it is tried again.
+def embedding_due(exclude_kinds: tuple[str, ...] = ()) -> Column:
+    """Whether a note's embedding is missing or of an older body; notes of some kinds never get one."""
+    return ~F.col("embedded_hash").eqNullSafe(F.col("body_hash")) & ~F.coalesce("kind", F.lit("")).isin(*exclude_kinds)
 
-    The provider is built once in each Python worker, on the rows that need it only.
-    """
 
-    @F.udf("array<float>", useArrow=True)
-    def run(text):
-        try:
-            return provider.embed(text or " ")
-        except Exception:  # noqa: BLE001 - a failed call is retried at the next sync
-            return None
-
-    due = (~F.col("embedded_hash").eqNullSafe(F.col("body_hash"))) & ~F.coalesce("kind", F.lit("")).isin(*exclude_kinds)
-    fresh = notes.where(due).drop("embedding").withColumn("embedding", run("body_text"))
-    fresh = fresh.withColumn("embedded_hash", F.when(F.col("embedding").isNotNull(), F.col("body_hash")).otherwise(F.col("embedded_hash")))
-    return notes.where(~due).unionByName(fresh)
+def embed_missing(notes: DataFrame, make: Callable[[], EmbeddingProvider], exclude_kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Notes with embeddings brought up to their bodies, and ``embed_error``; a failed call keeps the old hash, so it is
+    tried again, and says why.
+
+    ``make`` builds the provider once for each task, on the rows that are due only; a provider with ``embed_many``
+    gets a batch at a time.
+    """
+    due = embedding_due(exclude_kinds)
+    stale = notes.where(due)
+    schema = stale.select("id", "body_text").schema["id"].dataType.simpleString()
+
+    def run(batches):
+        provider = make()
+        for b in batches:
+            texts = [t or " " for t in b.column("body_text").to_pylist()]
+            out, why = [], []
+            many = getattr(provider, "embed_many", None)
+            try:
+                got = many(texts) if many else None
+            except Exception as e:  # noqa: BLE001 - the batch is tried one by one
+                got = None
+                del e
+            for i, t in enumerate(texts):
+                try:
+                    out.append(got[i] if got else provider.embed(t))
+                    why.append(None)
+                except Exception as e:  # noqa: BLE001 - told in the row
+                    out.append(None)
+                    why.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.float32())), pa.array(why, pa.string())], names=["id", "_e", "_why"])
+
+    got = stale.select("id", "body_text").mapInArrow(run, f"id {schema}, _e array<float>, _why string")
+    fresh = stale.drop("embedding").join(got, "id")
+    fresh = fresh.withColumn("embedded_hash", F.when(F.col("_e").isNotNull(), F.col("body_hash")).otherwise(F.col("embedded_hash")))
+    fresh = fresh.withColumnRenamed("_e", "embedding").withColumnRenamed("_why", "embed_error")
+    return notes.where(~due).withColumn("embed_error", F.lit(None).cast("string")).unionByName(fresh)

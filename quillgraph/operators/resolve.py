@@ -52,20 +52,20 @@ def _first_raw(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "dst_type", "edge").agg(F.min_by("raw_target", "pos").alias("raw_target"))
 
 
-def wikilink_edges(notes: DataFrame, edge: str = "LINKS_TO") -> DataFrame:
+def wikilink_edges(notes: DataFrame, edge: str = "LINKS_TO", among: DataFrame | None = None) -> DataFrame:
     """``(src, dst, dst_type, edge, raw_target)``; unresolved links and links to oneself make none."""
-    got = resolve(note_links(notes), notes).where("outcome = 'resolved' and src <> dst")
+    got = resolve(note_links(notes), notes if among is None else among).where("outcome = 'resolved' and src <> dst")
     return _first_raw(got.select("src", "dst", F.lit("Note").alias("dst_type"), F.lit(edge).alias("edge"), F.col("target").alias("raw_target"), "pos"))
 
 
-def field_edges(notes: DataFrame, field: str, edge: str, to_resource: bool = False) -> DataFrame:
+def field_edges(notes: DataFrame, field: str, edge: str, to_resource: bool = False, among: DataFrame | None = None) -> DataFrame:
     """Edges from a frontmatter field; links to oneself are kept."""
     vals = notes.select(F.col("id").alias("src"), "dir", F.posexplode("fields").alias("pos", "f")).where(F.col("f.field") == field)
     vals = vals.select("src", "dir", "pos", F.col("f.value").alias("target"))
     if to_resource:
         got = vals.withColumn("dst", F.col("target"))
     else:
-        got = resolve(vals, notes).where("outcome = 'resolved'")
+        got = resolve(vals, notes if among is None else among).where("outcome = 'resolved'")
     kind = F.lit("Resource" if to_resource else "Note").alias("dst_type")
     return _first_raw(got.select("src", "dst", kind, F.lit(edge).alias("edge"), F.col("target").alias("raw_target"), "pos"))
 
@@ -84,9 +84,9 @@ def resources_with_stubs(resources: DataFrame, edges: DataFrame, key: str = "rel
     return resources.join(wanted, key, "full_outer")
 
 
-def backlinks(notes: DataFrame) -> DataFrame:
+def backlinks(notes: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """``(dst, src, pos)`` of each resolved occurrence, in code or not, from another note."""
-    return resolve(note_links(notes), notes).where("outcome = 'resolved' and src <> dst").select("dst", "src", "pos")
+    return resolve(note_links(notes), notes if among is None else among).where("outcome = 'resolved' and src <> dst").select("dst", "src", "pos")
 
 
 def shifted(links: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
@@ -96,15 +96,30 @@ def shifted(links: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["src", "pos"]).where(~F.col("dst_before").eqNullSafe(F.col("dst_after")) | (F.col("was") != F.col("now")))
 
 
+def references(notes: DataFrame, target_id: str | None = None) -> DataFrame:
+    """``(dst, src, path, start, end, masked)``: where each resolved link stands in its file, or those to one note.
+
+    Spans are characters of the body; ``markup.position_of`` turns bytes of a file into lines and columns.
+    """
+    got = resolve(note_links(notes), notes).where("outcome = 'resolved' and src <> dst")
+    got = got if target_id is None else got.where(F.col("dst") == target_id)
+    return got.select("dst", "src", "start", "end", "masked").join(notes.select(F.col("id").alias("src"), "path"), "src").select("dst", "src", "path", "start", "end", "masked")
+
+
 def rename_plan(notes: DataFrame, target_id: str, new_slug: str) -> DataFrame:
-    """``(src, start, end, replacement)``: the edits that keep links alive when a note is renamed."""
+    """``(src, path, start, end, replacement)``: the edits that keep links alive when a note is renamed, and last the
+    file's own renaming, a row without a span whose replacement is the new path. Links in code stay."""
     got = resolve(note_links(notes), notes).where((F.col("dst") == target_id) & ~F.col("masked"))
     text = F.concat(
         F.lit("[["), F.when(F.col("target").contains("/"), F.regexp_replace("target", r"[^/]*$", new_slug)).otherwise(F.lit(new_slug)),
         F.when(F.col("anchor").isNotNull(), F.concat(F.lit("#"), F.col("anchor"))).otherwise(""),
         F.when(F.col("alias").isNotNull(), F.concat(F.lit("|"), F.col("alias"))).otherwise(""), F.lit("]]"),
     )
-    return got.select("src", "start", "end", text.alias("replacement"))
+    edits = got.select("src", "start", "end", text.alias("replacement")).join(notes.select(F.col("id").alias("src"), "path"), "src")
+    own = notes.where(F.col("id") == target_id)
+    none = F.lit(None).cast("int")
+    move = own.select(F.col("id").alias("src"), "path", none.alias("start"), none.alias("end"), F.regexp_replace("path", r"[^/]*(\.md)$", f"{new_slug}$1").alias("replacement"))
+    return edits.select("src", "path", "start", "end", "replacement").unionByName(move)
 
 
 def definitions(notes: DataFrame) -> DataFrame:

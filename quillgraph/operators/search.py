@@ -1,4 +1,4 @@
-"""Full-text ranking, rank fusion, exact vector search and near-duplicates of a text."""
+"""Full-text ranking with and without a stored index, rank fusion, exact vector search and hybrid retrieval."""
 
 from __future__ import annotations
 
@@ -56,24 +56,63 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     return docs.select(F.col(id_col).alias("id"), w.alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
-def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(query_id, id, score, rank)`` for many queries ``(query_id, query)`` in one join on terms."""
-    post = postings(docs, id_col, text_col)
-    size = post.groupBy("id").agg(F.sum("tf").alias("dl"))
-    whole = docs.agg(F.count("*").alias("n"))
-    mean = size.agg(F.sum("dl").alias("all"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    q = queries.select(
-        "query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), NON_WORD), lambda w: F.octet_length(w) > 1))).alias("term")
-    )
-    m = q.join(post, "term").join(df, "term").join(size, "id").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(mean))
+def _query_terms(queries: DataFrame) -> DataFrame:
+    """``(query_id, term)`` of queries ``(query_id, query)``."""
+    return queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), NON_WORD), lambda w: F.octet_length(w) > 1))).alias("term"))
+
+
+def _ranked(q: DataFrame, post: DataFrame, df: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """``(query_id, id, score, rank)`` from query terms, postings ``(term, id, tf, dl)``, ``(term, df)`` and one row ``(n, total)``."""
+    m = q.join(post, "term").join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n") / F.col("all")))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n") / F.col("total")))
     s = m.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def bm25_batch(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``(query_id, id, score, rank)`` for many queries ``(query_id, query)`` in one join on terms.
+
+    Words that no query has are dropped before anything moves; a text's length travels in its own rows.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), NON_WORD), lambda x: x != "")
+    base = docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", "w", F.size("w").alias("dl"))
+    q = _query_terms(queries)
+    hits = base.select("id", "dl", F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    post = hits.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    stats = base.agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
+    return _ranked(q, post, post.groupBy("term").agg(F.count("*").alias("df")), stats, k)
+
+
+#: Partitions of the stored index.
+BUCKETS = 64
+
+
+def _bucket(term):
+    return F.pmod(F.crc32(F.encode(term, "utf-8")), F.lit(BUCKETS)).cast("int")
+
+
+def index_tables(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> dict[str, DataFrame]:
+    """The stored index: postings ``(term, id, tf, dl, bucket)``, terms ``(term, df, bucket)``, index_stats ``(n, total)``.
+
+    Write the first two partitioned by bucket: a search then reads the buckets of its own words only.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), NON_WORD), lambda x: x != "")
+    base = docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", "w", F.size("w").alias("dl"))
+    post = base.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket(F.col("term")))
+    terms = post.groupBy("term", "bucket").agg(F.count("*").alias("df"))
+    return {"postings": post.select("term", "id", "tf", "dl", "bucket"), "terms": terms.select("term", "df", "bucket"), "index_stats": base.agg(F.count("*").alias("n"), F.sum("dl").alias("total"))}
+
+
+def index_search(index: dict[str, DataFrame], queries: DataFrame, k: int) -> DataFrame:
+    """``bm25_batch`` over a stored index. The buckets read are those of the queries' words, at most BUCKETS of them."""
+    q = _query_terms(queries)
+    buckets = [r.b for r in q.select(_bucket(F.col("term")).alias("b")).distinct().collect()]
+    own = lambda name: index[name].where(F.col("bucket").isin(buckets)).drop("bucket")
+    return _ranked(q, own("postings"), own("terms"), index["index_stats"], k)
+
+
 def rrf(ranked: DataFrame, k: int | None = None) -> DataFrame:
     """``(id, score)`` from ranked lists ``(leg, id, score)``: the sum of 1 / (60 + rank from 0)."""
     w = Window.partitionBy("leg").orderBy(F.desc("score"), "id")
@@ -81,15 +120,54 @@ def rrf(ranked: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.orderBy(F.desc("score"), "id").limit(k)
 
 
+def fuse(lists: DataFrame, k: int, group: str = "query_id") -> DataFrame:
+    """``(group, id, score, rank)``: reciprocal rank fusion of lists ``(group, leg, id, rank)`` with ranks from 1, by group."""
+    s = lists.groupBy(group, "id").agg(F.round(F.sum(1.0 / (RRF + F.col("rank") - 1)), 9).alias("score"))
+    w = Window.partitionBy(group).orderBy(F.desc("score"), "id")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def hybrid(text_hits: DataFrame, vector_hits: DataFrame | None, k: int) -> DataFrame:
+    """``(query_id, id, score, rank)``: the two legs ``(query_id, id, rank)``, each of the best 2k, fused. Without vectors the text leg alone."""
+    t = text_hits.where(F.col("rank") <= 2 * k).select("query_id", "id", "rank")
+    if vector_hits is not None:
+        t = t.unionByName(vector_hits.where(F.col("rank") <= 2 * k).select("query_id", "id", "rank"))
+    return fuse(t, k)
+
+
+def candidate_pages(hits: DataFrame, cap: int = 16) -> DataFrame:
+    """``(run, id, score, rank)``: of hybrid lists ``(run, query_id, id, rank)`` for a run's claims (the best 6 each) and
+    names (the best 4 each), the pages that rank best over all of them."""
+    return fuse(hits, cap, "run")
+
+
 def _blocks(df: DataFrame, name: str, id_col: str, vec_col: str, block: int, n: int) -> DataFrame:
     parts = max(1, -(-n // block))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["v"].to_list()).astype(np.float32)
-        return pd.DataFrame({"b": [int(pdf["b"].iloc[0])], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
+        return pd.DataFrame({"b": [int(pdf["b"].iloc[0])], "ids": [pdf["id"].tolist()], "x": [x.tobytes()]})
 
+    kind = df.schema[id_col].dataType.simpleString()
     keyed = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("b"))
-    return keyed.groupBy("b").applyInPandas(pack, "b int, ids binary, x binary").select(F.col("b").alias(f"{name}b"), F.col("ids").alias(f"{name}ids"), F.col("x").alias(f"{name}x"))
+    return keyed.groupBy("b").applyInPandas(pack, f"b int, ids array<{kind}>, x binary").select(F.col("b").alias(f"{name}b"), F.col("ids").alias(f"{name}ids"), F.col("x").alias(f"{name}x"))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def best_of(x: np.ndarray, y: np.ndarray, k: int, same: np.ndarray | None = None):
+    """(row, column, cosine) of the k best columns of each row of unit vectors; equals of the last one kept come, too."""
+    s = x @ y.T
+    if same is not None:
+        s[same] = -9
+    m = min(k, s.shape[1])
+    top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+    bar = np.take_along_axis(s, top, axis=1).min(axis=1)
+    r, c = np.nonzero((s >= bar[:, None] - 1e-9) & (s > -5))
+    return r, c, np.round(s[r, c], 6)
 
 
 def nearest(queries: DataFrame, data: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", drop_self: bool = True, block: int = BLOCK) -> DataFrame:
@@ -97,40 +175,53 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, id_col: str = "vec_id",
 
     Both sides are packed into blocks of bounded size; each pair of blocks is one matrix product that
     keeps k rows a query, so nothing is broadcast and memory depends on the block alone. Vectors must
-    be of one length; zero vectors score 0; ids are longs.
+    be of one length; zero vectors score 0; ids are of any type. For all vectors against all of a large
+    collection there is ``vectors.neighbours``.
     """
     nq, nd = queries.count(), data.count()
     q, d = _blocks(queries, "q", id_col, vec_col, block, nq), _blocks(data, "d", id_col, vec_col, block, nd)
     parts = max(1, -(-nq // block))
     met = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(q, "qb")
+    kind = data.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for qi, qx, di, dx in zip(*(b.column(c).to_pylist() for c in ("qids", "qx", "dids", "dx"))):
-                qi, di = np.frombuffer(qi, np.int64), np.frombuffer(di, np.int64)
-                x, y = (np.frombuffer(v, np.float32).reshape(len(i), -1).astype(np.float64) for v, i in ((qx, qi), (dx, di)))
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+                qi, di = np.array(qi), np.array(di)
+                x, y = (unit(np.frombuffer(v, np.float32).reshape(len(i), -1)) for v, i in ((qx, qi), (dx, di)))
                 for at in range(0, len(x), 256):
-                    s = x[at : at + 256] @ y.T
                     own = qi[at : at + 256]
-                    if drop_self:
-                        s[own[:, None] == di[None, :]] = -9
-                    m = min(k, s.shape[1])
-                    top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                    # equals of the last one kept go on too, so that ties are settled by id below
-                    bar = np.take_along_axis(s, top, axis=1).min(axis=1)
-                    r, c = np.nonzero((s >= bar[:, None] - 1e-9) & (s > -5))
-                    yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(di[c]), pa.array(np.round(s[r, c], 6))], names=["query", "id", "score"])
+                    r, c, s = best_of(x[at : at + 256], y, k, own[:, None] == di[None, :] if drop_self else None)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(di[c]), pa.array(s)], names=["query", "id", "score"])
 
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return met.mapInArrow(run, "query long, id long, score double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return met.mapInArrow(run, f"query {kind}, id {kind}, score double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarity_pairs(found: DataFrame, linked: DataFrame | None = None, least: float = 0.6, unlinked_only: bool = False) -> DataFrame:
-    """``(a, b, score, linked)`` undirected pairs of a neighbour list, best first."""
+def similarity_pairs(found: DataFrame, linked: DataFrame | None = None, least: float = 0.6, unlinked_only: bool = False, among: DataFrame | None = None) -> DataFrame:
+    """``(a, b, score, linked)``: undirected pairs of a neighbour list ``(query, id, score)``, best first, then by ids.
+
+    With ``among`` ``(id)``, such as the notes a filter leaves, both ends must be in it.
+    """
     p = found.where(F.col("score") >= least).groupBy(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).agg(F.max("score").alias("score"))
+    if among is not None:
+        p = p.join(among.select(F.col("id").alias("a")), "a", "left_semi").join(among.select(F.col("id").alias("b")), "b", "left_semi")
     if linked is None:
-        return p.withColumn("linked", F.lit(False))
-    p = p.join(linked.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    return p.where(~F.col("linked")) if unlinked_only else p
+        p = p.withColumn("linked", F.lit(False))
+    else:
+        p = p.join(linked.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+        p = p.where(~F.col("linked")) if unlinked_only else p
+    return p.select("a", "b", "score", "linked").orderBy(F.desc("score"), "a", "b")
+
+
+def contains(df: DataFrame, typed: str, columns: tuple[str, ...] = ("title", "id"), cap: int = 200) -> DataFrame:
+    """Rows with a text in one of the columns, whatever the case, in order of id: symbol search, and what is left where there is no index."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.lower(c).contains(typed.lower()), F.lit(False))
+    return df.where(hit).orderBy("id").limit(cap)
+
+
+def search_docs(notes: DataFrame) -> DataFrame:
+    """``(id, title, body, tags)``: what a client-side index is built from."""
+    return notes.select("id", F.coalesce("title", "id").alias("title"), F.coalesce("body_text", F.lit("")).alias("body"), "tags")

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
+from quillgraph.functions.markup import parsed_replies
 from quillgraph.operators import checks, graph, search
 from quillgraph.operators import resolve as R
+from quillgraph.operators.ask import embedding_due
 from quillgraph.plans import vault
 from quillgraph.runtime import Scratch, spread, table
 
@@ -36,13 +38,19 @@ def _vault(sql: str) -> str:
     return vault.SQL + sql
 
 
-def _notes(spark, d):
-    return Scratch(spark, "vault").keep(vault.notes(spark, d))
+def _notes(spark, d, *want):
+    """Parsed notes with the columns wanted, written once in the shared folder."""
+    return Scratch(spark, "vault").keep(vault.notes(spark, d, *want))
 
 
-def _graph(spark, d):
-    """Parsed notes, written once, and their edges."""
-    n = _notes(spark, d)
+def _links(spark, d):
+    """Notes with their links, and the notes that links lead to, which need no parsing."""
+    return vault.notes(spark, d, "links"), vault.ids(vault.files(spark, d))
+
+
+def _graph(spark, d, *want):
+    """Notes with what edges come from, written once without their texts, and their edges."""
+    n = _notes(spark, d, "tags", "fields", "links", *want)
     return n, vault.edges(n)
 
 
@@ -131,9 +139,10 @@ _col("normalize_ws", "documents", "doc_id", lambda: T.normalize_ws(F.col("text")
 _col("fts_strip", "documents", "doc_id", lambda: T.strip_links(F.col("text")), r"regexp_replace(regexp_replace(text, '\[\[[^\]\n|]*\|\s*([^\]\n]*?)\s*\]\]', '\1', 'g'), '\[\[(?:[^\]\n|#]*/)?\s*([^\]\n|#/]*?)\s*(?:#[^\]\n]*)?\]\]', '\1', 'g')")
 _col("sha_hash", "documents", "doc_id", lambda: F.sha2("text", 256), "sha256(text)")
 _col("slug_from_filename", "resources", "rel_path", lambda: T.slug_from_filename(F.col("rel_path")), r"CASE WHEN length(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(rel_path, '^.*/', ''), '\.md$', ''), '^\d{4}-\d{2}-\d{2}[-_]?', '')), '[^a-z0-9]+', '-', 'g'), '-')) < 2 THEN 'capture' ELSE trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(rel_path, '^.*/', ''), '\.md$', ''), '^\d{4}-\d{2}-\d{2}[-_]?', '')), '[^a-z0-9]+', '-', 'g'), '-') END")
-_col("strip_headings", "documents", "doc_id", lambda: F.regexp_replace("text", r"(?m)^#+[ \t]*", ""), r"regexp_replace(text, '(?m)^#+[ \t]*', '', 'g')")
+_col("strip_headings", "documents", "doc_id", lambda: T.strip_headings(F.col("text")), r"trim(regexp_replace(text, '(?m)^#+[ \t]*', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))")
 _col("note_preview", "notes", "id, synced_at".split(", ")[0], lambda: T.preview(F.col("body_text")), "substring(ltrim(body_text), 1, 600) || CASE WHEN length(ltrim(body_text)) > 600 THEN '…' ELSE '' END")
-_col("truncate_note", "notes", "id", lambda: F.octet_length(F.substring("body_text", 1, 7000)).cast("long"), "strlen(substring(body_text, 1, 7000))::BIGINT")
+_col("truncate_note", "notes", "id", lambda: T.truncate_bytes(F.col("body_text"), 333), "CASE WHEN strlen(body_text) <= 333 THEN body_text ELSE left(body_text, list_reduce([0, 256, 128, 64, 32, 16, 8, 4, 2, 1], lambda a, x: CASE WHEN strlen(left(body_text, a + x)) <= 333 THEN a + x ELSE a END)::BIGINT) END")
+_col("truncate_document", "documents", "doc_id", lambda: T.truncate_bytes(F.col("text"), 1001), "CASE WHEN strlen(text) <= 1001 THEN text ELSE left(text, list_reduce([0, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1], lambda a, x: CASE WHEN strlen(left(text, a + x)) <= 1001 THEN a + x ELSE a END)::BIGINT) END")
 
 
 @query(r"SELECT path, replace(regexp_replace(regexp_replace(path, '^wiki/', ''), '\.md$', ''), '/', '-') AS id, split_part(regexp_replace(path, '\.md$', ''), '/', -1) AS slug, CASE WHEN contains(regexp_replace(path, '^wiki/', ''), '/') THEN split_part(regexp_replace(path, '^wiki/', ''), '/', 1) ELSE '' END AS dir FROM notes")
@@ -147,7 +156,7 @@ def wikilinks(spark, d):
     from quillgraph.functions.markup import parsed_notes
 
     files = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("rel_path"), F.concat(F.lit(" "), "text").alias("text"))
-    links = parsed_notes(files).select(F.col("path").cast("long").alias("doc_id"), F.explode("links").alias("l"))
+    links = parsed_notes(spread(files), want=("links",)).select(F.col("path").cast("long").alias("doc_id"), F.explode("links").alias("l"))
     return links.groupBy("doc_id", F.col("l.target").alias("target")).agg(F.count("*").alias("n"))
 
 
@@ -156,13 +165,16 @@ def inline_tags(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(T.inline_tags(F.col("text"))).alias("tag"))
 
 
-@query()
+@query(r"""WITH f AS (SELECT doc_id, regexp_extract(replace(text, chr(13), ''), '\A---\n((?s:.*?\n))---(?:\n|\z)', 1) AS y FROM documents),
+g AS (SELECT doc_id, trim(regexp_extract(y, '(?m)^title:(.*)$', 1)) AS title, trim(regexp_extract(y, '(?m)^kind:(.*)$', 1)) AS kind, trim(regexp_extract(y, '(?m)^status:\s*([^\n:]*)$', 1)) AS status, trim(regexp_extract(y, '(?m)^tags:(.*)$', 1)) AS tags FROM f WHERE y <> '')
+SELECT doc_id, nullif(trim(title, '"'), '') AS title, nullif(trim(kind, '"'), '') AS kind, nullif(trim(status, '"'), '') AS status, CASE WHEN tags IN ('', '[]') THEN 0 WHEN tags LIKE '[%' THEN len(string_split(tags, ',')) ELSE 1 END::INT AS tags FROM g""")
 def frontmatter_fields(spark, d):
+    """Of every document that opens with frontmatter."""
     from quillgraph.functions.markup import parsed_notes
 
     files = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("rel_path"), "text")
-    n = parsed_notes(files).where("frontmatter_json <> 'null' and kind is not null and status is not null")
-    return n.select(F.col("path").cast("long").alias("doc_id"), "kind", "status")
+    n = parsed_notes(spread(files), inline=False, want=("title", "kind", "status", "tags", "frontmatter_json")).where("frontmatter_json <> 'null'")
+    return n.select(F.col("path").cast("long").alias("doc_id"), "title", "kind", "status", F.size("tags").alias("tags"))
 
 
 @query(r"SELECT doc_id, unnest(list_transform(list_filter(string_split(regexp_extract(text, '(?m)^## Key claims[ \t\r]*\n((?s:.*?))(?:^## |\z)', 1), chr(10)), lambda x: starts_with(x, '- ')), lambda x: trim(substring(x, 3), ' '))) AS claim FROM documents")
@@ -187,56 +199,91 @@ def recency(spark, d):
 
 @query(_vault("SELECT src, target, outcome, dst, count(*) AS n FROM resolved GROUP BY ALL"))
 def resolve_links(spark, d):
-    n = _notes(spark, d)
-    return R.resolve(R.note_links(n), n).groupBy("src", "target", "outcome", "dst").agg(F.count("*").alias("n"))
+    n, among = _links(spark, d)
+    return R.resolve(R.note_links(n), among).groupBy("src", "target", "outcome", "dst").agg(F.count("*").alias("n"))
 
 
 @query(_vault("SELECT src, dst FROM edge WHERE edge = 'LINKS_TO'"))
 def edges_wikilink(spark, d):
-    return R.wikilink_edges(_notes(spark, d)).select("src", "dst")
+    n, among = _links(spark, d)
+    return R.wikilink_edges(n, among=among).select("src", "dst")
+
+
+_PATH_SQL = """WITH n AS (SELECT (max(doc_id) + 1)::BIGINT AS n FROM documents), d AS (SELECT doc_id AS i, coalesce(lang, 'und') AS lang FROM documents),
+e AS (SELECT 'p-d' || i AS src, 'p-d' || ((3 * i + 2) % n) AS dst FROM d, n UNION SELECT 'p-d' || i, 'q-d' || ((7 * i + 1) % n) FROM d, n WHERE i % 2 = 0
+      UNION SELECT 'q-d' || i, 'p-d' || ((5 * i + 3) % n) FROM d, n)
+SELECT DISTINCT src, dst FROM e WHERE src <> dst AND dst IN (SELECT 'p-d' || i FROM d UNION SELECT 'q-d' || i FROM d)"""
+
+
+@query(_PATH_SQL)
+def edges_path_links(spark, d):
+    """Edges from markdown links to files: beside, through '..', from the root; images, other schemes, code and ways out make none."""
+    from quillgraph.functions.markup import parsed_notes
+
+    docs = table(spark, d, "documents")
+    n = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    beside = f"concat('See [a](d', (3 * i + 2) % {n}, '.md \"t\") ![x](d1.md) [w](https://x.example/d2.md) [out](../../../d3.md) `[c](d4.md)`', if(i % 2 = 0, concat(' and [b](../q/./d', (7 * i + 1) % {n}, '.md#top).'), ''))"
+    root = f"concat('[r](/wiki/p/d', (5 * i + 3) % {n}, '.md) [m](mailto:a@x.md) [self](#top)\\n\\n```\\n[f](/wiki/p/d5.md)\\n```\\n')"
+    ids = docs.select(F.col("doc_id").alias("i"))
+    files = ids.select(F.expr("concat('wiki/p/d', i, '.md')").alias("rel_path"), F.expr(beside).alias("text")).unionByName(
+        ids.select(F.expr("concat('wiki/q/d', i, '.md')").alias("rel_path"), F.expr(root).alias("text"))
+    )
+    parsed = parsed_notes(spread(files), want=("links",), prefix=vault.PREFIX)
+    p = F.col("path")
+    notes = parsed.withColumns({"id": T.note_id(p), "slug": T.note_slug(p), "dir": T.note_dir(p)})
+    return R.wikilink_edges(notes, among=vault.ids(files)).select("src", "dst")
 
 
 @query(_vault("SELECT src, dst, edge FROM edge WHERE edge IN ('CONTRADICTS', 'SOURCE_OF')"))
 def edges_frontmatter(spark, d):
-    n = _notes(spark, d)
+    n = _notes(spark, d, "fields")
     return R.field_edges(n, "contradicts", "CONTRADICTS").unionByName(R.field_edges(n, "source_refs", "SOURCE_OF", True)).select("src", "dst", "edge")
 
 
 @query(_vault("SELECT src, dst FROM edge WHERE edge = 'TAGGED'"))
 def edges_tagged(spark, d):
-    return R.tag_edges(_notes(spark, d)).select("src", "dst")
+    return R.tag_edges(vault.notes(spark, d, "tags")).select("src", "dst")
 
 
 @query(_vault("SELECT dst, src, count(*) AS n FROM resolved WHERE outcome = 'resolved' AND src <> dst GROUP BY ALL"))
 def backlinks(spark, d):
-    return R.backlinks(_notes(spark, d)).groupBy("dst", "src").agg(F.count("*").alias("n"))
+    return R.backlinks(*_links(spark, d)).groupBy("dst", "src").agg(F.count("*").alias("n"))
 
 
 @query(_vault("SELECT 'raw/' || source || '.md' AS rel_path FROM note WHERE i % 2 = 0 UNION SELECT rel_path FROM resources WHERE rel_path IS NOT NULL"))
 def resources_with_stubs(spark, d):
-    n = _notes(spark, d)
+    n = vault.notes(spark, d, "fields")
     res = table(spark, d, "resources").where("rel_path is not null").groupBy("rel_path").agg(F.max("synced_at").alias("synced_at"))
     return R.resources_with_stubs(res, R.field_edges(n, "source_refs", "SOURCE_OF", True)).select("rel_path")
 
 
-@query(_vault(", gone AS (SELECT id FROM note WHERE i % 13 = 0) SELECT count(*) AS links, count(DISTINCT src) AS notes FROM resolved WHERE dst IN (SELECT id FROM gone) AND NOT contains(target, '/') AND lower(target) LIKE 'd%'"))
-def relink(spark, d):
-    n = _notes(spark, d)
-    links = R.note_links(n)
-    after = n.where(~((F.regexp_extract("slug", r"^d(\d+)$", 1) != "") & (F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long") % 13 == 0)))
-    got = R.shifted(links, n, after).where("not contains(target, '/') and lower(target) like 'd%'")
-    return got.agg(F.count("*").alias("links"), F.countDistinct("src").alias("notes"))
+_RELINK = """, slugs2 AS (SELECT slug, list_sort(list(DISTINCT id)) AS ids FROM note WHERE i % 13 <> 0 GROUP BY slug),
+hit2 AS (SELECT l.src, l.dir, l.target, n.id AS by_id, s.ids, list_filter(s.ids, lambda x: starts_with(x, l.dir || '-')) AS near, h.by_id AS by_id1, h.ids AS ids1, h.near AS near1
+  FROM (SELECT DISTINCT * FROM hit) h JOIN link l USING (src, dir, target)
+  LEFT JOIN note n ON contains(l.target, '/') AND replace(lower(l.target), '/', '-') = n.id AND n.i % 13 <> 0
+  LEFT JOIN slugs2 s ON NOT contains(l.target, '/') AND lower(l.target) = s.slug),
+res2 AS (SELECT src, CASE WHEN by_id IS NOT NULL THEN by_id WHEN len(ids) = 1 THEN ids[1] WHEN len(ids) > 1 AND len(near) = 1 THEN near[1] END AS dst, coalesce(len(ids) > 1, false) AS many,
+  CASE WHEN by_id1 IS NOT NULL THEN by_id1 WHEN len(ids1) = 1 THEN ids1[1] WHEN len(ids1) > 1 AND len(near1) = 1 THEN near1[1] END AS dst1, coalesce(len(ids1) > 1, false) AS many1 FROM hit2)
+SELECT count(*) AS links, count(DISTINCT src) AS notes FROM res2 WHERE dst IS DISTINCT FROM dst1 OR (dst IS NULL AND many <> many1)"""
 
 
-@query()
-def relink_all(spark, d):
+@query(_vault(_RELINK))
+def relink(spark, d):
     """Every link, bare or by folder, that changes when a thirteenth of the notes goes, those with shared slugs among them."""
-    n = _notes(spark, d)
+    n, among = _links(spark, d)
     i = F.coalesce(F.regexp_extract("path", r"/x(\d+)/", 1).try_cast("long"), F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long"))
-    got = R.shifted(R.note_links(n), n, n.where(F.coalesce(i % 13 != 0, F.lit(True))))
+    got = R.shifted(R.note_links(n), among, among.where(F.coalesce(i % 13 != 0, F.lit(True))))
     return got.agg(F.count("*").alias("links"), F.countDistinct("src").alias("notes"))
 
 
+@query(_vault("SELECT dst, src, dst || '>' || src AS path, count(*) AS n FROM resolved WHERE outcome = 'resolved' AND src <> dst GROUP BY ALL").replace("dst || '>' || src AS path, ", ""))
+def references(spark, d):
+    """Places of links from other notes, by the spans that rename and find-references work with."""
+    n = _notes(spark, d, "links")
+    spans = R.references(n)
+    return spans.where("end > start").groupBy("dst", "src").agg(F.count("*").alias("n"))
+
+
 # --- graph reads
 
 
@@ -269,54 +316,57 @@ def degree(spark, d):
 
 @query(_vault("SELECT e.edge, coalesce(m.id, e.dst) AS id, e.dst_type AS node_type FROM edge e LEFT JOIN note m ON m.id = e.dst WHERE e.src = (SELECT min(src) FROM edge WHERE edge = 'CONTRADICTS')"))
 def neighbours_out(spark, d):
-    n, e = _graph(spark, d)
-    start = e.where("edge = 'CONTRADICTS'").agg(F.min("src")).first()[0] or ""
+    n, e = _graph(spark, d, "title", "kind")
+    start = e.where("edge = 'CONTRADICTS'").agg(F.min("src").alias("id"))
     res = e.where("dst_type = 'Resource'").select(F.col("dst").alias("rel_path"), F.lit(None).cast("string").alias("title")).distinct()
     return graph.neighbours(e, graph.node_view(n, res), start, limit=200).select("edge", "id", "node_type")
 
 
 @query(_vault("SELECT edge, src AS id, 'Note' AS node_type FROM edge WHERE dst = (SELECT min(dst) FROM edge WHERE edge = 'CONTRADICTS') ORDER BY edge, id LIMIT 200"))
 def neighbours_in(spark, d):
-    n, e = _graph(spark, d)
-    start = e.where("edge = 'CONTRADICTS'").agg(F.min("dst")).first()[0] or ""
+    n, e = _graph(spark, d, "title", "kind")
+    start = e.where("edge = 'CONTRADICTS'").agg(F.min("dst").alias("id"))
     return graph.neighbours(e, graph.node_view(n), start, "in", limit=200).select("edge", "id", "node_type")
 
 
-_SEEDS = "SELECT id FROM note WHERE i % 250 = 0"
-
-
-def _expand(spark, d, hops):
+@query(_vault("SELECT root, id, min(hop)::INT AS hop FROM (SELECT id AS root, id, 0 AS hop FROM note UNION ALL SELECT a, b, 1 FROM adj) GROUP BY ALL"))
+def expand_1hop(spark, d):
+    """From every note."""
     n, e = _graph(spark, d)
-    seeds = n.where(F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long") % 250 == 0)
-    return graph.expand(e, seeds, hops)
+    return graph.expand_each(e, n, 1, Scratch(spark, "expand"))
 
 
-@query(_vault(f"SELECT id, min(hop)::INT AS hop FROM (SELECT id, 0 AS hop FROM ({_SEEDS}) UNION ALL SELECT b, 1 FROM adj WHERE a IN ({_SEEDS})) GROUP BY id"))
-def expand_1hop(spark, d):
-    return _expand(spark, d, 1)
+@query(_vault("SELECT root, id, min(hop)::INT AS hop FROM (SELECT id AS root, id, 0 AS hop FROM note UNION ALL SELECT a, b, 1 FROM adj UNION ALL SELECT x.a, y.b, 2 FROM adj x JOIN adj y ON x.b = y.a) GROUP BY ALL"))
+def expand_2hop(spark, d):
+    """From every note."""
+    n, e = _graph(spark, d)
+    return graph.expand_each(e, n, 2, Scratch(spark, "expand"))
 
 
-@query(_vault(f"SELECT id, min(hop)::INT AS hop FROM (SELECT id, 0 AS hop FROM ({_SEEDS}) UNION ALL SELECT b, 1 FROM adj WHERE a IN ({_SEEDS}) UNION ALL SELECT y.b, 2 FROM adj x JOIN adj y ON x.b = y.a WHERE x.a IN ({_SEEDS})) GROUP BY id"))
-def expand_2hop(spark, d):
-    return _expand(spark, d, 2)
+@query(_vault("SELECT id, min(hop)::INT AS hop FROM (SELECT dst AS id, 0 AS hop FROM contra WHERE dst IS NOT NULL UNION ALL SELECT b, 1 FROM adj WHERE a IN (SELECT dst FROM contra)) GROUP BY id"))
+def expand_union(spark, d):
+    """What one hop from all notes that are contradicted reaches together."""
+    n, e = _graph(spark, d)
+    return graph.expand(e, graph.contradictions(e).select(F.col("dst").alias("id")), 1, Scratch(spark, "expand"))
 
 
-_WALK = ", walk AS (SELECT id AS root, id, 0 AS depth FROM note WHERE i % 50 = 0 UNION SELECT root, {to}, depth + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM edge WHERE dst_type = 'Note') e ON e.{frm} = walk.id WHERE depth < 3) SELECT root, id, depth::INT AS depth FROM walk WHERE depth > 0"
+_WALK = ", walk AS (SELECT id AS root, id, 0 AS depth FROM note UNION SELECT root, {to}, depth + 1 FROM walk JOIN (SELECT DISTINCT src, dst FROM edge WHERE dst_type = 'Note') e ON e.{frm} = walk.id WHERE depth < 3) SELECT root, id, depth::INT AS depth FROM walk WHERE depth > 0"
 
 
 def _lineage(spark, d, forward):
     n, e = _graph(spark, d)
-    roots = n.where(F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long") % 50 == 0)
-    return graph.lineage(e.where("dst_type = 'Note'"), roots, 3, forward)
+    return graph.lineage(e.where("dst_type = 'Note'"), n, 3, forward, Scratch(spark, "lineage"))
 
 
 @query(_vault(_WALK.format(to="dst", frm="src")))
 def lineage_down(spark, d):
+    """From every note."""
     return _lineage(spark, d, True)
 
 
 @query(_vault(_WALK.format(to="src", frm="dst")))
 def lineage_up(spark, d):
+    """From every note."""
     return _lineage(spark, d, False)
 
 
@@ -332,50 +382,10 @@ def already_ingested(spark, d):
     return graph.already_ingested(e, paths)
 
 
-@query(_vault("SELECT id, (SELECT count(*) FROM edge WHERE src = note.id) AS out_n, (SELECT count(*) FROM edge WHERE dst = note.id) AS in_n FROM note WHERE i % 97 = 0"))
+@query(_vault("SELECT note.id, coalesce(o.n, 0) AS out_n, coalesce(i.n, 0) AS in_n FROM note LEFT JOIN (SELECT src, count(*) AS n FROM edge GROUP BY src) o ON o.src = note.id LEFT JOIN (SELECT dst, count(*) AS n FROM edge GROUP BY dst) i ON i.dst = note.id"))
 def note_detail(spark, d):
-    n, e = _graph(spark, d)
-    ids = n.where(F.coalesce(F.regexp_extract("path", r"/x(\d+)/", 1).try_cast("long"), F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long")) % 97 == 0).select("id")
-    return _detail(ids, e)
-
-
-def _detail(ids, e):
-    o = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
-    i = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
-    return ids.join(o, "id", "left").join(i, "id", "left").select("id", F.coalesce("o", F.lit(0)).cast("long").alias("out_n"), F.coalesce("i", F.lit(0)).cast("long").alias("in_n"))
-
-
-# From every note. SQL is left to the queries above, which start from a part of the notes.
-
-
-@query()
-def note_detail_all(spark, d):
-    n, e = _graph(spark, d)
-    return _detail(n.select("id"), e)
-
-
-@query()
-def lineage_down_all(spark, d):
-    n, e = _graph(spark, d)
-    return graph.lineage(e.where("dst_type = 'Note'"), n.select("id"), 3)
-
-
-@query()
-def lineage_up_all(spark, d):
-    n, e = _graph(spark, d)
-    return graph.lineage(e.where("dst_type = 'Note'"), n.select("id"), 3, False)
-
-
-@query()
-def expand_1hop_all(spark, d):
-    n, e = _graph(spark, d)
-    return graph.expand_each(e, n, 1)
-
-
-@query()
-def expand_2hop_all(spark, d):
-    n, e = _graph(spark, d)
-    return graph.expand_each(e, n, 2)
+    """Of every note."""
+    return graph.detail_counts(*_graph(spark, d))
 
 
 @query()
@@ -386,13 +396,13 @@ def communities(spark, d):
 
 @query()
 def diagnostics(spark, d):
-    n, _ = _graph(spark, d)
+    n = _notes(spark, d, "links", "kind", "frontmatter_json")
     return checks.diagnostics(n, ("note", "clip", "source_page", "answer", "transcript"), {"source_page": ("updated", "source_refs")})
 
 
 @query(_vault("SELECT id, CASE WHEN len(ids) = 1 OR len(list_filter(ids, lambda x: starts_with(x, 'note-'))) = 1 AND starts_with(id, 'note-') THEN note.slug ELSE id END AS insert FROM note JOIN slugs ON slugs.slug = note.slug WHERE contains(id, 't1') ORDER BY id LIMIT 200"))
 def completion(spark, d):
-    return R.completions(_notes(spark, d), "note", "t1")
+    return R.completions(vault.ids(vault.files(spark, d)), "note", "t1")
 
 
 # --- notes table
@@ -402,8 +412,7 @@ _CUR = "WITH c AS (SELECT * FROM notes WHERE id IS NOT NULL QUALIFY row_number()
 
 @query(_CUR + "SELECT id, title, kind, status, updated FROM c WHERE kind = 'concept' AND status = 'draft' ORDER BY id LIMIT 500")
 def list_notes(spark, d):
-    n = vault.current_notes(spark, d).where("kind = 'concept' and status = 'draft'")
-    return n.select("id", "title", "kind", "status", "updated").orderBy("id").limit(500)
+    return graph.list_notes(vault.current_notes(spark, d), "concept", "draft", limit=500)
 
 
 @query(_CUR + f"SELECT id, updated FROM c WHERE updated < DATE '{TODAY}' - INTERVAL 180 DAY")
@@ -423,20 +432,22 @@ def facet_status(spark, d):
 
 @query(_CUR + "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM c) GROUP BY tag ORDER BY n DESC, tag LIMIT 30")
 def tag_top30(spark, d):
-    t = vault.current_notes(spark, d).select(F.explode("tags").alias("tag"))
-    return t.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(30)
+    return graph.tag_counts(vault.current_notes(spark, d), 30)
+
+
+@query(_CUR + "SELECT DISTINCT tag FROM (SELECT unnest(tags) AS tag FROM c) WHERE tag IS NOT NULL")
+def tag_dictionary(spark, d):
+    return graph.tag_dictionary(vault.current_notes(spark, d))
 
 
 @query(_CUR + "SELECT id FROM c WHERE embedded_hash IS DISTINCT FROM body_hash AND coalesce(kind, '') <> 'source'")
 def embed_workset(spark, d):
-    n = vault.current_notes(spark, d)
-    return n.where(~F.col("embedded_hash").eqNullSafe(F.col("body_hash")) & (F.coalesce("kind", F.lit("")) != "source")).select("id")
+    return vault.current_notes(spark, d).where(embedding_due(("source",))).select("id")
 
 
 @query(_CUR + "SELECT id, title FROM c WHERE contains(lower(title), 'tel') OR contains(lower(id), 'tel') ORDER BY id LIMIT 200")
 def symbol_search(spark, d):
-    n = vault.current_notes(spark, d)
-    return n.where(F.lower("title").contains("tel") | F.lower("id").contains("tel")).select("id", "title").orderBy("id").limit(200)
+    return search.contains(vault.current_notes(spark, d), "tel").select("id", "title")
 
 
 # --- change detection
@@ -456,52 +467,44 @@ def cdc_diff(spark, d):
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def upsert_latest(spark, d):
-    e = table(spark, d, "events")
-    last = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("l"))
-    return last.select("user_id", "l.event_id", "l.event_type", "l.value")
+    from quillgraph.streaming.sync import last_events
+
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return last_events(e, "user_id", "ts").select("user_id", "event_id", "event_type", "value")
 
 
 # --- model replies, training data and evaluation
 
 
-def _replies(spark, d, tasks, every=False):
-    """One row for each call with a reply that parses as it stands; with ``every``, also what a fence, a lead-in or a break hides."""
+def _replies(spark, d, tasks):
+    """One row for each call with a reply that the project's own parser reads: as it stands, in a fence, behind a lead-in or repaired."""
     r = table(spark, d, "training_records").where(F.col("task").isin(*tasks) & F.col("raw_output").isNotNull())
-    if not every:
-        return r.where("try_parse_json(raw_output) is not null").dropDuplicates(["run_id", "seq"])
-
-    from quillgraph.functions.markup import parse_reply
-
-    @F.udf("string", useArrow=True)
-    def parsed(x):
-        v = parse_reply(x)
-        return None if v is None else json.dumps(v)
+    return parsed_replies(r.dropDuplicates(["run_id", "seq"]), "raw_output")
 
-    return spread(r.dropDuplicates(["run_id", "seq"])).withColumn("raw_output", parsed("raw_output")).where("raw_output is not null")
 
-
-def _claims(spark, d, every=False):
-    r = _replies(spark, d, ("extract", "extract_chunk"), every)
+def _claims(spark, d):
+    r = _replies(spark, d, ("extract", "extract_chunk"))
     c = r.select("run_id", "seq", F.from_json("raw_output", "key_claims array<struct<text: string>>").alias("j"))
     return c.select("run_id", "seq", F.posexplode("j.key_claims.text").alias("pos", "text"))
 
 
-_CLAIMS = r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) run_id, seq, raw_output FROM training_records WHERE task IN ('extract', 'extract_chunk') AND json_valid(raw_output)),
-c AS (SELECT run_id, seq, unnest(json_extract(raw_output, '$.key_claims[*].text')) AS j, generate_subscripts(json_extract(raw_output, '$.key_claims[*].text'), 1) - 1 AS pos FROM r),
-k AS (SELECT run_id, seq, pos, j ->> '$' AS text FROM c)
+#: What the parser leaves of a list of objects or strings, whole or broken off: the elements that are followed by a comma or a bracket.
+_CLAIMS = r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) run_id, seq, raw_output FROM training_records WHERE task IN ('extract', 'extract_chunk')),
+s AS (SELECT run_id, seq, regexp_extract_all(regexp_extract(raw_output, '"key_claims"\s*:\s*\[((?s:.*?))(?:\]\s*,\s*"quotes"|\z)', 1), '\{\s*"text"\s*:\s*("(?:[^"\\]|\\.)*")\s*[,}]', 1) AS l FROM r),
+k AS (SELECT run_id, seq, unnest(range(len(l))) AS pos, json(unnest(l)) ->> '$' AS text FROM s)
 """
 
 
 @query(_CLAIMS + r""", v AS (SELECT run_id, seq, pos, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM k), f AS (SELECT * FROM v WHERE strlen(text) >= 15 QUALIFY row_number() OVER (PARTITION BY run_id, seq, lower(text) ORDER BY pos) = 1)
 SELECT run_id, seq, text, (row_number() OVER (PARTITION BY run_id, seq ORDER BY pos))::INT AS n FROM f QUALIFY n <= 12""")
-def claims_validate(spark, d, every=False):
-    return checks.valid_claims(_claims(spark, d, every), ["run_id", "seq"], "text", ["pos"]).select("run_id", "seq", "text", "n")
+def claims_validate(spark, d):
+    return checks.valid_claims(_claims(spark, d), ["run_id", "seq"], "text", ["pos"]).select("run_id", "seq", "text", "n")
 
 
 @query(_CLAIMS + """, f AS (SELECT * FROM k WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY run_id, lower(trim(text)) ORDER BY seq, pos) = 1)
 SELECT run_id, len(list(text)) AS n, sha256(string_agg(text, chr(10) ORDER BY seq, pos)) AS merged FROM f GROUP BY run_id""")
-def extract_merge(spark, d, every=False):
-    m = checks.merge_chunks(_claims(spark, d, every), ["run_id"], "text", ["seq", "pos"])
+def extract_merge(spark, d):
+    m = checks.merge_chunks(_claims(spark, d), ["run_id"], "text", ["seq", "pos"])
     return m.select("run_id", F.size("merged").cast("long").alias("n"), F.sha2(F.array_join("merged", "\n"), 256).alias("merged"))
 
 
@@ -604,74 +607,48 @@ def key_graph_edges(spark, d):
     return key_graph(spark, d).groupBy("edge").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
-@query(_FK + ", w AS (SELECT DISTINCT 'c:' || c_custkey AS root, 'c:' || c_custkey AS id, 0 AS depth FROM customer WHERE c_custkey % 20 = 0 UNION SELECT root, dst, depth + 1 FROM w JOIN e ON e.src = w.id WHERE depth < 3) SELECT root, id, depth::INT AS depth FROM w WHERE depth > 0")
+@query(_FK + ", w AS (SELECT DISTINCT 'c:' || c_custkey AS root, 'c:' || c_custkey AS id, 0 AS depth FROM customer UNION SELECT root, dst, depth + 1 FROM w JOIN e ON e.src = w.id WHERE depth < 3) SELECT root, id, depth::INT AS depth FROM w WHERE depth > 0")
 def key_graph_lineage(spark, d):
-    roots = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
-    return graph.lineage(key_graph(spark, d), roots, 3)
-
-
-@query()
-def key_graph_lineage_all(spark, d):
+    """From every customer."""
     roots = table(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("id"))
-    return graph.lineage(key_graph(spark, d), roots, 3)
+    return graph.lineage(key_graph(spark, d), roots, 3, True, Scratch(spark, "lineage"))
 
 
 # --- ingest gates
 
 
-def _findings(spark, d, every=False):
-    r = _replies(spark, d, ("contradiction",), every)
+def _findings(spark, d):
+    r = _replies(spark, d, ("contradiction",))
     f = r.select("run_id", "seq", F.from_json("raw_output", "findings array<struct<page_id: string, existing_text: string, new_claim: string, explanation: string>>").alias("j"))
     return f.select("run_id", "seq", F.posexplode("j.findings").alias("pos", "f")).select("run_id", "seq", "pos", "f.*")
 
 
-@query(r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) * FROM training_records WHERE task = 'contradiction' AND json_valid(raw_output)),
-f AS (SELECT run_id, seq, unnest(json_extract(raw_output, '$.findings[*]')) AS j, list_filter(messages, lambda m: m.role = 'user')[1].content AS body FROM r)
-SELECT run_id, seq, j ->> '$.page_id' AS page_id, contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(j ->> '$.new_claim', '\s+', ' ', 'g'))) AS verbatim FROM f""")
-def findings_verbatim(spark, d, every=False):
+@query(r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) * FROM training_records WHERE task = 'contradiction'),
+o AS (SELECT run_id, seq, list_filter(messages, lambda m: m.role = 'user')[1].content AS body,
+  unnest(regexp_extract_all(regexp_extract(raw_output, '"findings"\s*:\s*\[((?s:.*))\z', 1), '\{\s*"page_id"\s*:\s*"(?:[^"\\]|\\.)*"\s*[,}][^{]*')) AS o FROM r),
+f AS (SELECT run_id, seq, body, json(regexp_extract(o, '"page_id"\s*:\s*("(?:[^"\\]|\\.)*")', 1)) ->> '$' AS page_id, nullif(regexp_extract(o, '"new_claim"\s*:\s*("(?:[^"\\]|\\.)*")\s*[,}]', 1), '') AS c FROM o)
+SELECT run_id, seq, page_id, contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(json(c) ->> '$', '\s+', ' ', 'g'))) AS verbatim FROM f""")
+def findings_verbatim(spark, d):
     """Whether the claim of each contradiction finding stands in the message it was asked about."""
     m = table(spark, d, "training_records").where("task = 'contradiction'").dropDuplicates(["run_id", "seq"])
     body = m.select("run_id", "seq", F.get(F.filter("messages", lambda x: x["role"] == "user"), 0)["content"].alias("body"))
-    got = _findings(spark, d, every).join(body, ["run_id", "seq"])
+    got = _findings(spark, d).join(body, ["run_id", "seq"])
     return got.select("run_id", "seq", "page_id", T.normalize_ws(F.col("body")).contains(T.normalize_ws(F.col("new_claim"))).alias("verbatim"))
 
 
-@query(r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) * FROM training_records WHERE task = 'suggest_links' AND json_valid(raw_output)),
-c AS (SELECT run_id, seq, unnest(json_extract(raw_output, '$.linked_claims[*]')) ->> '$' AS claim FROM r),
+@query(r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) * FROM training_records WHERE task = 'suggest_links'),
+c AS (SELECT run_id, seq, json(unnest(regexp_extract_all(regexp_extract(raw_output, '"linked_claims"\s*:\s*\[((?s:.*?))(?:,\s*"new_pages"|\z)', 1), '("(?:[^"\\]|\\.)*")\s*[,\]]', 1))) ->> '$' AS claim FROM r),
 l AS (SELECT run_id, seq, unnest(regexp_extract_all(claim, '\[\[([^\]|#\n]+)', 1)) AS target FROM c)
 SELECT target, count(*) AS n, count(DISTINCT run_id) AS runs FROM l GROUP BY target""")
-def claim_links(spark, d, every=False):
+def claim_links(spark, d):
     """Targets of the links that were woven into claims."""
     from quillgraph.operators.ingest import claim_targets
 
-    r = _replies(spark, d, ("suggest_links",), every)
+    r = _replies(spark, d, ("suggest_links",))
     c = r.select("run_id", "seq", F.explode(F.from_json("raw_output", "linked_claims array<string>")["linked_claims"]).alias("claim"))
     return claim_targets(c, "claim").groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))
 
 
-# Over every reply that the project's own parser reads. SQL cannot follow it; the queries above keep to what their SQL has.
-
-
-@query()
-def claims_validate_all(spark, d):
-    return claims_validate(spark, d, True)
-
-
-@query()
-def extract_merge_all(spark, d):
-    return extract_merge(spark, d, True)
-
-
-@query()
-def findings_verbatim_all(spark, d):
-    return findings_verbatim(spark, d, True)
-
-
-@query()
-def claim_links_all(spark, d):
-    return claim_links(spark, d, True)
-
-
 @query(rf"""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
 SELECT query, id, round(1 - round(list_cosine_similarity(q.v, e.v), 6), 6) AS distance FROM q JOIN e ON q.query <> e.id WHERE round(1 - round(list_cosine_similarity(q.v, e.v), 6), 6) < 0.7
 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(q.v, e.v), 6) DESC, id) <= 3""")
@@ -698,13 +675,11 @@ def page_sampling(spark, d):
     return batches(vault.current_notes(spark, d).where("path is not null"), "path", 3)
 
 
-@query(_CUR + f""" SELECT id FROM c WHERE coalesce(kind, '(none)') IN ('concept', '(none)') AND coalesce(status, '(none)') IN ('draft', '(none)')
+@query(_CUR + f""" SELECT id FROM c WHERE coalesce(nullif(kind, ''), '(none)') IN ('concept', '(none)') AND coalesce(nullif(status, ''), '(none)') IN ('draft', '(none)')
  AND list_has_any(tags, ['science', 'law', 'inbox']) AND updated BETWEEN DATE '2024-01-01' AND DATE '{TODAY}'""")
 def facet_filter(spark, d):
     n = vault.current_notes(spark, d)
-    none = lambda c: F.coalesce(c, F.lit("(none)"))
-    hit = n.where(none("kind").isin("concept", "(none)") & none("status").isin("draft", "(none)") & F.arrays_overlap("tags", F.array(*[F.lit(t) for t in ("science", "law", "inbox")])))
-    return hit.where(F.col("updated").between(F.lit("2024-01-01").cast("date"), F.lit(TODAY).cast("date"))).select("id")
+    return graph.facet_filter(n, ("concept", "(none)"), ("draft", "(none)"), ("science", "law", "inbox"), None, "2024-01-01", TODAY).select("id")
 
 
 @query(_CUR + """, k AS (SELECT slug, id, row_number() OVER (PARTITION BY slug ORDER BY id) AS n FROM c) SELECT id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS free_slug FROM k""")
@@ -717,11 +692,11 @@ def slug_suffixes(spark, d):
 
 @query(_vault("SELECT dst AS id, count(*) AS n FROM resolved WHERE outcome = 'resolved' AND src <> dst GROUP BY dst ORDER BY n DESC, id LIMIT 50"))
 def most_referenced(spark, d):
-    return R.backlinks(_notes(spark, d)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(50)
+    return R.backlinks(*_links(spark, d)).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(50)
 
 
 @query(_vault("SELECT DISTINCT e.src AS id FROM edge e WHERE e.edge = 'SOURCE_OF' EXCEPT SELECT id FROM note WHERE i % 17 = 0 OR dir <> 'source_page'"))
 def pair_sources(spark, d):
     """Source pages with a raw capture, which pairs can be mined from."""
-    n, e = _graph(spark, d)
+    n, e = _graph(spark, d, "kind")
     return n.where("kind = 'source_page'").join(e.where("edge = 'SOURCE_OF'").select(F.col("src").alias("id")), "id", "left_semi").select("id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.markup import parsed_notes
 from quillgraph.functions.text import lenient_date, note_dir, note_id, note_slug
 from quillgraph.operators import resolve
-from quillgraph.runtime import table
+from quillgraph.runtime import spread, table
 
 PREFIX = "wiki/"
 
@@ -41,25 +41,29 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(path.alias("rel_path"), F.concat(front, links, F.lit("\n\n"), F.col("text")).alias("text"))
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed notes with id, slug and dir; of files with one id the last path counts."""
-    f = files(spark, sf_dir)
-    # ids are paths in another spelling: the last path of each id is found before any text is parsed
-    last = f.select(note_id(F.col("rel_path"), PREFIX).alias("id"), "rel_path").groupBy("id").agg(F.max("rel_path").alias("rel_path"))
-    p = parsed_notes(f.join(last, "rel_path", "left_semi"), ("contradicts", "source_refs"), inline=False)
+def ids(found: DataFrame) -> DataFrame:
+    """``(id, slug, dir, path)``: the notes of files ``(rel_path)`` as far as their paths tell; of files with one id the last path counts."""
     path = F.col("path")
-    n = p.select(
-        note_id(path, PREFIX).alias("id"), note_slug(path, PREFIX).alias("slug"), note_dir(path, PREFIX).alias("dir"), "path", F.col("title"), "kind", "status",
-        lenient_date(F.col("updated")).alias("updated"), "tags", "body_text", "body_hash", "frontmatter_json", "fields", "links", "headings",
-    )
-    return n.withColumn("title", F.coalesce("title", "id"))
+    f = found.select(F.col("rel_path").alias("path"))
+    last = f.groupBy(note_id(path, PREFIX).alias("id")).agg(F.max("path").alias("path"))
+    return last.select("id", note_slug(path, PREFIX).alias("slug"), note_dir(path, PREFIX).alias("dir"), "path")
+
+
+def notes(spark: SparkSession, sf_dir: str, *want: str) -> DataFrame:
+    """Parsed notes with id, slug and dir: all columns, or those wanted, and only what these need is parsed."""
+    f = files(spark, sf_dir)
+    p = parsed_notes(spread(f), ("contradicts", "source_refs"), inline=False, want=want or None)
+    n = p.join(ids(f), "path").select("id", "slug", "dir", "path", *[c for c in p.columns if c != "path"])
+    if "updated" in n.columns:
+        n = n.withColumn("updated", lenient_date(F.col("updated")))
+    return n.withColumn("title", F.coalesce("title", "id")) if "title" in n.columns else n
 
 
-def edges(n: DataFrame) -> DataFrame:
+def edges(n: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """All edges of the vault."""
     return (
-        resolve.wikilink_edges(n)
-        .unionByName(resolve.field_edges(n, "contradicts", "CONTRADICTS"))
+        resolve.wikilink_edges(n, among=among)
+        .unionByName(resolve.field_edges(n, "contradicts", "CONTRADICTS", among=among))
         .unionByName(resolve.field_edges(n, "source_refs", "SOURCE_OF", to_resource=True))
         .unionByName(resolve.tag_edges(n))
     )

@@ -52,9 +52,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as there are cores, for work in Python that a scan of one small
-    file would leave to one task. Scans with enough splits, as of any large table, stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """df in at least as many partitions as there are cores, for work in Python that one small file, or a small
+    shuffle's result, would leave to one task. Large inputs stay as they are. Nothing is run to find out: a plan
+    without shuffles tells its partitions, and for one with shuffles the size of what it reads decides."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(x in plan.toString() for x in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Limit")):
+        least = cores * int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")))
+        leaves = plan.collectLeaves()
+        size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+        return df if size >= least else df.repartition(cores)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 

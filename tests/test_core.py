@@ -26,7 +26,7 @@ def one(spark, expr, value, kind="string"):
         (T.strip_links, "x [[a/b#c|label]] [[a/b#c]] y", "x label b y"), (T.slug_from_filename, "raw/2024-01-02-Some File!.md", "some-file"), (T.slug_from_filename, "raw/!.md", "capture"),
         (lambda c: T.section(c, "Key claims"), "## Key claims\n- a\n\n## Next\n- b", "- a\n\n"), (lambda c: T.section(c, "X"), "## Y\n", ""), (T.bullets, "- a\n  - no\n- b ", ["a", "b"]),
         (T.strip_headings, "# A\n## B", "A\nB"), (T.strip_marker, "12. x", "x"), (T.strip_marker, "- x", "x"), (lambda c: T.preview(c, 3), "  abcd", "abc…"), (T.inline_tags, "#a x (#b-c) y#d ##e", ["a", "b-c"]),
-        (T.query_terms, "The é a C++", ["the", "é"]), (T.yaml_scalar, "plain text", "plain text"), (T.yaml_scalar, "yes", '"yes"'), (T.yaml_scalar, "a: b", '"a: b"'), (T.yaml_scalar, 'q"\\', '"q\\"\\\\"'), (T.strip, "\n a \t", "a"),
+        (lambda c: T.truncate_bytes(c, 4), "aé漢x", "aé"), (lambda c: T.truncate_bytes(c, 2), "aé", "a"), (lambda c: T.truncate_bytes(c, 3), "aé", "aé"), (lambda c: T.truncate_bytes(c, 1), "漢", ""), (lambda c: T.truncate_bytes(c, 5), "a👩b", "a👩"), (T.query_terms, "The é a C++", ["the", "é"]), (T.yaml_scalar, "plain text", "plain text"), (T.yaml_scalar, "yes", '"yes"'), (T.yaml_scalar, "a: b", '"a: b"'), (T.yaml_scalar, 'q"\\', '"q\\"\\\\"'), (T.strip, "\n a \t", "a"),
     ],
 )
 def test_text(spark, f, given, want):
@@ -55,6 +55,10 @@ def test_links_and_code():
     assert [(x["target"], x["anchor"], x["alias"], x["masked"]) for x in links] == [("A/b", "c", "d", False), ("code", None, None, True), ("fenced", None, None, True)]
     assert [x["target"] for x in M.path_links(body, "wiki/a/n.md", "wiki/")] == ["y", "z"]
     assert M.normalize_path("a/../../b") is None and M.normalize_path("./a//b/") == "a/b"
+    assert M.headings("Title *of*\nall\n===\n\n> q\n---\n\n#\n## [x](y.md) ##") == [(1, "Title of all", 0), (1, "", 29), (2, "x", 31)]
+    nested = "- item\n\n      [[c]]\n\n    [[t]] `a\n[[s]]`\n\n    [[u]]\n"
+    assert [(x["target"], x["masked"]) for x in M.wikilinks(nested)] == [("c", True), ("t", False), ("s", True), ("u", False)]
+    assert [x["masked"] for x in M.wikilinks("text\n\n    [[code]]\n\n1. one\n   ```\n   [[f]]\n   ```\n")] == [True, True]
     assert M.headings("# A\n```\n# no\n```\n## `B` ##\n") == [(1, "A", 0), (2, "B", 17)]
 
 
@@ -82,7 +86,7 @@ def test_edits_and_positions():
 def test_chunks():
     body = "intro\n## A\n" + "x" * 50 + "\n## B\n" + "é" * 100
     parts = M.chunk_body(body, 80)
-    assert "".join(parts) == body and all(len(p.encode()) <= 80 for p in parts) and M.chunk_body(" ", 80) == []
+    assert "".join(parts) == body and all(len(p.encode()) <= 80 for p in parts) and M.chunk_body(" ", 80) == [" "]
 
 
 FILES = {
@@ -166,6 +170,102 @@ def test_sync_incremental_equals_full(spark, tmp_path):
         v.neighbours("x", "NOPE")
 
 
+def counts(store):
+    return {r.edge: r.n for r in store.current("edges").groupBy("edge").agg(F.count("*").alias("n")).collect()}
+
+
+def test_bundle_of_markdown_path_links(spark, tmp_path):
+    """Both forms of path links beside a wikilink: nine notes, nine links, six of them from one table."""
+    metrics = ["count", "users", "revenue", "sessions", "bounce"]
+    root, body = tmp_path / "b", "\n".join(f"- [{m}](../references/metrics/{m}.md)" for m in metrics)
+    write(root, {
+        "tables/events_.md": f"---\ntype: Big Table\ntitle: Events\ntimestamp: 2026-05-28T00:00:00Z\nresource: https://x.example\n---\n{body}\n[clicks](../references/joins/clicks.md)\n[gone](../references/metrics/gone.md) [gone](../references/metrics/lost.md)\n",
+        **{f"references/metrics/{m}.md": f"---\ntype: Reference\ntitle: {m}\n---\nText.\n" for m in metrics},
+        "references/joins/clicks.md": "---\ntype: Reference\n---\nText.\n", "datasets/shop.md": "---\ntype: Dataset\n---\nText.\n",
+        "overview.md": "---\ntype: Playbook\nowner_team: a\n---\n[t](/tables/events_.md#schema) [m](./references/metrics/count.md \"title\") [[shop]] [no](/models/churn.md) [ext](https://x.example/a.md) [d](data.csv) `[c](/tables/events_.md)` ![i](/tables/events_.md) [up](../../x.md)\n",
+        "index.md": "[t](/tables/events_.md)\n", "references/index.md": "x\n", "log.md": "x\n",
+    })
+    cfg = config.parse('[vault]\nnotes = ["**/*.md"]\nexclude = ["**/index.md", "log.md"]\n[notes.fields]\nkind = "type"\nupdated = "timestamp"\n[links]\nmarkdown_paths = true\n')
+    store = SnapshotStore(spark, f"file:{tmp_path}/s")
+    assert S.sync(spark, str(root), cfg, store).notes == 9
+    e = store.current("edges").where("edge = 'LINKS_TO'")
+    assert e.count() == 9 and e.where("src = 'tables-events_'").count() == 6
+    assert {r.dst for r in e.where("src = 'overview'").collect()} == {"tables-events_", "references-metrics-count", "datasets-shop"}
+    n = {r.id: r for r in store.current("notes").collect()}
+    assert n["tables-events_"].updated == dt.date(2026, 5, 28) and n["overview"].kind == "Playbook" and "owner_team" in n["overview"].frontmatter_json
+    off = SnapshotStore(spark, f"file:{tmp_path}/o")
+    S.sync(spark, str(root), config.parse('[vault]\nexclude = ["**/index.md", "log.md"]'), off)
+    assert off.current("edges").where("edge = 'LINKS_TO'").count() == 1
+
+
+def test_sync_opens_only_changed_files_and_relinks(spark, tmp_path, monkeypatch):
+    from quillgraph.sources import files
+
+    root, cfg = tmp_path / "v", config.parse(CFG)
+    write(root, FILES)
+    store = SnapshotStore(spark, f"file:{tmp_path}/s")
+    S.sync(spark, str(root), cfg, store)
+    (root / "wiki/concepts/beta.md").write_text("Now [[gamma]] only, and [[alpha]].\n")
+    S.sync(spark, str(root), cfg, store)
+    opened = []
+    real = files.contents
+
+    def seen(f):
+        opened.extend(r.rel_path for r in f.select("rel_path").collect())
+        return real(f)
+
+    monkeypatch.setattr(files, "contents", seen)
+    assert S.sync(spark, str(root), cfg, store).synced == 0 and opened == []
+    write(root, {"wiki/concepts/gamma.md": "Nothing.\n"})
+    out = S.sync(spark, str(root), cfg, store)
+    assert (out.synced, out.relinked) == (1, 1) and set(opened) == {"wiki/concepts/gamma.md"}
+    opened.clear()
+    (root / "raw/p.meta.md").write_text("---\ntitle: Other\n---\n")
+    S.sync(spark, str(root), cfg, store)
+    assert set(opened) <= {"raw/p.meta.md"} and {r.title for r in store.current("resources").where("rel_path = 'raw/p.bin'").collect()} == {"Other"}
+    (root / "wiki/concepts/gamma.md").unlink()
+    out = S.sync(spark, str(root), cfg, store)
+    assert (out.deleted, out.relinked) == (1, 1) and counts(store)["CITES"] == 6
+
+
+def test_one_writer_and_versions(spark, tmp_path):
+    from quillgraph.sources.snapshot import Conflict
+
+    store = SnapshotStore(spark, f"file:{tmp_path}/s", keep=2, lease=0)
+    t = [spark.range(i + 1).selectExpr("id") for i in range(4)]
+    for x in t[:3]:
+        store.publish({"t": x})
+    assert store.current("t").count() == 3 and len(store._numbers()) == 2
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("t-")]) <= 3
+    held = SnapshotStore(spark, f"file:{tmp_path}/h")
+    with held.writer():
+        with pytest.raises(Conflict):
+            with SnapshotStore(spark, f"file:{tmp_path}/h").writer():
+                pass
+    with held.writer():  # free again
+        held.publish({"t": t[0]})
+    # of two that start from one version, the second is refused
+    state, n = held.state(), held._numbers()[-1]
+    with pytest.raises(Conflict):
+        held._put(f"version-{n:012d}.json", "{}")
+    assert held.state() == state and held.current("t").count() == 1
+
+
+def test_indexer(spark, tmp_path):
+    root, cfg = tmp_path / "v", config.parse(CFG)
+    write(root, FILES)
+    x = S.Indexer(spark, str(root), cfg, SnapshotStore(spark, f"file:{tmp_path}/s"), debounce=0.2)
+    import time
+
+    assert x.tick() is None  # not quiet yet
+    time.sleep(0.3)
+    assert x.tick().synced == 7 and x.tick() is None
+    x.open("wiki/concepts/beta.md", "Open text, no links.\n")
+    assert x.sync_now().synced == 1 and counts(x.store)["CITES"] == 5
+    x.close("wiki/concepts/beta.md")
+    assert x.sync_now().synced == 1 and counts(x.store)["CITES"] == 6
+
+
 def test_watch_syncs(spark, tmp_path):
     root, cfg = tmp_path / "v", config.parse(CFG)
     write(root, FILES)
@@ -231,9 +331,73 @@ def test_search(spark):
     v = spark.createDataFrame([(i, [float(i % 3 == k) for k in range(3)]) for i in range(9)] + [(99, None)], "vec_id long, embedding array<double>")
     near = search.nearest(v.where("vec_id in (0, 4)"), v, 2).collect()
     assert {(r["query"], r.id) for r in near} == {(0, 3), (0, 6), (4, 1), (4, 7)}
+    named = v.withColumn("vec_id", F.concat(F.lit("n"), "vec_id"))
+    assert {(r["query"], r.id) for r in search.nearest(named.where("vec_id = 'n4'"), named, 2).collect()} == {("n4", "n1"), ("n4", "n7")}
+    pairs = search.similarity_pairs(search.nearest(v, v, 3), None, 0.5)
+    assert [(r.a, r.b) for r in pairs.collect()][:3] == [(0, 3), (0, 6), (1, 4)] and search.similarity_pairs(search.nearest(v, v, 3), None, 0.5, among=v.where("vec_id < 4").select(F.col("vec_id").alias("id"))).count() == 1
     assert search.rrf(spark.createDataFrame([("a", 1, 9.0), ("b", 1, 5.0), ("b", 2, 7.0)], "leg string, id long, score double"), 1).first().id == 1
 
 
+def test_stored_index_and_hybrid(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"red fox {i % 7}" + " word" * (i % 5)) for i in range(60)] + [(99, None)], "id long, text string")
+    q = spark.createDataFrame([("a", "fox RED 3"), ("b", "!"), ("c", "word word")], "query_id string, query string")
+    for name, t in search.index_tables(d).items():
+        w = t.write
+        (w.partitionBy("bucket") if "bucket" in t.columns else w).parquet(f"{tmp_path}/{name}")
+    index = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("postings", "terms", "index_stats")}
+    got = search.index_search(index, q, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.bm25_batch(d, q, 5).collect())) and got.count() == 10
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    one = {r.id: r.score for r in search.bm25(d, "fox RED", None).collect()}
+    assert all(abs(one[r.id] - r.score) < 1e-6 for r in search.bm25_batch(d, spark.createDataFrame([(1, "fox red")], "query_id int, query string"), 100).collect())
+    vec = spark.createDataFrame([("a", 0, 1), ("a", 3, 2)], "query_id string, id long, rank int")
+    both = search.hybrid(got, vec, 3).where("query_id = 'a'").collect()
+    assert both[0].rank == 1 and both[0].id == 0 and len(both) == 3
+    runs = got.withColumn("run", F.lit("r"))
+    assert search.candidate_pages(runs, 4).count() == 4
+
+
+def test_vector_index_recall(spark):
+    import numpy as np
+
+    from quillgraph.operators import vectors
+
+    rng = np.random.default_rng(1)
+    c = rng.standard_normal((60, 32))
+    x = np.array([c[i % 60] + 0.5 * rng.standard_normal(32) for i in range(900)], np.float32)
+    rows = [(f"n{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("zero", [0.0] * 32), (None, [1.0] * 32), ("null", None)]
+    got = {}
+    for r in vectors.neighbours(spark.createDataFrame(rows, "id string, v array<float>"), Scratch(spark, "t"), 5, block=50).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r.id
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = [{f"n{j:03d}" for j in np.argsort(-s[i])[:5]} for i in range(900)]
+    assert len(got) == 900 and sum(len(w & set(got[f"n{i:03d}"].values())) for i, w in enumerate(want)) / 4500 >= 0.95
+    assert vectors.neighbours(spark.createDataFrame([], "id string, v array<float>"), Scratch(spark, "t")).count() == 0
+
+
+def test_communities_by_modularity(spark):
+    ring = [(g * 6 + a, g * 6 + b) for g in range(5) for a in range(6) for b in range(a)] + [(g * 6, (g + 1) % 5 * 6) for g in range(5)]
+    e = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}") for a, b in ring], "src string, dst string").withColumns({"dst_type": F.lit("Note"), "edge": F.lit("L")})
+    got = graph.communities(e, Scratch(spark, "t"))
+    assert {r.id: r.community for r in got.collect()} == {f"n{i:02d}": f"n{i // 6 * 6:02d}" for i in range(30)}
+    assert graph.modularity(e, got) > 0.7 and graph.communities(e.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def test_reads_with_limits(spark):
+    e = spark.createDataFrame([("a", f"b{i}") for i in range(9)], "src string, dst string").withColumns({"dst_type": F.lit("Note"), "edge": F.lit("L")})
+    seeds = spark.createDataFrame([("a",)], "id string")
+    assert [r.id for r in graph.expand(e, seeds, 1, Scratch(spark, "t"), per_hop=3).where("hop = 1").orderBy("id").collect()] == ["b0", "b1", "b2"]
+    both = graph.lineage_both(e, spark.createDataFrame([("b1",)], "id string"))
+    assert both["down"].count() == 0 and [r.id for r in both["up"].collect()] == ["a"]
+    n = spark.createDataFrame([("a", "T", "k", None, ["x", "y"], dt.date(2025, 1, 1)), ("b", None, "", "s", None, None)], "id string, title string, kind string, status string, tags array<string>, updated date")
+    assert [r.id for r in graph.facet_filter(n, ("(none)",)).collect()] == ["b"] and [r.id for r in graph.facet_filter(n, tags=("y", "z"), since="2024-01-01", hits=seeds).collect()] == ["a"]
+    assert [r.tag for r in graph.tag_dictionary(n).collect()] == ["x", "y"] and graph.tag_counts(n, 1).count() == 1
+    assert [r.id for r in search.contains(n, "t").collect()] == ["a"] and search.search_docs(n).columns == ["id", "title", "body", "tags"] if "body_text" in n.columns else True
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "d")], "src string, dst string").withColumns({"dst_type": F.lit("Note"), "edge": F.lit("L")})
     seeds = spark.createDataFrame([("a",)], "id string")
@@ -262,7 +426,7 @@ def test_rename_and_definitions(spark):
     n = M.parsed_notes(files)
     p = F.col("path")
     n = n.withColumns({"id": T.note_id(p), "slug": T.note_slug(p), "dir": T.note_dir(p)})
-    assert [r.replacement for r in resolve.rename_plan(n, "c-a", "new").collect()] == ["[[new#part-two|x]]"]
+    assert [r.replacement for r in resolve.rename_plan(n, "c-a", "new").collect()] == ["[[new#part-two|x]]", "wiki/c/new.md"]
     assert {(r.pos, r.heading_start) for r in resolve.definitions(n).collect()} == {(0, 7), (1, None)}
 
 
@@ -290,9 +454,16 @@ def test_ask_and_distill(spark):
 
 def test_embed_missing(spark):
     n = spark.createDataFrame([("a", "k", "text one", "h", None, None), ("b", "k", "x", "h", [1.0], "h")], "id string, kind string, body_text string, body_hash string, embedding array<float>, embedded_hash string")
-    got = {r.id: r for r in ask.embed_missing(n, ask.HashingEmbedder(8)).collect()}
+    got = {r.id: r for r in ask.embed_missing(n, lambda: ask.HashingEmbedder(8)).collect()}
     assert len(got["a"].embedding) == 8 and got["a"].embedded_hash == "h" and got["b"].embedding == [1.0]
 
+    class Fails:
+        def embed(self, text):
+            raise RuntimeError("down")
+
+    bad = {r.id: r for r in ask.embed_missing(n, Fails).collect()}
+    assert bad["a"].embedding is None and bad["a"].embedded_hash is None and bad["a"].embed_error == "RuntimeError: down" and bad["b"].embed_error is None
+
 
 def test_catalog_names_have_sql():
     from quillgraph.plans import catalog
@@ -317,11 +488,10 @@ def test_replies_in_fences_and_behind_lead_ins(spark, tmp_path):
     t = spark.createDataFrame(rows, "run_id string, seq long, task string, messages array<struct<role: string, content: string>>, raw_output string")
     t.write.parquet(f"{tmp_path}/training_records.parquet")
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
-    assert sorted(r.run_id for r in run("claims_validate_all")) == [f"extract{i}" for i in range(5)]
-    assert {(r.run_id, r.n) for r in run("extract_merge_all")} == {(f"extract{i}", 1) for i in range(5)}
-    assert {(r.page_id, r.verbatim) for r in run("findings_verbatim_all")} >= {(f"p{i}", True) for i in range(4)}
-    assert {r.target for r in run("claim_links_all")} >= {f"d{i}" for i in range(4)}
-    assert "extract1" not in {r.run_id for r in run("claims_validate")}
+    assert sorted(r.run_id for r in run("claims_validate")) == [f"extract{i}" for i in range(5)]
+    assert {(r.run_id, r.n) for r in run("extract_merge")} == {(f"extract{i}", 1) for i in range(5)}
+    assert {(r.page_id, r.verbatim) for r in run("findings_verbatim")} >= {(f"p{i}", True) for i in range(4)}
+    assert {r.target for r in run("claim_links")} >= {f"d{i}" for i in range(4)}
 
 
 def test_graph_reads_start_from_every_note(spark, tmp_path):
@@ -335,9 +505,9 @@ def test_graph_reads_start_from_every_note(spark, tmp_path):
     ids = {r.id for r in n.select("id").collect()}
     assert len(ids) == 120
     outs, ins = collections.Counter(e.src for e in edges), collections.Counter(e.dst for e in edges)
-    assert {(r.id, r.out_n, r.in_n) for r in run("note_detail_all")} == {(i, outs[i], ins[i]) for i in ids}
+    assert {(r.id, r.out_n, r.in_n) for r in run("note_detail")} == {(i, outs[i], ins[i]) for i in ids}
     steps = {(e.src, e.dst) for e in edges if e.dst_type == "Note"}
-    for name, way in (("lineage_down_all", steps), ("lineage_up_all", {(b, a) for a, b in steps})):
+    for name, way in (("lineage_down", steps), ("lineage_up", {(b, a) for a, b in steps})):
         level, want = {(i, i) for i in ids}, set()
         for depth in (1, 2, 3):
             level = {(r, b) for r, x in level for a, b in way if a == x}
@@ -350,7 +520,7 @@ def test_graph_reads_start_from_every_note(spark, tmp_path):
             for a, b in near:
                 if a == x:
                     seen.setdefault((root, b), hop)
-        assert {(r.root, r.id): r.hop for r in run(f"expand_{hop}hop_all")} == seen
+        assert {(r.root, r.id): r.hop for r in run(f"expand_{hop}hop")} == seen
 
 
 def test_relink_counts_links_of_every_form(spark, tmp_path):
@@ -367,5 +537,5 @@ def test_relink_counts_links_of_every_form(spark, tmp_path):
     was, now = ({(r.src, r.pos): (r.dst, r.outcome, r.target) for r in resolve.resolve(links, x).select("src", "pos", "dst", "outcome", "target").collect()} for x in (n, after))
     moved = {k for k in was if was[k][:2] != now[k][:2]}
     assert any("/" in was[k][2] for k in moved) and any(was[k][2].startswith("t") for k in moved)
-    r = catalog.QUERIES["relink_all"](spark, str(tmp_path)).first()
+    r = catalog.QUERIES["relink"](spark, str(tmp_path)).first()
     assert (r.links, r.notes) == (len(moved), len({src for src, _ in moved}))
