@@ -295,15 +295,20 @@ def parse_reply(text: str | None):
     return None
 
 
-def tolerant_list(v) -> list[str]:
-    """A list of strings from a list, a keyed map (in order of numeric keys) or a text of lines."""
+def tolerant_items(v) -> list:
+    """The items of a list, of a keyed map (in order of numeric keys) or of a text of lines without their markers."""
     if v is None:
         return []
     if isinstance(v, dict):
-        v = [x for _, x in sorted(v.items(), key=lambda p: (0, int(p[0]), "") if p[0].isdigit() else (1, 0, p[0]))]
+        return [x for _, x in sorted(v.items(), key=lambda p: (0, int(p[0]), "") if p[0].isdigit() else (1, 0, p[0]))]
     if isinstance(v, str):
-        v = [re.sub(r"^\s*(?:[-*] |\d+[.)] )", "", line).strip() for line in v.splitlines()]
-    flat = (x.get("text") or x.get("name") or x.get("claim") if isinstance(x, dict) else x for x in v)
+        return [t for t in (re.sub(r"^\s*(?:[-*] |\d+[.)] )", "", line).strip() for line in v.splitlines()) if t]
+    return v if isinstance(v, list) else [v]
+
+
+def tolerant_list(v) -> list[str]:
+    """The texts of ``tolerant_items``; of an object its text, name or claim."""
+    flat = (x.get("text") or x.get("name") or x.get("claim") if isinstance(x, dict) else x for x in tolerant_items(v))
     return [s for s in (as_text(x) for x in flat) if s and s.strip()]
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
+import posixpath
 import re
 import subprocess
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.markup import chunk_body, find_verbatim, tolerant_list
+from quillgraph.functions.markup import add_list_item, chunk_body, set_scalar, split_frontmatter
 from quillgraph.functions.text import normalize_ws
+from quillgraph.operators.extraction import shaped_value
 from quillgraph.operators.resolve import resolve
 
 # --- gates over tables
@@ -72,12 +76,20 @@ def valid_contradictions(findings: DataFrame, pages: DataFrame, claims: DataFram
     return got.withColumn("_c", F.lower(normalize_ws(F.col("new_claim")))).join(c, ["run", "_c"], "left_semi").drop("_b", "_c")
 
 
-def relevant_claims(claims: DataFrame, entities: DataFrame, page_title: str) -> DataFrame:
-    """Claims ``(pos, text)`` whose entities ``(pos, name)`` contain the title or are contained in it; all when there is none."""
-    t = page_title.lower()
-    near = entities.where(F.lower("name").contains(t) | F.lit(t).contains(F.lower("name"))).select("pos").distinct()
-    hit = claims.join(near, "pos", "left_semi")
-    return hit if hit.limit(1).count() else claims
+def relevant_claims(claims: DataFrame, entities: DataFrame, pages: DataFrame, notes: DataFrame) -> DataFrame:
+    """``(run, page_id, pos, text)``: the claims worth showing for each page of a run.
+
+    Of claims ``(run, pos, text, dir)`` those that link to the page ``(run, page_id, title)`` or have an entity
+    ``(run, pos, name)`` whose name contains the title or is contained in it; where there is none, all.
+    """
+    each = claims.join(pages, "run")
+    links = resolve(claim_targets(claims, "text"), notes).where("outcome = 'resolved'").select("run", "pos", F.col("dst").alias("page_id")).distinct()
+    t, e = F.lower("title"), F.lower("name")
+    named = entities.where(F.trim("name") != "").join(pages, "run").where(e.contains(t) | t.contains(e)).select("run", "pos", "page_id")
+    hits = links.unionByName(named).distinct().withColumn("_hit", F.lit(True))
+    w = Window.partitionBy("run", "page_id")
+    out = each.join(hits, ["run", "pos", "page_id"], "left").withColumn("_any", F.max(F.coalesce("_hit", F.lit(False))).over(w))
+    return out.where("_hit or not _any").select("run", "page_id", "pos", "text")
 
 
 def near_duplicates(neighbours: DataFrame, most_distance: float = 0.35) -> DataFrame:
@@ -85,6 +97,63 @@ def near_duplicates(neighbours: DataFrame, most_distance: float = 0.35) -> DataF
     return neighbours.select("query", "id", F.round(1 - F.col("score"), 6).alias("distance")).where(F.col("distance") < most_distance)
 
 
+def suspected_duplicates(text_hits: DataFrame, vector_hits: DataFrame | None, notes: DataFrame, kind: str = "source", most: int = 3, most_distance: float = 0.35) -> DataFrame:
+    """``(query, id, via, score)``: notes of a kind that a capture may repeat: the first ``most`` of the best 8 by words
+    ``(query_id, id, score, rank)``, and by vector ``(query, id, score)`` any other nearer than a distance (its score)."""
+    own = notes.where(F.col("kind") == kind).select("id")
+    t = text_hits.where("rank <= 8").join(own, "id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))
+    out = t.withColumn("_n", nth).where(F.col("_n") <= most).select(F.col("query_id").alias("query"), "id", F.lit("fts").alias("via"), "score")
+    if vector_hits is None:
+        return out
+    v = near_duplicates(vector_hits, most_distance).join(own, "id", "left_semi").join(out.select("query", "id"), ["query", "id"], "left_anti")
+    return out.unionByName(v.select("query", "id", F.lit("vector").alias("via"), F.col("distance").alias("score")))
+
+
+def page_updates(updates: DataFrame, pages: DataFrame, notes: DataFrame, today: date, field: str = "source_refs") -> DataFrame:
+    """``(key, page_id, path, heading, section, content, problem)``: what becomes of each proposed section.
+
+    Updates are ``(key, page_id, topic, section_md, relevant, source_id, source_slug, raw_path)``, pages
+    ``(id, dir, path, text)``. Headings in a section are flattened and broken links put back to words; it must cite
+    the source; its own heading is one the page does not have. The page gets the capture in ``field`` and today as
+    ``updated``. A row with a problem has no content.
+    """
+    u = updates.where("relevant and trim(coalesce(section_md, '')) <> ''").join(pages.select(F.col("id").alias("page_id"), "dir", "path", F.col("text").alias("_page")), "page_id")
+    flat = F.trim(F.regexp_replace("section_md", r"(?m)^#+[ \t]*", ""))
+    clean = sanitize_links(u.select(F.struct("key", "page_id").alias("key"), "dir", flat.alias("text")), notes).select("key.*", F.col("text").alias("section"))
+    u = u.join(clean, ["key", "page_id"])
+    cited = resolve(claim_targets(u.select("key", "page_id", "source_id", "dir", "section"), "section"), notes)
+    cited = cited.where("dst = source_id").select("key", "page_id").distinct().withColumn("_cites", F.lit(True))
+    u = u.join(cited, ["key", "page_id"], "left")
+    topic = F.regexp_replace(normalize_ws(F.coalesce("topic", F.lit(""))), r"^[# ]+|[# ]+$", "")
+    topic = F.when(topic == "", "From ingest").otherwise(topic)
+    head = lambda n: F.concat(F.lit("## "), topic, F.when(n > 1, F.concat(F.lit(" — "), n.cast("string"))).otherwise(""), F.lit(f" ({today} ingest)"))
+    # one number more than the page has lines of that kind is always free
+    most = F.size(F.split("_page", "\n## ")) + 1
+    u = u.withColumn("heading", F.get(F.filter(F.transform(F.sequence(F.lit(1), most), head), lambda h: ~F.col("_page").contains(h)), 0))
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            content, problem = [], []
+            for r in rows:
+                try:
+                    if not r["_cites"]:
+                        raise ValueError(f"the section never cites [[{r['source_slug']}]]")
+                    base = set_scalar(add_list_item(r["_page"], field, r["raw_path"]), "updated", str(today))
+                    content.append(base + ("" if base.endswith("\n") else "\n") + f"\n{r['heading']}\n\n{r['section'].strip()}\n")
+                    problem.append(None)
+                except ValueError as e:
+                    content.append(None)
+                    problem.append(str(e))
+            cols = [b.column(c) for c in ("key", "page_id", "path", "heading", "section")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(content, pa.string()), pa.array(problem, pa.string())], names=["key", "page_id", "path", "heading", "section", "content", "problem"])
+
+    kinds = dict(u.dtypes)
+    wanted = u.select("key", "page_id", "path", "heading", "section", "_cites", "_page", "source_slug", "raw_path")
+    return wanted.mapInArrow(run, f"key {kinds['key']}, page_id string, path string, heading string, section string, content string, problem string")
+
+
 def batches(pages: DataFrame, path: str, size: int) -> DataFrame:
     """``(path, batch)``: pages in the order of their hashes, so many to a batch.
 
@@ -100,28 +169,104 @@ def batches(pages: DataFrame, path: str, size: int) -> DataFrame:
 # --- stages
 
 
+FULL = "Reply with the whole JSON object: title, summary, key_claims, quotes, entities, topics, suggested_slug, tags, author, publisher."
+
+
+def _usable(ex: dict | None) -> bool:
+    return bool(ex and ex["summary"].strip() and ex["claims"])
+
+
 def extract(teacher, title: str, body: str, cap: int = 28_000) -> dict | None:
-    """One extraction of a capture: a call for each chunk, then a union of the parts in document order."""
-    parts = []
-    for chunk in chunk_body(body, cap):
-        got = teacher.call("extract_chunk", [{"role": "user", "content": f"title: {title}\n\n{chunk}"}])
-        if isinstance(got, dict):
-            parts.append(got)
+    """One extraction of a capture, in the shape of ``extraction.SHAPE``.
+
+    A short body is one call, asked again once when claims came without a summary. A long one is a call for each
+    chunk and one to merge them; where that gives no summary or no claims, the parts are joined in document order.
+    """
+    ask = lambda task, *texts: shaped_value(teacher.call(task, [{"role": "user", "content": t} for t in texts]))
+    prompt = lambda chunk: f"title: {title}\n\n{chunk}"
+    chunks = chunk_body(body, cap)
+    if len(chunks) == 1:
+        got = ask("extract", prompt(chunks[0]))
+        if got and got["claims"] and not got["summary"].strip():
+            again = ask("extract", prompt(chunks[0]), FULL)
+            got = again if _usable(again) else got
+        return got
+    parts = [p for p in (ask("extract_chunk", prompt(c)) for c in chunks) if p]
     if not parts:
         return None
-    merged: dict = {"summary": " ".join(p["summary"].strip() for p in parts if isinstance(p.get("summary"), str) and p["summary"].strip())}
-    for key in ("key_claims", "quotes", "entities", "topics", "tags"):
+    got = ask("extract_merge", "\n".join(json.dumps(p, ensure_ascii=False) for p in parts))
+    return got if _usable(got) else joined(parts)
+
+
+def joined(parts: list[dict]) -> dict:
+    """``extraction.merged`` of one document's parts, without a table."""
+    def distinct(field, key):
         seen, out = set(), []
-        for p in parts:
-            for t in tolerant_list(p.get(key)):
-                if t.strip().lower() not in seen:
-                    seen.add(t.strip().lower())
-                    out.append(t)
-        merged[key] = out
-    for key in ("suggested_slug", "author", "publisher"):
-        merged[key] = next((p[key] for p in parts if p.get(key)), None)
-    merged["quotes"] = [q for q in (find_verbatim(body, q) for q in merged["quotes"]) if q]
-    return merged
+        for x in (x for p in parts for x in p[field]):
+            if key(x).strip().lower() not in seen:
+                seen.add(key(x).strip().lower())
+                out.append(x)
+        return out
+
+    words = list(dict.fromkeys(t.strip().lower() for p in parts for t in [*p["topics"], *p["tags"]] if t.strip()))
+    scalar = lambda k: next((p[k] for p in parts if p[k] and p[k].strip()), None)
+    return {
+        "title": scalar("title"), "summary": " ".join(p["summary"].strip() for p in parts if p["summary"].strip()), "claims": distinct("claims", lambda c: c["text"]),
+        "quotes": distinct("quotes", lambda q: q["text"]), "entities": distinct("entities", lambda e: e["name"]), "topics": words, "tags": words,
+        "slug": scalar("slug") or "", "author": scalar("author"), "publisher": scalar("publisher"),
+    }
+
+
+def preflight(path: str, root: str, cfg, read=None, force: bool = False) -> tuple[str, str, list[str]]:
+    """(vault path, text, warnings) of a capture that may be ingested; an error says why another may not."""
+    from quillgraph.functions.markup import normalize_path
+    from quillgraph.sources.config import glob_regex
+
+    rel = os.path.relpath(os.path.realpath(path), os.path.realpath(root)) if os.path.isabs(path) else path
+    rel = normalize_path(rel.replace(os.sep, "/"))
+    hit = lambda globs: any(re.match(glob_regex(g), rel) for g in globs)
+    if rel is None or rel.startswith("../"):
+        raise ValueError(f"{path} lies outside the vault")
+    if cfg.resources is None or rel.endswith(".meta.md") or not hit(cfg.resources.paths) or hit(cfg.resources.exclude):
+        raise ValueError(f"{rel} is not a resource of this vault")
+    if not rel.endswith(".md"):
+        raise ValueError(f"{rel} is not markdown")
+    if not any(e.target == "resource" for e in cfg.edges):
+        raise ValueError("no edge leads to resources")
+    if read is None:
+        with open(os.path.join(root, rel), encoding="utf-8") as f:
+            text = f.read()
+    else:
+        text = read(rel)
+    if not split_frontmatter(text)[1].strip():
+        raise ValueError(f"{rel} has no body")
+    return rel, text, clean_tree(root, cfg.vault.id_strip_prefix.rstrip("/") or ".", force)
+
+
+@dataclass
+class Report:
+    """What an ingest did."""
+
+    run_id: str
+    raw_path: str
+    already_ingested: str | None = None
+    source_page: str | None = None
+    pages_created: list = field(default_factory=list)
+    pages_updated: list = field(default_factory=list)
+    contradictions: list = field(default_factory=list)
+    near_duplicates: list = field(default_factory=list)
+    warnings: list = field(default_factory=list)
+    training_records: int = 0
+    dry_run: bool = False
+    planned: list = field(default_factory=list)
+
+
+def ingest_summary(reports: DataFrame) -> DataFrame:
+    """One row over reports ``(run_id, pages_created, pages_updated, warnings, training_records)``, with all warnings in order of run."""
+    return reports.agg(
+        F.count("*").alias("runs"), F.sum("training_records").alias("training_records"), F.sum(F.size("pages_created")).alias("pages_created"), F.sum(F.size("pages_updated")).alias("pages_updated"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run_id", "warnings"))), lambda r: r["warnings"])).alias("warnings"),
+    )
 
 
 def links_prompt(claims: list[str], candidates: list[tuple[str, str]], slug: str) -> list[dict]:
@@ -133,18 +278,52 @@ def links_prompt(claims: list[str], candidates: list[tuple[str, str]], slug: str
 # --- pages and writes
 
 
-def render_source(title: str, capture: str, today: date, ex: dict, references: list[str] = (), owner: str | None = None) -> str:
-    """The page of a capture: frontmatter, summary, claims, quotes and cross-references."""
-    quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
-    head = ["---", f"title: {quote(title)}", "kind: source", "status: draft", f"updated: {today}", f"source_refs: [{capture}]", f"tags: [{', '.join(ex.get('tags') or [])}]"]
-    head += [f"author: {quote(ex['author'])}"] if ex.get("author") else []
-    head += [f"owner: {owner}"] if owner else []
-    parts = ["\n".join([*head, "---"]), f"# {title}", f"## Summary\n\n{ex.get('summary') or ''}", "## Key claims\n\n" + "\n".join(f"- {c}" for c in ex.get("key_claims") or [])]
-    if ex.get("quotes"):
-        parts.append("## Quotes\n\n" + "\n".join(f"> {q}" for q in ex["quotes"]))
-    if references:
-        parts.append("## Cross-references\n\n" + "\n".join(f"- [[{r}]]" for r in references))
-    return "\n\n".join(parts) + "\n"
+def _quoted(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def _page(head: list[tuple[str, str | None]], parts: list[str]) -> str:
+    """A page of frontmatter lines (those with a value) and blocks."""
+    front = "\n".join(f"{k}: {v}" for k, v in head if v)
+    return f"---\n{front}\n---\n\n" + "\n\n".join(p for p in parts if p) + "\n"
+
+
+def _listed(title: str, lines: list[str]) -> str:
+    return f"## {title}\n\n" + "\n".join(lines) if lines else ""
+
+
+def render_source(title: str, capture: str, today: date, ex: dict, references=(), contradictions=(), captured: date | None = None, source_date: date | None = None, owner: str = "", model: str = "") -> str:
+    """The page of a capture: frontmatter, summary, claims, quotes, contradictions and cross-references."""
+    head = [
+        ("title", _quoted(title)), ("kind", "source"), ("status", "draft"), ("updated", str(today)), ("captured_at", captured and str(captured)), ("source_date", source_date and str(source_date)),
+        ("source_refs", f"[{capture}]"), ("author", ex.get("author") and _quoted(ex["author"])), ("publisher", ex.get("publisher") and _quoted(ex["publisher"])),
+        ("tags", f"[{', '.join(ex.get('tags') or [])}]"), ("contradicts", contradictions and f"[{', '.join(c['page_id'] for c in contradictions)}]"), ("owner", owner), ("ingested_by", model),
+    ]
+    said = lambda q: f'> "{q["text"].strip()}"' + (f" — {q['location'].strip()}" if (q.get("location") or "").strip() else "")
+    against = [f"- Conflicts with [[{c['page_id']}]]: it says \"{c['existing_text'].strip()}\", this source claims \"{c['new_claim'].strip()}\". {c['explanation'].strip()}" for c in contradictions]
+    return _page(head, [
+        f"# {title}", f"## Summary\n\n{(ex.get('summary') or '').strip()}", _listed("Key claims", [f"- {c['text'].strip()}" for c in ex.get("claims") or []]),
+        _listed("Quotes", [said(q) for q in ex.get("quotes") or []]), _listed("Contradictions", against), _listed("Cross-references", [f"- [[{r}]]" for r in references]),
+    ])
+
+
+def render_new_page(spec: dict, claims: list[str], source_slug: str, today: date, owner: str = "", model: str = "") -> str:
+    """A first page for a name: what it is, the claims that link to it, and where they come from."""
+    head = [("title", _quoted(spec["title"])), ("kind", spec["kind"]), ("status", "draft"), ("updated", str(today)), ("tags", "[]"), ("owner", owner), ("ingested_by", model)]
+    body = [f"# {spec['title']}", (spec.get("blurb") or "").strip(), f"## From ingest ({today})", "\n".join(f"- {c}" for c in claims), f"Source: [[{source_slug}]]"]
+    return _page(head, body)
+
+
+def log_entry(today: date, title: str, report: Report, model: str = "") -> str:
+    """What is appended to the log for a run."""
+    names = lambda x: ", ".join(x) or "none"
+    lines = [
+        f"- source: {report.raw_path}", f"- source page created: {report.source_page or 'none'}", f"- pages updated: {names(report.pages_updated)}", f"- pages created: {names(report.pages_created)}",
+        report.contradictions and f"- contradictions raised: {len(report.contradictions)} ({'; '.join(c['page_id'] for c in report.contradictions)})",
+        report.near_duplicates and "- near-duplicates flagged: " + ", ".join(f"{d['id']} ({d['via']}, {d['score']:.2f})" for d in report.near_duplicates),
+        f"- run: {report.run_id} (model {model})",
+    ]
+    return f"\n## [{today}] ingest | {title}\n" + "\n".join(x for x in lines if x) + "\n"
 
 
 def update_section(topic: str, body: str, source: str, today: date, page: str) -> str:
@@ -167,25 +346,32 @@ class Write:
 
 
 def flush(writes: list[Write], root: str, note_folder: str, raw_folders: tuple[str, ...] = ("raw",)) -> list[str]:
-    """Write planned pages. Every path lies in the note folder and outside the raw layer; a new page hides no old one."""
+    """Write planned pages below a local folder or a URI of any file system that pyarrow knows.
+
+    Every path lies in the note folder and outside the raw layer; a new page hides no old one. Everything is checked
+    before anything is written, and a file changes by a rename.
+    """
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
+    there = lambda p: store.get_file_info(p).type != fs.FileType.NotFound
     full = {}
     for w in writes:
-        p = os.path.normpath(os.path.join(root, w.path))
-        rel = os.path.relpath(p, root)
+        rel = posixpath.normpath(w.path)
         if not rel.startswith(note_folder.rstrip("/") + "/") or rel.split("/")[0] in raw_folders:
             raise ValueError(f"{w.path} lies outside the notes")
-        if w.action == "create" and os.path.exists(p):
+        if w.action == "create" and there(f"{base}/{rel}"):
             raise FileExistsError(w.path)
-        full[w] = p
+        full[w] = f"{base}/{rel}"
     for w, p in full.items():
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        if w.action == "append":
-            with open(p, "a") as f:
-                f.write(w.text)
-        else:
-            with open(p + ".tmp", "w") as f:
-                f.write(w.text)
-            os.replace(p + ".tmp", p)
+        store.create_dir(posixpath.dirname(p), recursive=True)
+        text = w.text.encode()
+        if w.action == "append" and there(p):
+            with store.open_input_stream(p) as f:
+                text = f.read() + text
+        with store.open_output_stream(p + ".tmp") as f:
+            f.write(text)
+        store.move(p + ".tmp", p)
     return [w.path for w in writes]
 
 

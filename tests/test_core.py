@@ -415,10 +415,12 @@ def test_checks(spark):
     q = spark.createDataFrame([("a  b c", "b\nc"), ("a", ""), (None, "a"), ("a", None)], "body string, quote string")
     assert checks.verbatim(q, F.col("body"), F.col("quote")).count() == 1
     notes = spark.createDataFrame([("concepts-a", "a")], "id string, slug string")
-    l = spark.createDataFrame([("k", 0, "x a", "x [[a]]", "concepts"), ("k", 1, "x b", "x [[b]]", "concepts"), ("k", 2, "x", "y [[a]]", "concepts")], "key string, pos int, plain string, linked string, dir string")
-    assert [r.reverted for r in checks.linked_claims(l, notes).orderBy("pos").collect()] == [False, True, True]
-    specs = spark.createDataFrame([("r", 0, "ok", "concepts", " ", None), ("r", 1, "Bad!", "concepts", "t", None), ("r", 2, "a", "concepts", "t", None), ("r", 3, "ok", "concepts", "t", None)], "run string, pos int, slug string, dir string, title string, kind string")
-    assert [(r.id, r.title, r.kind) for r in checks.valid_new_pages(specs, {"concepts": "concept"}, notes).collect()] == [("concepts-ok", "ok", "concept")]
+    pl = spark.createDataFrame([("k", 0, "x a"), ("k", 1, "x b a"), ("k", 2, "x"), ("m", 0, "y a"), ("m", 1, "z")], "key string, pos int, text string").withColumn("dir", F.lit("concepts"))
+    l = spark.createDataFrame([("k", 0, "x [[a]]"), ("k", 1, "x [[b]] [[a]]"), ("k", 2, "y [[a]]"), ("m", 0, "y [[a]]")], "key string, pos int, text string")
+    got = [(r.text, r.reverted) for r in checks.linked_claims(pl, l, notes).orderBy("key", "pos").collect()]
+    assert got == [("x [[a]]", False), ("x b [[a]]", False), ("x", True), ("y a", True), ("z", True)]
+    specs = spark.createDataFrame([("r", 0, "Ok-1 ", "concepts", " ", None), ("r", 1, "Bad!", "concepts", "t", None), ("r", 2, "a", "concepts", "t", None), ("r", 3, "ok-1", "concepts", "t", None), ("r", 4, "two", "concepts", "T", "odd")], "run string, pos int, slug string, dir string, title string, kind string")
+    assert [(r.id, r.title, r.kind) for r in checks.valid_new_pages(specs, {"concepts": "concept"}, notes, kinds=("concept",)).orderBy("pos").collect()] == [("concepts-ok-1", "ok 1", "concept"), ("concepts-two", "T", "concept")]
 
 
 def test_rename_and_definitions(spark):
