@@ -471,3 +471,37 @@ def reply_state(text: str | None) -> str:
     if not text or parse_reply(text) is None:
         return "none"
     return "whole" if extract_json(text) else "repaired"
+
+
+def reply_states(replies: DataFrame, column: str) -> DataFrame:
+    """The rows with the ``state`` of their reply in its place."""
+    at = replies.columns.index(column)
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    schema = StructType([f if i != at else StructField("state", StringType()) for i, f in enumerate(replies.schema)])
+
+    def run(batches):
+        for b in batches:
+            states = pa.array([reply_state(x) for x in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([states if i == at else b.column(i) for i in range(b.num_columns)], names=schema.names)
+
+    return spread(replies).mapInArrow(run, schema)
+
+
+def chunked(rows: DataFrame, column: str, cap: int = 28_000) -> DataFrame:
+    """``(rel_path, synced_at, chunk, chunk_text, _row)`` of bodies: one row for each chunk; _row tells repeated rows apart."""
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        for b in batches:
+            out = [[], [], [], [], []]
+            for path, at, text, row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                for i, t in enumerate(chunk_body(text or "", cap)):
+                    for col, v in zip(out, (path, at, i, t, row)):
+                        col.append(v)
+            types = [b.column(0).type, b.column(1).type, pa.int32(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["rel_path", "synced_at", "chunk", "chunk_text", "_row"])
+
+    at = dict(rows.dtypes)["synced_at"]
+    source = rows.select("rel_path", "synced_at", column, F.monotonically_increasing_id().alias("_row"))
+    return spread(source).mapInArrow(run, f"rel_path string, synced_at {at}, chunk int, chunk_text string, _row long")

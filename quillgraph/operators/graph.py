@@ -108,6 +108,16 @@ def detail_counts(notes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.select("id", F.coalesce("o", F.lit(0)).cast("long").alias("out_n"), F.coalesce("i", F.lit(0)).cast("long").alias("in_n"))
 
 
+def resolve_ids(raws: DataFrame, notes: DataFrame, prefix: str = "wiki/") -> DataFrame:
+    """``(raw, id)`` of texts ``(raw)``: an id as it is, else the id of a path, else the only note with that slug, else null."""
+    bare = F.regexp_replace(F.regexp_replace("raw", rf"^\Q{prefix}\E", ""), r"\.md$", "")
+    r = raws.select("raw").distinct().withColumn("_p", F.replace(bare, F.lit("/"), F.lit("-")))
+    ids = notes.select("id").distinct()
+    one = notes.groupBy("slug").agg(F.min("id").alias("_s"), F.countDistinct("id").alias("n")).where("n = 1").select(F.col("slug").alias("raw"), "_s")
+    r = r.join(ids.select(F.col("id").alias("raw"), F.col("id").alias("_a")), "raw", "left").join(ids.select(F.col("id").alias("_p"), F.col("id").alias("_b")), "_p", "left").join(one, "raw", "left")
+    return r.select("raw", F.coalesce("_a", "_b", "_s").alias("id"))
+
+
 def list_notes(notes: DataFrame, kind: str | None = None, status: str | None = None, tag: str | None = None, limit: int = 50) -> DataFrame:
     """``(id, title, kind, status, updated)`` of the notes that have all that is given, by id; at most 500."""
     for column, v in (("kind", kind), ("status", status)):

@@ -214,6 +214,14 @@ def similarity_pairs(found: DataFrame, linked: DataFrame | None = None, least: f
     return p.select("a", "b", "score", "linked").orderBy(F.desc("score"), "a", "b")
 
 
+def flag_linked(hits: DataFrame, linked: DataFrame, note) -> DataFrame:
+    """Hits ``(id, score)`` of a note, by id or as a column, with ``linked``: whether the pair is among ``(a, b)``, a < b."""
+    me = F.lit(note) if isinstance(note, str) else note
+    p = hits.withColumn("a", F.least(me, F.col("id"))).withColumn("b", F.greatest(me, F.col("id")))
+    p = p.join(linked.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left")
+    return p.withColumn("linked", F.coalesce("linked", F.lit(False))).drop("a", "b")
+
+
 def contains(df: DataFrame, typed: str, columns: tuple[str, ...] = ("title", "id"), cap: int = 200) -> DataFrame:
     """Rows with a text in one of the columns, whatever the case, in order of id: symbol search, and what is left where there is no index."""
     hit = F.lit(False)

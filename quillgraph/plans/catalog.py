@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,9 +98,10 @@ legs AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (S
 SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM legs GROUP BY id ORDER BY score DESC, id LIMIT 10""")
 def hybrid_search(spark, d):
     e = table(spark, d, "embeddings")
-    fts = search.bm25(table(spark, d, "documents"), QUESTION, 20, "doc_id").select(F.lit("fts").alias("leg"), "id", "score")
-    vec = search.nearest(e.where("vec_id = 0"), e, 20).select(F.lit("vector").alias("leg"), "id", "score")
-    return search.rrf(fts.unionByName(vec), 10)
+    q = spark.createDataFrame([(0, QUESTION)], "query_id int, query string")
+    text = search.bm25_batch(table(spark, d, "documents"), q, 20, "doc_id")
+    vec = search.nearest(e.where("vec_id = 0"), e, 20).select(F.lit(0).alias("query_id"), "id", "rank")
+    return search.hybrid(text, vec, 10).select("id", "score")
 
 
 @query("WITH x AS (SELECT 1)" + _COS + "SELECT id, round(sum(1.0::DOUBLE / (60 + rank - 1)), 9) AS score FROM knn GROUP BY id")
@@ -109,17 +109,66 @@ def rrf_fuse(spark, d):
     return search.rrf(_knn(spark, d).select(F.col("query").alias("leg"), "id", "score"))
 
 
-@query(rf"""
-WITH t AS (SELECT doc_id AS id, unnest({_TOK}) AS term FROM documents), p AS (SELECT term, id, count(*) AS tf FROM t GROUP BY ALL),
-s AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM p) AS total), dl AS (SELECT id, sum(tf) AS dl FROM p GROUP BY id),
-df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-q AS (SELECT DISTINCT subject AS query_id, unnest(list_filter(regexp_split_to_array(lower(array_to_string(terms, ' ')), '[^\p{{L}}\p{{N}}]+'), lambda x: strlen(x) > 1)) AS term FROM subjects),
+def _ranked_sql(docs: str, queries: str) -> str:
+    """BM25 of queries (query_id, query) over docs (id, w) as m (query_id, id, score)."""
+    return rf"""t AS ({docs}), p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM t) GROUP BY ALL),
+s AS (SELECT count(*) AS n, sum(len(w)) AS total FROM t), dl AS (SELECT id, len(w) AS dl FROM t), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+q AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^\p{{L}}\p{{N}}]+'), lambda x: strlen(x) > 1)) AS term FROM ({queries})),
 m AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / total))), 6) AS score
-  FROM q JOIN p USING (term) JOIN df USING (term) JOIN dl USING (id) CROSS JOIN s GROUP BY ALL)
-SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM m QUALIFY rank <= 6""")
+  FROM q JOIN p USING (term) JOIN df USING (term) JOIN dl USING (id) CROSS JOIN s GROUP BY ALL)"""
+
+
+_ASKED = "SELECT subject || '#' || i AS query_id, subject AS run, query, CASE WHEN i = 0 THEN 6 ELSE 4 END AS most FROM (SELECT subject, unnest(range(len(terms) + 1)) AS i, unnest(list_prepend(about, terms)) AS query FROM subjects)"
+
+
+@query("WITH asked AS (" + _ASKED + "), " + _ranked_sql(f"SELECT doc_id AS id, {_TOK} AS w FROM documents", "SELECT * FROM asked") + """,
+l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM m),
+h AS (SELECT run, query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (59 + r), 9) DESC, id) AS r, most FROM l JOIN asked USING (query_id) WHERE r <= 2 * most QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (59 + r), 9) DESC, id) <= most),
+f AS (SELECT run, id, round(sum(1.0::DOUBLE / (59 + r)), 9) AS score FROM h GROUP BY ALL)
+SELECT run, id, score, (row_number() OVER (PARTITION BY run ORDER BY score DESC, id))::INT AS rank FROM f QUALIFY rank <= 16""")
 def candidate_pages(spark, d):
-    subjects = table(spark, d, "subjects").select(F.col("subject").alias("query_id"), F.array_join("terms", " ").alias("query"))
-    return search.bm25_batch(table(spark, d, "documents"), subjects, 6, "doc_id")
+    """For each subject, with what it is about as a claim (the best 6) and its terms as names (the best 4 each): the 16 pages that rank best."""
+    each = table(spark, d, "subjects").select("subject", F.posexplode(F.concat(F.array("about"), "terms")).alias("i", "query"))
+    q = each.select(F.concat_ws("#", "subject", F.col("i").cast("string")).alias("query_id"), F.col("subject").alias("run"), "query", F.when(F.col("i") == 0, 6).otherwise(4).alias("most"))
+    text = search.bm25_batch(table(spark, d, "documents"), q, 12, "doc_id").join(q.select("query_id", "run", "most"), "query_id")
+    lists = [search.hybrid(text.where((F.col("most") == m) & (F.col("rank") <= 2 * m)), None, m) for m in (6, 4)]
+    hits = lists[0].unionByName(lists[1]).join(q.select("query_id", "run"), "query_id")
+    return search.candidate_pages(hits, 16)
+
+
+@query("WITH c AS (SELECT * FROM notes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY synced_at DESC) = 1), " + _ranked_sql(f"SELECT id, {_TOK} AS w FROM (SELECT id, concat_ws(' ', title, body_text) AS text FROM c)", "SELECT subject AS query_id, about || ' ' || array_to_string(terms, ' ') AS query FROM subjects") + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m QUALIFY rank <= 8)
+SELECT query_id AS query, id, 'fts' AS via, score FROM r JOIN c USING (id) WHERE kind = 'source' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, id) <= 3""")
+def suspected_duplicates(spark, d):
+    """Source notes among the eight that match a summary best."""
+    from quillgraph.operators.ingest import suspected_duplicates as suspected
+
+    n = vault.current_notes(spark, d, "title", "body_text")
+    q = table(spark, d, "subjects").select(F.col("subject").alias("query_id"), F.concat_ws(" ", "about", F.array_join("terms", " ")).alias("query"))
+    return suspected(search.bm25_batch(n.select("id", F.concat_ws(" ", "title", "body_text").alias("text")), q, 8), None, n)
+
+
+@query("WITH x AS (SELECT 1)" + _COS.replace("a.id % 20 = 0", "a.id % 20 = 1").replace("ON a.id <> b.id", "ON true").replace("rank <= 5", "rank <= 10") + "SELECT query AS query_id, 'd' || id AS id, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, 'd' || id))::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, 'd' || id) AS k FROM sim) WHERE k <= 10")
+def semantic_search(spark, d):
+    """The notes nearest to each question's vector."""
+    from quillgraph.operators.ask import vector_hits
+
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 20 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return vector_hits(q, e.select(F.concat(F.lit("d"), "vec_id").alias("id"), "embedding"), 10)
+
+
+@query(_vault(_COS.replace(", e AS", ", e AS", 1).replace("a.id % 20 = 0", "a.id = 0").replace("rank <= 5", "rank <= 10") + """SELECT m.id, knn.score, (least(o.id, m.id), greatest(o.id, m.id)) IN (SELECT DISTINCT (least(src, dst), greatest(src, dst)) FROM edge WHERE dst_type = 'Note' AND src <> dst) AS linked
+FROM knn JOIN note m ON m.i = knn.id JOIN note o ON o.i = knn.query"""))
+def similar_notes(spark, d):
+    """The ten notes nearest to the first, and whether they are linked to it."""
+    n, e = _graph(spark, d)
+    v = table(spark, d, "embeddings")
+    i = F.coalesce(F.regexp_extract("path", r"/x(\d+)/", 1).try_cast("long"), F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long"))
+    names = n.select(i.alias("vec_id"), F.col("id").alias("note"))
+    near = search.nearest(v.where("vec_id = 0"), v, 10)
+    hits = near.join(names.withColumnRenamed("vec_id", "id"), "id").join(names.select(F.col("vec_id").alias("query"), F.col("note").alias("me")), "query")
+    return search.flag_linked(hits.select(F.col("note").alias("id"), "score", "me"), graph.linked_pairs(e), F.col("me")).select("id", "score", "linked")
 
 
 @query(rf"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -287,6 +336,14 @@ def references(spark, d):
 # --- graph reads
 
 
+@query(_vault("SELECT raw, CASE WHEN raw IN (SELECT id FROM note) THEN raw WHEN replace(regexp_replace(regexp_replace(raw, '^wiki/', ''), '\\.md$', ''), '/', '-') IN (SELECT id FROM note) THEN replace(regexp_replace(regexp_replace(raw, '^wiki/', ''), '\\.md$', ''), '/', '-') ELSE (SELECT ids[1] FROM slugs WHERE slug = raw AND len(ids) = 1) END AS id FROM (SELECT DISTINCT CASE i % 4 WHEN 0 THEN id WHEN 1 THEN 'wiki/' || dir || '/' || CASE WHEN i % 10 = 5 THEN 'x' || i || '/' ELSE '' END || slug || '.md' WHEN 2 THEN slug ELSE 'no' || i END AS raw FROM note)"))
+def resolve_ids(spark, d):
+    n = vault.ids(vault.files(spark, d))
+    i = F.coalesce(F.regexp_extract("path", r"/x(\d+)/", 1).try_cast("long"), F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long"))
+    raw = F.when(i % 4 == 0, F.col("id")).when(i % 4 == 1, F.col("path")).when(i % 4 == 2, F.col("slug")).otherwise(F.concat(F.lit("no"), i.cast("string")))
+    return graph.resolve_ids(n.select(raw.alias("raw")), n)
+
+
 @query(_vault("SELECT edge, count(*) AS n FROM edge GROUP BY edge"))
 def edge_counts(spark, d):
     return _graph(spark, d)[1].groupBy("edge").agg(F.count("*").alias("n"))
@@ -508,7 +565,7 @@ def extract_merge(spark, d):
     return m.select("run_id", F.size("merged").cast("long").alias("n"), F.sha2(F.array_join("merged", "\n"), 256).alias("merged"))
 
 
-@query("SELECT task, count(*) AS calls, count(*) FILTER (WHERE parsed_ok IS NOT TRUE) AS failed, round(100.0::DOUBLE * count(*) FILTER (WHERE parsed_ok IS NOT TRUE) / count(*), 4) AS failed_pct FROM training_records GROUP BY task")
+@query("SELECT task, count(*) AS calls, count(*) FILTER (WHERE parsed_ok IS NOT TRUE) AS failed, round(100.0::DOUBLE * count(*) FILTER (WHERE parsed_ok IS NOT TRUE) / count(*), 4) AS failed_pct, count(*) FILTER (WHERE meta ->> '$.content_retry' = 'true') AS content_retries FROM training_records GROUP BY task")
 def eval_metrics(spark, d):
     return checks.run_metrics(table(spark, d, "training_records"))
 
@@ -542,36 +599,74 @@ def sft_histogram(spark, d):
 
 @query("SELECT task, key, pair_id, origin FROM (SELECT DISTINCT ON (pair_id) * FROM sft_pairs) WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task, key ORDER BY CASE origin WHEN 'run' THEN 0 ELSE 1 END, pair_id) = 1")
 def pair_dedup(spark, d):
-    p = table(spark, d, "sft_pairs").where("key is not null").withColumn("o", F.when(F.col("origin") == "run", 0).otherwise(1))
-    best = p.groupBy("task", "key").agg(F.min(F.struct("o", "pair_id", "origin")).alias("b"))
-    return best.select("task", "key", "b.pair_id", "b.origin")
+    from quillgraph.operators.distill import pairs
+
+    p = table(spark, d, "sft_pairs").where("key is not null")
+    # the number stands for the pair's text, so that of equals the smallest wins
+    row = p.select("task", "key", F.lpad(F.col("pair_id").cast("string"), 20, "0").alias("prompt"), F.coalesce("origin", F.lit("")).alias("target"), F.lit(None).cast("string").alias("skip_reason"))
+    best = pairs(row.where("target <> 'run'"), row.where("target = 'run'"))
+    return best.select("task", "key", F.col("prompt").cast("long").alias("pair_id"), F.col("target").alias("origin"))
+
+
+@query("""WITH r AS (SELECT DISTINCT ON (run_id, seq) run_id, seq, task, parsed_ok FROM training_records ORDER BY run_id, seq, recorded_at DESC),
+p AS (SELECT DISTINCT regexp_extract(key, '^(run-.*):\\d+$', 1) AS run_id, regexp_extract(key, ':(\\d+)$', 1)::BIGINT AS seq, pair_id FROM sft_pairs WHERE origin = 'run' AND regexp_matches(key, '^run-.*:\\d+$'))
+SELECT run_id, seq, task, pair_id FROM r JOIN p USING (run_id, seq) WHERE parsed_ok""")
+def accepted_runs(spark, d):
+    """Recorded calls whose output became a pair."""
+    r = table(spark, d, "training_records").select("run_id", "seq", "task", "parsed_ok", "recorded_at")
+    last = r.groupBy("run_id", "seq").agg(F.max_by(F.struct("task", "parsed_ok"), "recorded_at").alias("l")).select("run_id", "seq", "l.*")
+    p = table(spark, d, "sft_pairs").where("origin = 'run'").where(F.col("key").rlike(r"^run-.*:\d+$"))
+    w = p.select(F.regexp_extract("key", r"^(run-.*):\d+$", 1).alias("run_id"), F.regexp_extract("key", r":(\d+)$", 1).cast("long").alias("seq"), "pair_id").distinct()
+    return checks.accepted_runs(last, w).select("run_id", "seq", "task", "pair_id")
+
+
+_SECTION = r"regexp_extract(text, '(?m)^## {0}[ \t\r]*\n((?s:.*?))(?:^## |\z)', 1)"
+_BULLETS = "list_filter(string_split(" + _SECTION.format("Key claims") + ", chr(10)), lambda x: starts_with(x, '- ') AND trim(substring(x, 3)) <> '')"
+
+
+@query(rf"""WITH raw AS (SELECT 'raw/' || source || '.md' AS rel_path, CASE WHEN count(*) % 7 = 0 THEN ' ' WHEN count(*) % 5 = 0 THEN NULL WHEN count(*) % 3 = 0 THEN repeat('x', 28001) ELSE 'Raw text.' END AS body
+  FROM documents WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT doc_id AS id, text, doc_id % 9 <> 0 AS one, raw.rel_path IS NOT NULL AS found, raw.body AS body FROM documents d LEFT JOIN raw ON raw.rel_path = 'raw/' || coalesce(source, 'none') || '.md' WHERE kind = 'source_page'),
+w AS (SELECT CASE WHEN text IS NULL THEN 'page_unreadable' WHEN NOT one THEN 'not_one_source_ref' WHEN NOT found THEN 'resource_missing_or_not_markdown' WHEN body IS NULL THEN 'resource_unreadable' WHEN trim(body) = '' THEN 'resource_empty'
+  WHEN strlen(body) > 28000 THEN 'resource_too_long' WHEN trim(regexp_replace({_SECTION.format("Summary")}, '\s+', ' ', 'g')) = '' OR len({_BULLETS}) = 0 THEN 'sections_missing' ELSE 'emitted' END AS outcome FROM p)
+SELECT 'extract' AS task, outcome, count(*) AS n FROM w GROUP BY outcome UNION ALL SELECT 'suggest_links', outcome, count(*) FROM w WHERE outcome = 'emitted' GROUP BY outcome""")
+def mined_outcomes(spark, d):
+    """What becomes of every source page: a pair, or the reason why not."""
+    from quillgraph.operators.distill import histogram, mined
+
+    docs = table(spark, d, "documents")
+    body = F.when(F.col("n") % 7 == 0, " ").when(F.col("n") % 5 == 0, None).when(F.col("n") % 3 == 0, F.repeat(F.lit("x"), 28001)).otherwise("Raw text.")
+    raw = docs.where("source is not null").groupBy("source").agg(F.count("*").alias("n")).select(F.concat(F.lit("raw/"), "source", F.lit(".md")).alias("rel_path"), body.alias("body_text"))
+    ref = F.struct(F.lit("source_refs").alias("field"), F.concat(F.lit("raw/"), F.coalesce("source", F.lit("none")), F.lit(".md")).alias("value"))
+    two = F.struct(F.lit("source_refs").alias("field"), F.lit("raw/other.md").alias("value"))
+    id_ = F.col("doc_id").cast("string")
+    pages = docs.where("kind = 'source_page'").select(id_.alias("id"), id_.alias("title"), F.col("text").alias("body_text"), F.when(F.col("doc_id") % 9 == 0, F.array(ref, two)).otherwise(F.array(ref)).alias("fields"))
+    notes = docs.select(id_.alias("id"), F.concat(F.lit("wiki/"), id_, F.lit(".md")).alias("path"), id_.alias("title"), "kind")
+    return histogram(mined(pages, raw, notes=notes))
+
+
+@query(rf"""WITH p AS (SELECT len(list_filter(string_split({_SECTION.format("Key claims")}, chr(10)), lambda x: starts_with(x, '- '))) AS c, len(list_filter(string_split({_SECTION.format("Quotes")}, chr(10)), lambda x: starts_with(x, '> '))) AS q,
+  list_sum(list_transform(list_filter(string_split({_SECTION.format("Key claims")}, chr(10)), lambda x: starts_with(x, '- ')), lambda x: len(regexp_extract_all(x, '\[\[')))) AS l FROM documents WHERE kind = 'source_page' AND text IS NOT NULL)
+SELECT count(*) AS pages, round(avg(c), 1) AS claims_avg, round(avg(q), 1) AS quotes_avg, coalesce(sum(l), 0)::BIGINT AS links_in_claims FROM p""")
+def page_metrics(spark, d):
+    return checks.page_metrics(table(spark, d, "documents").where("kind = 'source_page' and text is not null").select(F.col("text").alias("body_text")))
 
 
 @query()
 def json_repair(spark, d):
     """Replies that parse as they stand, after repair, or not at all, by task."""
-    from quillgraph.functions.markup import extract_json, parse_reply
-
-    @F.udf("string", useArrow=True)
-    def state(x):
-        if not x:
-            return "none"
-        return "none" if parse_reply(x) is None else "whole" if extract_json(x) else "repaired"
+    from quillgraph.functions.markup import reply_states
 
-    return table(spark, d, "training_records").groupBy("task", state("raw_output").alias("state")).agg(F.count("*").alias("n"))
+    return reply_states(table(spark, d, "training_records").select("task", "raw_output"), "raw_output").groupBy("task", "state").agg(F.count("*").alias("n"))
 
 
 @query()
 def chunk_bodies(spark, d):
     """Chunks of each body by section, within 28,000 bytes."""
-    from quillgraph.functions.markup import chunk_body
-
-    @F.udf("array<string>", useArrow=True)
-    def chunks(x):
-        return chunk_body(x or "")
+    from quillgraph.functions.markup import chunked
 
-    r = table(spark, d, "resources").select("rel_path", "synced_at", F.posexplode(chunks("body_text")).alias("chunk", "t"))
-    return r.select("rel_path", "synced_at", "chunk", F.octet_length("t").alias("bytes"))
+    r = chunked(table(spark, d, "resources"), "body_text")
+    return r.select("rel_path", "synced_at", "chunk", F.octet_length("chunk_text").alias("bytes"))
 
 
 # --- the key graph over the star schema
@@ -649,6 +744,84 @@ def claim_links(spark, d):
     return claim_targets(c, "claim").groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("runs"))
 
 
+@query(_vault(""", c AS (SELECT id AS key, i, dir, 'd' || ((7 * i + 1) % n) AS bare, dir || '/d' || ((3 * i + 2) % n) AS full_, 'nope' || i AS bad FROM note),
+o AS (SELECT key, i, bare, full_, EXISTS (SELECT 1 FROM slugs WHERE slug = bare AND len(ids) = 1) AS b, replace(full_, '/', '-') IN (SELECT id FROM note) AS f FROM c)
+SELECT key, 0 AS pos, CASE WHEN i % 11 = 0 OR i % 5 = 0 THEN 'See ' || bare || ' and x or N.' ELSE 'See ' || CASE WHEN b THEN '[[' || bare || ']]' ELSE bare END || ' and ' || CASE WHEN f THEN '[[' || full_ || '|x]]' ELSE 'x' END || ' or N.' END AS text, i % 11 = 0 OR i % 5 = 0 AS reverted FROM o
+UNION ALL SELECT key, 1, 'Plain claim ' || i || '.', i % 11 = 0 FROM o"""))
+def linked_claims(spark, d):
+    """Claims of every note with links that lead somewhere and links that do not, some rewritten, some with one version too many."""
+    n = vault.ids(vault.files(spark, d))
+    i = F.coalesce(F.regexp_extract("path", r"/x(\d+)/", 1).try_cast("long"), F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long"))
+    most = (table(spark, d, "documents").agg(F.max("doc_id")).first()[0] or 0) + 1
+    c = n.select(F.col("id").alias("key"), "dir", i.alias("i")).withColumn("bare", F.expr(f"concat('d', (7 * i + 1) % {most})")).withColumn("far", F.expr(f"concat(dir, '/d', (3 * i + 2) % {most})"))
+    plain = c.select("key", "dir", F.posexplode(F.array(F.concat(F.lit("See "), "bare", F.lit(" and x or N.")), F.format_string("Plain claim %d.", "i"))).alias("pos", "text"))
+    words = F.when(F.col("i") % 5 == 0, "Look at [[").otherwise("See [[")
+    first = F.concat(words, "bare", F.lit("]] and [["), "far", F.lit("|x]] or [[nope"), F.col("i").cast("string"), F.lit("|N]]."))
+    versions = F.array(first, F.format_string("Plain  claim %d.", "i"))
+    linked = c.select("key", F.posexplode(F.when(F.col("i") % 11 == 0, F.concat(versions, F.array(F.lit("One more.")))).otherwise(versions)).alias("pos", "text"))
+    got = checks.linked_claims(plain, linked, n)
+    # white space is no change of words; the version's own is kept
+    return got.select("key", "pos", T.normalize_ws(F.col("text")).alias("text"), "reverted")
+
+
+_REPLY = r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) run_id, seq, raw_output, list_filter(messages, lambda m: m.role = 'user')[1].content AS body FROM training_records WHERE task = 'extract'),
+k AS (SELECT * FROM r WHERE regexp_matches(raw_output, '"key_claims"\s*:\s*\['))
+"""
+
+
+def _extractions(spark, d):
+    from quillgraph.operators.extraction import extractions
+
+    r = table(spark, d, "training_records").where("task = 'extract' and raw_output is not null").dropDuplicates(["run_id", "seq"])
+    body = F.get(F.filter("messages", lambda m: m["role"] == "user"), 0)["content"]
+    ex = extractions(r.select("run_id", "seq", body.alias("body"), "raw_output"))
+    return ex.where(F.size("claims") > 0)
+
+
+@query(_REPLY + r""", e AS (SELECT run_id, seq, unnest(regexp_extract_all(raw_output, '\{\s*"name"\s*:\s*"(?:[^"\\]|\\.)*"\s*[,}][^{}]*')) AS o FROM k WHERE regexp_matches(raw_output, '\{\s*"text"\s*:\s*"(?:[^"\\]|\\.)*"\s*[,}]'))
+SELECT run_id, seq, json(regexp_extract(o, '"name"\s*:\s*("(?:[^"\\]|\\.)*")', 1)) ->> '$' AS name, coalesce(json(nullif(regexp_extract(o, '"kind"\s*:\s*("(?:[^"\\]|\\.)*")\s*(?:[,}]|$)', 1), '')) ->> '$', '') AS kind FROM e""")
+def entities_flat(spark, d):
+    """Every entity of every extraction, whatever the shape it came in."""
+    e = _extractions(spark, d).select("run_id", "seq", F.explode("entities").alias("e"))
+    return e.select("run_id", "seq", "e.name", "e.kind")
+
+
+@query(_REPLY + r""", q AS (SELECT run_id, seq, body, unnest(regexp_extract_all(regexp_extract(raw_output, '"quotes"\s*:\s*\[((?s:.*?))(?:\]\s*,\s*"entities"|\z)', 1), '\{\s*"text"\s*:\s*("(?:[^"\\]|\\.)*")\s*[,}]', 1)) AS t FROM k)
+SELECT run_id, seq, count(*) FILTER (WHERE contains(trim(regexp_replace(body, '\s+', ' ', 'g')), trim(regexp_replace(json(t) ->> '$', '\s+', ' ', 'g')))) AS kept, count(*) AS quotes FROM q GROUP BY ALL""")
+def quotes_verbatim(spark, d):
+    """Of each extraction's quotes, how many stand in what was read; found as they stand there."""
+    from quillgraph.operators.extraction import verbatim_quotes
+
+    ex = _extractions(spark, d).where(F.size("quotes") > 0).withColumn("key", F.concat_ws(":", "run_id", F.col("seq").cast("string")))
+    got = verbatim_quotes(ex, "key", "body", "quotes").select("key", F.size("quotes").cast("long").alias("kept"), (F.size("quotes") + F.size("dropped")).cast("long").alias("quotes"))
+    return ex.select("key", "run_id", "seq").join(got, "key").select("run_id", "seq", "kept", "quotes")
+
+
+@query(_REPLY + r""", c AS (SELECT run_id, seq, regexp_extract_all(regexp_extract(raw_output, '"key_claims"\s*:\s*\[((?s:.*?))(?:\]\s*,\s*"quotes"|\z)', 1), '\{\s*"text"\s*:\s*("(?:[^"\\]|\\.)*")\s*[,}]', 1) AS l,
+  regexp_extract(raw_output, '"tags"\s*:\s*\[([^\]]*)(?:\]|\z)', 1) AS t, regexp_matches(raw_output, '"tags"\s*:\s*\[[^\]]*\]') AS closed FROM k),
+n AS (SELECT run_id, seq, len(list_distinct(list_filter(list_transform(l, lambda x: lower(trim(regexp_replace(json(x) ->> '$', '\s+', ' ', 'g')))), lambda x: strlen(x) >= 15))) AS claims,
+  len(list_distinct(list_filter(list_transform(regexp_extract_all(t || CASE WHEN closed THEN ',' ELSE '' END, '"((?:[^"\\]|\\.)*)"\s*,', 1), lambda x: lower(replace(trim(x), ' ', '-'))), lambda x: x <> ''))) AS tags FROM c)
+SELECT run_id, seq, least(claims, 12)::INT AS claims, least(tags, 6)::INT AS tags FROM n WHERE claims > 0""")
+def extractions_validated(spark, d):
+    """Extractions held to all rules: the number of sound claims and tags of each."""
+    from quillgraph.operators.extraction import validated
+
+    ex = _extractions(spark, d).withColumn("key", F.concat_ws(":", "run_id", F.col("seq").cast("string")))
+    got = validated(ex, "key", "body", F.lit("capture"), vault.current_notes(spark, d).select("slug"))
+    return got.select("run_id", "seq", F.size("claims").alias("claims"), F.size("tags").alias("tags"))
+
+
+@query("SELECT rel_path, synced_at, strlen(body_text) AS bytes, true AS fits FROM resources WHERE trim(coalesce(body_text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def chunk_totals(spark, d):
+    """Nothing of a body is lost or too long when it is cut into chunks."""
+    from quillgraph.functions.markup import chunked
+
+    r = table(spark, d, "resources").where(F.trim(F.regexp_replace(F.coalesce("body_text", F.lit("")), r"[\t\n\r]", " ")) != "")
+    c = chunked(r, "body_text").withColumn("b", F.octet_length("chunk_text"))
+    per = c.groupBy("_row", "rel_path", "synced_at").agg(F.sum("b").alias("bytes"), (F.max("b") <= 28_000).alias("fits"))
+    return per.select("rel_path", "synced_at", F.col("bytes").cast("long").alias("bytes"), "fits")
+
+
 @query(rf"""WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
 SELECT query, id, round(1 - round(list_cosine_similarity(q.v, e.v), 6), 6) AS distance FROM q JOIN e ON q.query <> e.id WHERE round(1 - round(list_cosine_similarity(q.v, e.v), 6), 6) < 0.7
 QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_cosine_similarity(q.v, e.v), 6) DESC, id) <= 3""")

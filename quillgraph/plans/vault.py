@@ -69,16 +69,12 @@ def edges(n: DataFrame, among: DataFrame | None = None) -> DataFrame:
     )
 
 
-def current_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest row of each note of the notes table; repeated rows count once."""
+def current_notes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The latest row of each note of the notes table, without its text and vector unless asked for; repeated rows count once."""
     raw = table(spark, sf_dir, "notes").where("id is not null")
-    last = raw.groupBy("id").agg(F.max(F.struct("synced_at", F.xxhash64("title", "kind", "status", "updated", "tags", "body_hash").alias("h"))).alias("m"))
-    h = F.xxhash64("title", "kind", "status", "updated", "tags", "body_hash")
-    return (
-        raw.withColumn("h", h).join(last.select(F.col("id").alias("_id"), "m"), (F.col("id") == F.col("_id")) & F.col("synced_at").eqNullSafe(F.col("m.synced_at")) & (F.col("h") == F.col("m.h")))
-        .drop("_id", "m", "h")
-        .dropDuplicates(["id"])
-    )
+    cols = [c for c in raw.columns if c not in ("id", "synced_at", "body_text", "embedding", "frontmatter_json") or c in more]
+    last = raw.groupBy("id").agg(F.max(F.struct("synced_at", *cols)).alias("m"))
+    return last.select("id", "m.*")
 
 
 #: The same notes, links and edges in SQL.

@@ -448,10 +448,119 @@ def test_ask_and_distill(spark):
     assert got["citations"] == ["a"] and got["notes_considered"] == 2 and got["contradictions"] == [("a", "b")] and [r["parsed_ok"] for r in t.records] == [False, True, True]
     none = ask.ask("zzz", notes, e, ask.Recorded(Scripted({"decompose": ["{}"]})))
     assert none["abstained"] and none["notes_considered"] == 0
-    pages = spark.createDataFrame([("s", "T", "## Summary\nS.\n\n## Key claims\n- one [[a|x]]\n", [("source_refs", "r")]), ("t", "T", "", [])], "id string, title string, body_text string, fields array<struct<field: string, value: string>>")
-    m = distill.mined(pages, spark.createDataFrame([("r", "raw")], "rel_path string, body_text string"))
-    assert {(r.key, r.skip_reason) for r in m.collect()} == {("s", None), ("t", "no_source_ref")}
-    assert distill.pairs(m).first().target == '{"summary":"S.","key_claims":["one x"]}'
+    pages = spark.createDataFrame([("s", "T", "## Summary\nS.\n\n## Key claims\n- one [[a|x]]\n", [("source_refs", "r.md")]), ("t", "T", "", [])], "id string, title string, body_text string, fields array<struct<field: string, value: string>>")
+    m = distill.mined(pages, spark.createDataFrame([("r.md", "raw")], "rel_path string, body_text string"))
+    assert {(r.key, r.skip_reason) for r in m.collect()} == {("s", None), ("t", "not_one_source_ref")}
+    import json
+
+    got = json.loads(distill.pairs(m).first().target)
+    assert got["summary"] == "S." and got["key_claims"] == [{"text": "one x", "entities": ["x"]}] and got["suggested_slug"] == "s"
+
+
+def test_distill_reasons_gold_links_and_runs(spark, tmp_path):
+    import json
+
+    page = lambda claims="- one [[concepts/fox|Fox]] [[b]]\n- two\n": f"## Summary\n\nS  s.\n\n## Key claims\n\n{claims}\n## Quotes\n\n> \"red  fox\" — p1\n\n> \"never said\"\n\n## Contradictions\n\n- with [[old]]\n\n## Cross-references\n\n- [[b]]\n"
+    refs = lambda *r: [("source_refs", x) for x in r]
+    rows = [
+        ("ok", page(), refs("r.md")), ("none", page(), []), ("two", page(), refs("r.md", "e.md")), ("missing", page(), refs("zz.md")), ("bin", page(), refs("r.pdf")), ("empty", page(), refs("e.md")),
+        ("long", page(), refs("l.md")), ("unread", page(), refs("n.md")), ("bare", "text", refs("r.md")), ("noclaims", page("text\n"), refs("r.md")), ("gone", None, refs("r.md")),
+    ]
+    shape = "id string, body_text string, fields array<struct<field: string, value: string>>"
+    pages = spark.createDataFrame(rows, shape).withColumns({"title": F.col("id"), "slug": F.col("id"), "frontmatter_json": F.lit('{"title": "T", "tags": ["t"], "author": "A"}'), "path": F.concat(F.lit("wiki/sources/"), "id", F.lit(".md")), "kind": F.lit("source")})
+    res = spark.createDataFrame([("r.md", "R", None, "the red\nfox"), ("e.md", "E", None, " \n"), ("l.md", "L", None, "x" * 28_001), ("n.md", "N", None, None), ("r.pdf", "P", None, "x")], "rel_path string, title string, url string, body_text string")
+    notes = spark.createDataFrame([("concepts-fox", "wiki/concepts/fox.md", "Fox", "concept"), ("b", "wiki/b.md", "B", None), ("c", "wiki/c.md", "C", "x")], "id string, path string, title string, kind string")
+    cand = spark.createDataFrame([("ok", "c", 1), ("ok", "b", 2)], "id string, candidate string, rank int")
+    m = {(r.task, r.key): r for r in distill.mined(pages, res, {"concepts": "concept"}, cand, notes).collect()}
+    why = {k: r.skip_reason for (t, k), r in m.items() if t == "extract"}
+    assert why == {"ok": None, "none": "not_one_source_ref", "two": "not_one_source_ref", "missing": "resource_missing_or_not_markdown", "bin": "resource_missing_or_not_markdown", "empty": "resource_empty", "long": "resource_too_long", "unread": "resource_unreadable", "bare": "sections_missing", "noclaims": "sections_missing", "gone": "page_unreadable"}
+    ex = json.loads(m["extract", "ok"].target)
+    assert ex["quotes"] == [{"text": "red\nfox", "location": "p1"}] and ex["entities"] == [{"name": "Fox", "kind": "concept", "blurb": ""}] and ex["summary"] == "S s." and ex["author"] == "A" and ex["tags"] == ["t"] and ex["publisher"] is None
+    links = m["suggest_links", "ok"]
+    assert links.prompt.endswith("Candidates:\n- c — C (x)\n- b — B ()\n- concepts/fox — Fox (concept)") and links.prompt.startswith("1. one Fox b\n2. two\n")
+    assert json.loads(links.target)["cross_references"] == ["b"] and json.loads(links.target)["linked_claims"][0] == "one [[concepts/fox|Fox]] [[b]]"
+    # runs
+    (tmp_path / "runs").mkdir()
+    w = lambda path, seq, kind="created", head=None: {"rel_path": path, "kind": kind, "section_heading": head, "content_hash": "h", "seq": seq}
+    man = {"run_id": "r1", "created": "c", "raw_rel_path": "r.md", "raw_body_hash": "h", "provider": "p", "model": "m", "writes": [w("wiki/sources/ok.md", 1), w("wiki/concepts/n.md", 2), w("wiki/concepts/u.md", 3, "appended", "## T (2025 ingest)"), w("wiki/concepts/u.md", 9, "appended", "## Gone (2025 ingest)")]}
+    (tmp_path / "runs/r1.meta.json").write_text(json.dumps(man, indent=1))
+    (tmp_path / "runs/r2.meta.json").write_text(json.dumps({**man, "run_id": "r2", "writes": [w("wiki/sources/zz.md", 1)]}))
+    (tmp_path / "runs/bad.meta.json").write_text("{")
+    call = lambda run, seq, task, out="{}", ok=True: json.dumps({"run_id": run, "seq": seq, "task": task, "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": f"ask {task}"}], "raw_output": out, "parsed_ok": ok})
+    found = '{"findings": [{"page_id": "old", "existing_text": "e", "new_claim": "n", "explanation": "x"}, {"page_id": "other"}]}'
+    lines = [call("r1", 1, "extract"), call("r1", 5, "extract"), call("r1", 2, "suggest_links"), call("r1", 3, "page_update"), call("r1", 9, "page_update"), call("r1", 4, "page_update", ok=False), call("r1", 6, "contradiction", found), call("r1", 7, "contradiction", '{"findings": []}'), call("r1", 8, "extract_chunk"), call("r2", 1, "extract"), call("r2", 2, "contradiction", found), "no json"]
+    (tmp_path / "runs/all.jsonl").write_text("\n".join(lines))
+    rec, wr = distill.read_runs(spark, f"{tmp_path}/runs"), distill.read_manifests(spark, f"{tmp_path}/runs")
+    assert rec.count() == 11 and wr.count() == 5
+    more = spark.createDataFrame([("n", "N", "concept", "x", "wiki/concepts/n.md"), ("u", "U", "concept", "a\n## T (2025 ingest)\n\nnew text\n\n## Next\nz", "wiki/concepts/u.md")], "id string, title string, kind string, body_text string, path string").withColumns({"slug": F.col("id"), "frontmatter_json": F.lit(None).cast("string")})
+    now = pages.where("id = 'ok'").select(more.columns).unionByName(more)
+    got = distill.mined_from_runs(rec, wr, now, res, {"concepts": "concept"}).collect()
+    by = {(r.task, r.key): r for r in got}
+    assert sorted((r.task, r.skip_reason or "") for r in got) == sorted([("extract", ""), ("extract", "no_page_written"), ("extract", "page_deleted"), ("extract", "chunk_of_an_extraction"), ("suggest_links", ""), ("page_update", ""), ("page_update", "section_removed"), ("contradiction", ""), ("contradiction", ""), ("contradiction", "page_deleted")])
+    assert json.loads(by["page_update", "wiki/concepts/u.md### T (2025 ingest)"].target) == {"topic": "T", "section_md": "new text", "relevant": True}
+    plan = json.loads(by["suggest_links", "ok"].target)
+    assert plan["update_targets"] == ["concepts/u"] and [p["slug"] for p in plan["new_pages"]] == ["n"]
+    assert [f["page_id"] for f in json.loads(by["contradiction", "r1:6"].target)["findings"]] == ["old"] and json.loads(by["contradiction", "r1:7"].target) == {"findings": []}
+    assert [r.n for r in distill.histogram(distill.mined(pages, res)).where("outcome = 'emitted'").collect()] == [1]
+
+
+def test_eval_sources(spark, tmp_path):
+    (tmp_path / "log").write_text("[1] OK a.md 12s\n[2] FAIL b.md 3s\nnoise\n=== TEACHER ===\n[1] OK a.md 4s\n[2] OK b.md 6s\n=== TEACHER ===\n[3] OK c.md 20s\n")
+    got = {r.side: (r.ok, r["fail"], r.seconds_avg) for r in distill.log_metrics(distill.read_run_log(spark, f"file:{tmp_path}/log")).collect()}
+    assert got == {"student": (2, 1, 16.0), "teacher": (2, 0, 5.0)}
+    (tmp_path / "rep").mkdir()
+    (tmp_path / "rep/a.json").write_text('{"run_id": "r", "raw_path": "p", "pages_created": ["x"], "pages_updated": [], "contradictions": [], "warnings": ["dropped junk claim a", "odd", "slug malformed slug x"]}')
+    (tmp_path / "rep/b.json").write_text("{")
+    sums, w = checks.report_metrics(distill.read_reports(spark, f"{tmp_path}/rep"))
+    assert (sums.first().reports, sums.first().pages_created) == (1, 1) and {(r.bucket, r.n) for r in w.collect()} == {("junk claim dropped", 1), ("other", 1), ("malformed slug", 1)}
+    pages = spark.createDataFrame([("## Key claims\n- a [[x]] [[y]]\n- b\n\n## Quotes\n> q\n",), ("none",)], "body_text string")
+    assert tuple(checks.page_metrics(pages).first()) == (2, 1.0, 0.5, 2)
+    side = checks.compared(sums, sums.withColumn("reports", F.lit(5)))
+    assert {r.metric: (r.student, r.teacher) for r in side.collect()}["reports"] == ("1", "5")
+
+
+def test_facade_by_meaning(spark, tmp_path):
+    from quillgraph.api import VaultView
+
+    class Busy(Exception):
+        status = 503
+
+    class Short:
+        dim = 8
+
+        def embed(self, text):
+            if len(text) > 1500:
+                raise Busy
+            return ask.HashingEmbedder(8).embed(text)
+
+    assert len(ask.Capped(Short(), 7000).embed("word " * 2000)) == 8
+    with pytest.raises(Busy):
+        ask.Capped(Short(), 7000, least=2000).embed("word " * 2000)
+    assert ask.Capped(ask.HashingEmbedder(8), instruction="find").embed_query("x") == ask.HashingEmbedder(8).embed("Instruct: find\nQuery: x")
+    cfg = config.parse('[embeddings]\nenabled = true\nprovider = "hash"\ndim = 8\n').embeddings
+    with pytest.raises(ValueError):
+        ask.make_provider(cfg, {"hash": lambda c: ask.HashingEmbedder(9)})
+    provider = ask.make_provider(cfg, {"hash": lambda c: ask.HashingEmbedder(c.dim)})
+    root, vcfg = tmp_path / "v", config.parse(CFG)
+    write(root, FILES)
+    store = SnapshotStore(spark, f"file:{tmp_path}/s")
+    S.sync(spark, str(root), vcfg, store)
+    n = store.current("notes").withColumns({"embedding": F.lit(None).cast("array<float>"), "embedded_hash": F.lit(None).cast("string")})
+    store.publish({"notes": ask.embed_missing(n, lambda: ask.HashingEmbedder(8))})
+    t = ask.Recorded(Scripted({"decompose": ['{"subquestions": ["twin alpha"]}'], "synthesize": ['{"answer": "Yes.", "citations": ["concepts-beta"]}']}))
+    v = VaultView(spark, store, vcfg, provider, t)
+    assert v.semantic_search("Back to alpha").first().id == "concepts-beta" and v.hybrid("twin").count() >= 2 and v.search("twin").count() >= 2
+    near = {r.id: r.linked for r in v.similar_notes("beta", 10).collect()}
+    assert "concepts-beta" not in near and len(near) == 3 and near["concepts-alpha"] and v.similar_notes("beta", 10, True).where("linked").count() == 0
+    assert v.similarity(3, -1).count() >= 4 and v.similarity(3, -1, True).where("linked").count() == 0
+    got = v.ask("what?")
+    assert got["citations"] == ["concepts-beta"] and got["notes_considered"] == 4
+    assert v.markdown("beta", str(root)).startswith("---\ntitle: Beta") and v.expand(["concepts-beta"]).count() == 3
+    assert {r.id for r in v.lineage_both("concepts-beta")["down"].collect()} >= {"concepts-alpha"} and [r.tag for r in v.tags().collect()] == ["t"]
+    cand = ask.candidate_pages(["alpha text", "the twin"], ["Beta"], v.notes, 3, provider, v.index)
+    assert cand.count() == 3 and cand.columns == ["id", "title", "kind", "score"]
+    with pytest.raises(ValueError):
+        VaultView(spark, store, vcfg).semantic_search("x")
 
 
 def test_embed_missing(spark):
