@@ -609,15 +609,16 @@ def pair_dedup(spark, d):
 
 
 @query("""WITH r AS (SELECT DISTINCT ON (run_id, seq) run_id, seq, task, parsed_ok FROM training_records ORDER BY run_id, seq, recorded_at DESC),
-p AS (SELECT DISTINCT regexp_extract(key, '^(run-.*):\\d+$', 1) AS run_id, regexp_extract(key, ':(\\d+)$', 1)::BIGINT AS seq, pair_id FROM sft_pairs WHERE origin = 'run' AND regexp_matches(key, '^run-.*:\\d+$'))
-SELECT run_id, seq, task, pair_id FROM r JOIN p USING (run_id, seq) WHERE parsed_ok""")
+w AS (SELECT run_id, max(seq) AS seq, 'wiki/sources/' || run_id || '.md' AS path FROM training_records GROUP BY run_id UNION SELECT run_id, min(seq), 'wiki/concepts/' || run_id || '.md' FROM training_records GROUP BY run_id)
+SELECT run_id, seq, task, path FROM r JOIN w USING (run_id, seq) WHERE parsed_ok""")
 def accepted_runs(spark, d):
-    """Recorded calls whose output became a pair."""
+    """Recorded calls that wrote a page, each run's first and last call standing for those that did."""
     r = table(spark, d, "training_records").select("run_id", "seq", "task", "parsed_ok", "recorded_at")
     last = r.groupBy("run_id", "seq").agg(F.max_by(F.struct("task", "parsed_ok"), "recorded_at").alias("l")).select("run_id", "seq", "l.*")
-    p = table(spark, d, "sft_pairs").where("origin = 'run'").where(F.col("key").rlike(r"^run-.*:\d+$"))
-    w = p.select(F.regexp_extract("key", r"^(run-.*):\d+$", 1).alias("run_id"), F.regexp_extract("key", r":(\d+)$", 1).cast("long").alias("seq"), "pair_id").distinct()
-    return checks.accepted_runs(last, w).select("run_id", "seq", "task", "pair_id")
+    ends = r.groupBy("run_id").agg(F.max("seq").alias("a"), F.min("seq").alias("b"))
+    path = lambda folder: F.concat(F.lit(f"wiki/{folder}/"), "run_id", F.lit(".md")).alias("path")
+    w = ends.select("run_id", F.col("a").alias("seq"), path("sources")).unionByName(ends.select("run_id", F.col("b").alias("seq"), path("concepts")))
+    return checks.accepted_runs(last, w).select("run_id", "seq", "task", "path")
 
 
 _SECTION = r"regexp_extract(text, '(?m)^## {0}[ \t\r]*\n((?s:.*?))(?:^## |\z)', 1)"
