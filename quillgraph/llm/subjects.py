@@ -58,22 +58,32 @@ _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _CITED = re.compile(r"\[\[?[^\[\]\n]*\]\]?(?:\([^()\n]*\))?")
 _URL = re.compile(r"(?:https?://|www\.)\S+")
 _INVISIBLE = re.compile("[​-‏‪-‮⁠-⁤﻿­]")
-_END = re.compile(r"(?<=[.!?…。！？])[\"”»’)]*\s+(?=\S)")
+_END = re.compile(r"[.!?…。！？][\"”»’)]*\s+(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
+_BLOCK = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)+|(?:\r\n|\n|\r)(?=[ \t]*(?:[-*+#>]|\d{1,3}[.)])[ \t])")
 _MARK = re.compile(r"^[\s>*+-]*(?:\d{1,3}[.)]\s+)?")
 
 
 def sentence_words(text: str) -> list[list[str]]:
     """The words of each sentence of a text, without its page furniture."""
-    t = _INVISIBLE.sub("", text)
-    t = _FENCE.sub("\n", _FRONT.sub("", t))
+    # each rule is asked for only where a sign of it is there
+    t = text if text.isascii() else _INVISIBLE.sub("", text)
+    t = _FRONT.sub("", t) if "---" in t else t
+    t = _FENCE.sub("\n", t) if "```" in t else t
     out = []
-    for block in re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)+|(?:\r\n|\n|\r)(?=[ \t]*(?:[-*+#>]|\d{1,3}[.)])[ \t])", t):
-        if block.lstrip().startswith("#") or "|" in block and block.count("|") >= 2:
+    for block in _BLOCK.split(t) if "\n" in t or "\r" in t else [t]:
+        if block.lstrip().startswith("#") or block.count("|") >= 2:
             continue
-        line = _CITED.sub(" ", _URL.sub(" ", _MARK.sub("", re.sub(r"\s+", " ", block))))
-        for s in _END.split(line.strip()):
-            s = s.strip()
+        line = " ".join(block.split())
+        if line and not line[0].isalpha():
+            line = _MARK.sub("", line)
+        if "http" in line or "www." in line:
+            line = _URL.sub(" ", line)
+        if "[" in line:
+            line = _CITED.sub(" ", line)
+        line, at = line.strip(), 0
+        for end in (*((m.start() + 1, m.end()) for m in _END.finditer(line)), (len(line), 0)):
+            s, at = line[at : end[0]].strip(), end[1]
             # furniture is short or does not end as a sentence does
             if s and s.rstrip("\"”»’)* ")[-1:] in ".!?…。！？":
                 words = _WORD.findall(s)
