@@ -70,6 +70,10 @@ def same_enough(a: list, b: list, least: float = LEAST) -> bool:
         return False
     if a == b:
         return True
+    # no more words in common in any order than distinct ones and repetitions allow
+    x, y = set(a), set(b)
+    if len(x & y) + min(len(a) - len(x), len(b) - len(y)) < least * longer:
+        return False
     return longest_common(a, b) >= least * longer
 
 
