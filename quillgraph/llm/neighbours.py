@@ -26,7 +26,6 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -271,13 +270,13 @@ def _visit_batches(model: Quantiser):
 def _search(model: Quantiser, rerank: int):
     """One block of queries against the code blocks of the cells it visits."""
 
-    def run(key: tuple, queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    def run(queries: pa.Table, blocks: pa.Table) -> pa.Table:
         if not len(queries) or not len(blocks):
-            return pd.DataFrame({"q": pd.Series([], dtype="int64"), "c": pd.Series([], dtype="int64")})
-        q = np.frombuffer(b"".join(queries["x"]), np.float32).reshape(len(queries), -1)
-        qid = queries["c"].to_numpy()
+            return pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
+        q = np.frombuffer(b"".join(queries.column("x").to_pylist()), np.float32).reshape(len(queries), -1)
+        qid = queries.column("c").to_numpy()
         stored = []
-        for cs, codes, norms in zip(blocks["cs"], blocks["codes"], blocks["norms"]):
+        for cs, codes, norms in zip(*(blocks.column(n).to_pylist() for n in ("cs", "codes", "norms"))):
             cs = np.frombuffer(cs, np.int64)
             codes = np.frombuffer(codes, np.uint8).reshape(len(cs), -1)
             scale = 1 / (FIXED * np.maximum(np.frombuffer(norms, np.float32), 1e-6))
@@ -297,19 +296,19 @@ def _search(model: Quantiser, rerank: int):
             other = own[at] != c
             out_q.append(own[at[other]])
             out_c.append(c[other])
-        return pd.DataFrame({"q": np.concatenate(out_q), "c": np.concatenate(out_c)})
+        return pa.table({"q": np.concatenate(out_q).astype(np.int64), "c": np.concatenate(out_c).astype(np.int64)})
 
     return run
 
 
-def _pack_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(
+def _pack_blocks(t: pa.Table) -> pa.Table:
+    return pa.table(
         {
-            "cell": [int(pdf["cell"].iloc[0])],
-            "sub": [int(pdf["sub"].iloc[0])],
-            "cs": [pdf["c"].to_numpy().astype(np.int64).tobytes()],
-            "codes": [b"".join(pdf["codes"])],
-            "norms": [pdf["norm"].to_numpy().astype(np.float32).tobytes()],
+            "cell": t.column("cell")[:1],
+            "sub": t.column("sub")[:1],
+            "cs": pa.array([t.column("c").to_numpy().astype(np.int64).tobytes()], pa.binary()),
+            "codes": pa.array([b"".join(t.column("codes").to_pylist())], pa.binary()),
+            "norms": pa.array([t.column("norm").to_numpy().astype(np.float32).tobytes()], pa.binary()),
         }
     )
 
@@ -347,7 +346,7 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = K, dim: int = DIM, re
         )
         size = scratch.keep(coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("subs")))
         placed = coded.join(size, "cell").withColumn("sub", F.pmod(F.xxhash64("c"), F.col("subs")).cast("int"))
-        blocks = placed.groupBy("cell", "sub").applyInPandas(_pack_blocks, "cell long, sub int, cs binary, codes binary, norms binary")
+        blocks = placed.groupBy("cell", "sub").applyInArrow(_pack_blocks, "cell long, sub int, cs binary, codes binary, norms binary")
         # what one block of queries visits is dealt to as many tasks as keep each below SHARE_CODES codes
         tasks = max(1, -(-total * model.visits // len(model) // SHARE_CODES))
         visits = spread(size.select("cell")).mapInArrow(_visit_batches(model), "qcell long, cell long")
@@ -363,7 +362,7 @@ def nearest(vectors: DataFrame, scratch: Scratch, k: int = K, dim: int = DIM, re
         met = (
             queries.groupBy("qcell", "qsub", "task")
             .cogroup(sent.groupBy("qcell", "qsub", "task"))
-            .applyInPandas(_search(model, rerank), "q long, c long")
+            .applyInArrow(_search(model, rerank), "q long, c long")
         )
         vec = coded.select("c", "x")
         exact = (
