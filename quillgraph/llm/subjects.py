@@ -23,9 +23,9 @@ are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +60,7 @@ _URL = re.compile(r"(?:https?://|www\.)\S+")
 _INVISIBLE = re.compile("[​-‏‪-‮⁠-⁤﻿­]")
 _END = re.compile(r"[.!?…。！？][\"”»’)]*\s+(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
-_BLOCK = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)+|(?:\r\n|\n|\r)(?=[ \t]*(?:[-*+#>]|\d{1,3}[.)])[ \t])")
+_BLOCK = re.compile(r"\n(?:[ \t]*\n+|(?=[ \t]*(?:[-*+#>]|\d{1,3}[.)])[ \t]))")
 _MARK = re.compile(r"^[\s>*+-]*(?:\d{1,3}[.)]\s+)?")
 
 
@@ -68,10 +68,11 @@ def sentence_words(text: str) -> list[list[str]]:
     """The words of each sentence of a text, without its page furniture."""
     # each rule is asked for only where a sign of it is there
     t = text if text.isascii() else _INVISIBLE.sub("", text)
+    t = t.replace("\r\n", "\n").replace("\r", "\n") if "\r" in t else t
     t = _FRONT.sub("", t) if "---" in t else t
     t = _FENCE.sub("\n", t) if "```" in t else t
     out = []
-    for block in _BLOCK.split(t) if "\n" in t or "\r" in t else [t]:
+    for block in _BLOCK.split(t) if "\n" in t else [t]:
         if block.lstrip().startswith("#") or block.count("|") >= 2:
             continue
         line = " ".join(block.split())
@@ -135,16 +136,13 @@ class Terms:
 
 def language_of(sentences: list[list[str]], given: str | None, memo: dict) -> str:
     """The language whose function words prevail, else what is given."""
-    n = dict.fromkeys(("en", "de", "fr", "es"), 0)
     if len(memo) > 200_000:
         memo.clear()
-    for words in sentences:
-        for w in words:
-            if w not in memo:
-                memo[w] = _ONE.get(w.lower())
-        for l in map(memo.get, words):
-            if l:
-                n[l] += 1
+    flat = [w for words in sentences for w in words]
+    for w in set(flat).difference(memo):
+        memo[w] = _ONE.get(w.lower())
+    seen = Counter(map(memo.get, flat))
+    n = {l: seen[l] for l in ("en", "de", "fr", "es")}
     (a, x), (_, y) = sorted(n.items(), key=lambda p: -p[1])[:2]
     if x >= 2 and x >= 2 * y:
         return a
@@ -254,16 +252,16 @@ def _power_batches(basis: np.ndarray, idf: np.ndarray):
 def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
     """Element-wise sums of float64 blobs by block, in two steps so that no task holds all of them."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(t: pa.Table) -> pa.Table:
         total = None
-        for p in pdf["part"]:
-            x = np.frombuffer(p)
-            total = x.copy() if total is None else total + x
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [total.tobytes()]})
+        for p in t.column("part"):
+            x = np.frombuffer(p.as_buffer())
+            total = x.copy() if total is None else np.add(total, x, out=total)
+        return pa.table({"block": t.column("block")[:1], "part": pa.array([total.tobytes()], pa.binary())})
 
     shape = "block int, part binary"
-    first = parts.withColumn("salt", F.spark_partition_id() % 64).groupBy("block", "salt").applyInPandas(lambda p: add(p), shape)
-    return {r.block: np.frombuffer(bytes(r.part)) for r in first.groupBy("block").applyInPandas(lambda p: add(p), shape).collect()}
+    first = parts.withColumn("salt", F.spark_partition_id() % 64).groupBy("block", "salt").applyInArrow(lambda t: add(t), shape)
+    return {r.block: np.frombuffer(bytes(r.part)) for r in first.groupBy("block").applyInArrow(lambda t: add(t), shape).collect()}
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
