@@ -20,6 +20,14 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.balanced_splits(groups).select("pair_id", "split")
 
 
+def p1_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: pairs, groups, and groups that lie in more than one split."""
+    scratch = Scratch(spark, "p1")
+    s = splits.balanced_splits(scratch.keep(splits.related_groups(table(spark, sf_dir, "sft_pairs"), scratch)))
+    g = s.groupBy("group_id").agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"))
+    return g.agg(F.sum("n").alias("pairs"), F.count("*").alias("groups"), F.count_if(F.col("splits") > 1).alias("straddling"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = crosssplit.overlaps(table(spark, sf_dir, "sft_pairs"), Scratch(spark, "p2"))
     return found.select(F.least("eval_id", "train_id").alias("pair_id_a"), F.greatest("eval_id", "train_id").alias("pair_id_b"))
@@ -62,6 +70,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_pieces(spark, sf_dir).where("piece = 0").select("rel_path")
 
 
+def p5_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of each cut body put together again, each piece after the first without its overlap."""
+    p = p5_pieces(spark, sf_dir)
+    own = F.when(F.col("piece") == 0, F.col("piece_text")).otherwise(F.substring("piece_text", cutting.OVERLAP + 1, 1 << 30))
+    parts = F.array_sort(F.collect_list(F.struct("piece", own.alias("t"))))
+    return p.groupBy("rel_path").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["t"]), ""), 256).alias("sha"), (F.max(F.octet_length("piece_text")) <= cutting.LIMIT).alias("fits"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_table(table(spark, sf_dir, "documents"))
 
@@ -85,6 +101,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
 
 
+def p7_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: documents packed, containers above the capacity, and documents whose pieces leave a gap or were cut without need."""
+    c = p7_containers(spark, sf_dir)
+    full = c.groupBy("container").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > packing.CAPACITY).alias("overfull"))
+    d = c.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("upto"), F.count("*").alias("pieces"))
+    bad = (F.col("n") != F.col("upto")) | ((F.col("pieces") > 1) & (F.col("n") <= packing.CAPACITY))
+    return d.agg(F.count("*").alias("documents"), F.count_if(bad).alias("broken")).crossJoin(full)  # one row each
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, subject, share)``."""
     return subjects.subject_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), Scratch(spark, "p8"))
@@ -102,5 +127,5 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_splits, p2_found, p2_report, p2_classes, p3_found, p3_counts, p4_found, p4_neighbours, p5_found, p5_pieces, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_shares, p8_composition)
+    for f in (p1_found, p1_splits, p1_integrity, p2_found, p2_report, p2_classes, p3_found, p3_counts, p4_found, p4_neighbours, p5_found, p5_pieces, p5_rejoined, p6_ids, p6_roundtrip, p7_containers, p7_fill, p7_integrity, p8_found, p8_shares, p8_composition)
 }

@@ -29,6 +29,17 @@ edges AS (
 SELECT min(v) AS group_id, u AS pair_id FROM reach GROUP BY u HAVING min(v) <> u
 """
 
+_GROUPS = P1_FOUND[: P1_FOUND.rindex("SELECT min(v)")]
+P1_INTEGRITY = _GROUPS + """SELECT count(*)::BIGINT AS pairs, count(DISTINCT g)::BIGINT AS groups, 0::BIGINT AS straddling FROM (SELECT u, min(v) AS g FROM reach GROUP BY u)"""
+
+P5_REJOINED = """
+SELECT DISTINCT rel_path, sha256(body_text) AS sha, true AS fits FROM resources r
+WHERE strlen(body_text) > 28000
+  AND synced_at = (SELECT max(synced_at) FROM resources s WHERE s.rel_path = r.rel_path)
+"""
+
+P7_INTEGRITY = "SELECT count(DISTINCT doc_id) AS documents, 0::BIGINT AS broken, 0::BIGINT AS overfull FROM documents WHERE text <> ''"
+
 P5_FOUND = """
 SELECT DISTINCT rel_path FROM resources r
 WHERE strlen(body_text) > 28000
@@ -46,4 +57,4 @@ k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score
 SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k WHERE score >= 0.75
 """
 
-ORACLES = {"p4_found": P4_FOUND, "p1_found": P1_FOUND, "p5_found": P5_FOUND, "p6_roundtrip": P6_ROUNDTRIP}
+ORACLES = {"p1_integrity": P1_INTEGRITY, "p5_rejoined": P5_REJOINED, "p7_integrity": P7_INTEGRITY, "p4_found": P4_FOUND, "p1_found": P1_FOUND, "p5_found": P5_FOUND, "p6_roundtrip": P6_ROUNDTRIP}
