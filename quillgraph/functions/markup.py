@@ -505,3 +505,24 @@ def chunked(rows: DataFrame, column: str, cap: int = 28_000) -> DataFrame:
     at = dict(rows.dtypes)["synced_at"]
     source = rows.select("rel_path", "synced_at", column, F.monotonically_increasing_id().alias("_row"))
     return spread(source).mapInArrow(run, f"rel_path string, synced_at {at}, chunk int, chunk_text string, _row long")
+
+
+def edited(files: DataFrame, lists: dict[str, str], scalars: dict[str, str]) -> DataFrame:
+    """``(rel_path, text)`` of files with items added to frontmatter lists and scalars set; files without frontmatter are left out."""
+
+    def run(batches):
+        for b in batches:
+            paths, out = [], []
+            for path, text in zip(b.column("rel_path").to_pylist(), b.column("text").to_pylist()):
+                try:
+                    for k, v in lists.items():
+                        text = add_list_item(text, k, v)
+                    for k, v in scalars.items():
+                        text = set_scalar(text, k, v)
+                except ValueError:
+                    continue
+                paths.append(path)
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(out, pa.string())], names=["rel_path", "text"])
+
+    return files.where("rel_path is not null and text is not null").select("rel_path", "text").mapInArrow(run, "rel_path string, text string")

@@ -81,6 +81,18 @@ def cited(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return c.join(evidence.select("id").distinct(), "id", "left_semi").select("answer_id", "pos", "id")
 
 
+def worth_training(answers: DataFrame, probe: Column) -> DataFrame:
+    """Answers to train on: those that say something and cite it, and abstentions where the question was a probe, one that
+    the notes cannot answer."""
+    abstained = F.coalesce("abstained", F.lit(False))
+    return answers.where((~abstained & (F.size("citations") > 0)) | (abstained & probe))
+
+
+def question_counts(answers: DataFrame, probe: Column) -> DataFrame:
+    """``(probe, n, abstained)``: real questions and probes, and how many of each were left unanswered."""
+    return answers.groupBy(probe.alias("probe")).agg(F.count("*").alias("n"), F.count_if(F.coalesce("abstained", F.lit(False))).alias("abstained"))
+
+
 def accepted_runs(records: DataFrame, writes: DataFrame) -> DataFrame:
     """Records ``(run_id, seq, ...)`` that were parsed and whose output was written: a write with their (run_id, seq).
 

@@ -92,6 +92,13 @@ def similarity_pairs(spark, d):
     return search.similarity_pairs(_knn(spark, d), None, 0.3)
 
 
+@query("WITH x AS (SELECT 1)" + _COS + ", f AS (SELECT vec_id FROM embeddings WHERE label IN (0, 1, 2, 3)) SELECT least(query, id) AS a, greatest(query, id) AS b, max(score) AS score, false AS linked FROM knn WHERE score >= 0.3 AND query IN (SELECT vec_id FROM f) AND id IN (SELECT vec_id FROM f) GROUP BY ALL")
+def similarity_filtered(spark, d):
+    """Pairs of which a facet filter leaves both ends."""
+    shown = table(spark, d, "embeddings").where("label in (0, 1, 2, 3)").select(F.col("vec_id").alias("id"))
+    return search.similarity_pairs(_knn(spark, d), None, 0.3, among=shown)
+
+
 @query(_BM25.rstrip() + _COS.replace("a.id % 20 = 0", "a.id = 0").replace("rank <= 5", "rank <= 20") + """,
 legs AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT * FROM bm ORDER BY score DESC, id LIMIT 20)
   UNION ALL SELECT id, rank - 1 FROM knn)
@@ -451,10 +458,38 @@ def communities(spark, d):
     return graph.communities(e, Scratch(spark, "communities"))
 
 
-@query()
+_KINDS = ("note", "clip", "source_page", "answer", "transcript")
+
+
+@query(_vault(f""", masked AS (SELECT r.src, r.target, r.outcome FROM (SELECT DISTINCT src, target, outcome FROM resolved) r JOIN note ON note.id = r.src WHERE i % 8 = 0 AND r.target = 'd' || ((i + 1) % n))
+SELECT src AS id, outcome || '_link' AS rule, target AS detail FROM ((SELECT src, target, outcome FROM resolved) EXCEPT ALL (SELECT * FROM masked)) WHERE outcome <> 'resolved'
+UNION ALL SELECT id, 'unknown_kind', dir FROM note WHERE i % 17 <> 0 AND dir NOT IN {_KINDS}
+UNION ALL SELECT id, 'missing_field', 'updated' FROM note WHERE i % 17 <> 0 AND dir = 'source_page' AND updated IS NULL
+UNION ALL SELECT id, 'missing_field', 'source_refs' FROM note WHERE i % 17 <> 0 AND dir = 'source_page' AND i % 2 <> 0"""))
 def diagnostics(spark, d):
     n = _notes(spark, d, "links", "kind", "frontmatter_json")
-    return checks.diagnostics(n, ("note", "clip", "source_page", "answer", "transcript"), {"source_page": ("updated", "source_refs")})
+    return checks.diagnostics(n, _KINDS, {"source_page": ("updated", "source_refs")})
+
+
+@query(_vault("SELECT src, count(*) AS edits FROM (SELECT src, target FROM resolved WHERE dst = (SELECT id FROM note WHERE slug = 'd1') EXCEPT ALL SELECT id, 'd' || ((i + 1) % n) FROM note WHERE i % 8 = 0 AND (i + 1) % n = 1) GROUP BY src UNION ALL SELECT id, -1 FROM note WHERE slug = 'd1'"))
+def rename(spark, d):
+    """The edits that renaming one note makes in each file; -1 stands for the file's own move."""
+    n = _notes(spark, d, "links")
+    target = n.where("slug = 'd1'").select("id").first()
+    plan = R.rename_plan(n, target.id if target else "", "renamed")
+    ok = F.col("replacement").rlike(r"^\[\[renamed[#|\]]|^\[\[[^\]]*/renamed[#|\]]")
+    edits = plan.where(F.col("start").isNotNull() & ok).groupBy("src").agg(F.count("*").alias("edits"))
+    return edits.unionByName(plan.where("start is null and replacement like '%/renamed.md'").select("src", F.lit(-1).cast("long").alias("edits")))
+
+
+@query(_vault("SELECT id, 3 AS tags, 'done' AS status FROM note"))
+def frontmatter_edits(spark, d):
+    """Every file with a tag added, twice, and its status set, parsed again."""
+    from quillgraph.functions.markup import edited, parsed_notes
+
+    f = edited(edited(spread(vault.files(spark, d)), {"tags": "added"}, {}), {"tags": "added"}, {"status": "done"})
+    p = parsed_notes(f, inline=False, want=("tags", "status"))
+    return p.select(T.note_id(F.col("path")).alias("id"), F.size("tags").alias("tags"), "status")
 
 
 @query(_vault("SELECT id, CASE WHEN len(ids) = 1 OR len(list_filter(ids, lambda x: starts_with(x, 'note-'))) = 1 AND starts_with(id, 'note-') THEN note.slug ELSE id END AS insert FROM note JOIN slugs ON slugs.slug = note.slug WHERE contains(id, 't1') ORDER BY id LIMIT 200"))
@@ -522,6 +557,18 @@ def cdc_diff(spark, d):
     return changes(old, new, "doc_id", "h")
 
 
+@query("""WITH old AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), new AS (SELECT doc_id, 'new' AS h FROM documents WHERE kind = 'clip' UNION ALL SELECT -1 - doc_id, 'added' FROM documents WHERE kind = 'answer')
+SELECT * FROM (SELECT * FROM new UNION ALL SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE kind = 'log')""")
+def upsert_merge(spark, d):
+    """A table with changed, added and deleted rows laid over it."""
+    from quillgraph.sources.snapshot import upsert
+
+    docs = table(spark, d, "documents")
+    old = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    new = docs.where("kind = 'clip'").select("doc_id", F.lit("new").alias("h")).unionByName(docs.where("kind = 'answer'").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("added").alias("h")))
+    return upsert(old, new, "doc_id", docs.where("kind = 'log'"))
+
+
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def upsert_latest(spark, d):
     from quillgraph.streaming.sync import last_events
@@ -570,18 +617,21 @@ def eval_metrics(spark, d):
     return checks.run_metrics(table(spark, d, "training_records"))
 
 
-@query("SELECT task, sum(CASE WHEN provider = 'local' THEN 1 ELSE 0 END)::BIGINT AS local_calls, count(*) - sum(CASE WHEN provider = 'local' THEN 1 ELSE 0 END)::BIGINT AS other_calls FROM training_records GROUP BY task")
+@query("""WITH m AS (SELECT s.side = 0 AS local, count(run_id) AS calls, count(*) FILTER (WHERE run_id IS NOT NULL AND parsed_ok IS NOT TRUE) AS failed, count(DISTINCT run_id) AS runs
+  FROM (VALUES (0), (1)) s(side) LEFT JOIN training_records r ON (provider IS NOT DISTINCT FROM 'ollama') = (s.side = 0) GROUP BY s.side)
+SELECT metric, max(v) FILTER (WHERE local) AS local, max(v) FILTER (WHERE NOT local) AS other FROM (SELECT local, unnest(['calls', 'failed', 'runs']) AS metric, unnest([calls, failed, runs])::VARCHAR AS v FROM m) GROUP BY metric""")
 def eval_compare(spark, d):
-    side = F.when(F.col("provider") == "local", "local_calls").otherwise("other_calls")
-    r = table(spark, d, "training_records").withColumn("s", side).groupBy("task").pivot("s", ["local_calls", "other_calls"]).count()
-    return r.na.fill(0, ["local_calls", "other_calls"])
+    """The metrics of local models beside those of all others."""
+    r = table(spark, d, "training_records")
+    one = lambda df: df.agg(F.count("*").alias("calls"), F.count_if(~F.coalesce("parsed_ok", F.lit(False))).alias("failed"), F.countDistinct("run_id").alias("runs"))
+    local = F.col("provider").eqNullSafe("ollama")
+    return checks.compared(one(r.where(local)), one(r.where(~local)), ("local", "other"))
 
 
 @query("SELECT DISTINCT answer_id FROM answers WHERE (abstained IS NOT TRUE AND len(citations) > 0) OR (abstained AND answer_id % 10 = 0)")
 def training_filter(spark, d):
     a = table(spark, d, "answers")
-    keep = (~F.coalesce("abstained", F.lit(False)) & (F.size("citations") > 0)) | (F.coalesce("abstained", F.lit(False)) & (F.col("answer_id") % 10 == 0))
-    return a.where(keep).select("answer_id").distinct()
+    return checks.worth_training(a, F.col("answer_id") % 10 == 0).select("answer_id").distinct()
 
 
 @query("WITH a AS (SELECT DISTINCT ON (answer_id) answer_id, citations, abstained FROM answers), c AS (SELECT answer_id, unnest(citations) AS id, generate_subscripts(citations, 1) - 1 AS pos FROM a WHERE abstained IS NOT TRUE) SELECT answer_id, pos::INT AS pos, id FROM c WHERE id IN (SELECT x FROM (SELECT unnest(citations) AS x FROM answers) WHERE x LIKE 'sources-%')")
@@ -838,7 +888,7 @@ def near_dup_vectors(spark, d):
 SELECT probe, count(*) AS n, count(*) FILTER (WHERE abstained) AS abstained FROM t GROUP BY probe""")
 def question_counts(spark, d):
     a = table(spark, d, "answers").dropDuplicates(["answer_id"])
-    return a.groupBy((F.col("answer_id") % 10 == 0).alias("probe")).agg(F.count("*").alias("n"), F.count_if(F.coalesce("abstained", F.lit(False))).alias("abstained"))
+    return checks.question_counts(a, F.col("answer_id") % 10 == 0)
 
 
 @query(_CUR + """, s AS (SELECT path, (row_number() OVER (ORDER BY sha256(path), path) - 1) AS n FROM c WHERE path IS NOT NULL) SELECT path, (n // 3)::INT AS batch FROM s""")
