@@ -618,13 +618,13 @@ def eval_metrics(spark, d):
 
 
 @query("""WITH m AS (SELECT s.side = 0 AS local, count(run_id) AS calls, count(*) FILTER (WHERE run_id IS NOT NULL AND parsed_ok IS NOT TRUE) AS failed, count(DISTINCT run_id) AS runs
-  FROM (VALUES (0), (1)) s(side) LEFT JOIN training_records r ON (provider IS NOT DISTINCT FROM 'ollama') = (s.side = 0) GROUP BY s.side)
+  FROM (VALUES (0), (1)) s(side) LEFT JOIN training_records r ON (provider IS NOT DISTINCT FROM 'omni-local') = (s.side = 0) GROUP BY s.side)
 SELECT metric, max(v) FILTER (WHERE local) AS local, max(v) FILTER (WHERE NOT local) AS other FROM (SELECT local, unnest(['calls', 'failed', 'runs']) AS metric, unnest([calls, failed, runs])::VARCHAR AS v FROM m) GROUP BY metric""")
 def eval_compare(spark, d):
     """The metrics of local models beside those of all others."""
     r = table(spark, d, "training_records")
     one = lambda df: df.agg(F.count("*").alias("calls"), F.count_if(~F.coalesce("parsed_ok", F.lit(False))).alias("failed"), F.countDistinct("run_id").alias("runs"))
-    local = F.col("provider").eqNullSafe("ollama")
+    local = F.col("provider").eqNullSafe("omni-local")
     return checks.compared(one(r.where(local)), one(r.where(~local)), ("local", "other"))
 
 
