@@ -155,6 +155,15 @@ def suspected_duplicates(spark, d):
     return suspected(search.bm25_batch(n.select("id", F.concat_ws(" ", "title", "body_text").alias("text")), q, 8), None, n)
 
 
+@query("WITH x AS (SELECT 1), " + _ranked_sql(f"SELECT doc_id AS id, {_TOK} AS w FROM documents", "SELECT subject AS query_id, array_to_string(terms, ' ') AS query FROM subjects") + " SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM m QUALIFY rank <= 6")
+def stored_search(spark, d):
+    """The six best documents for each subject's terms, over an index that is written and read back by the words' partitions."""
+    scratch = Scratch(spark, "index")
+    index = {n: scratch.keep(t, "bucket" if "bucket" in t.columns else None) for n, t in search.index_tables(table(spark, d, "documents"), "doc_id").items()}
+    q = table(spark, d, "subjects").select(F.col("subject").alias("query_id"), F.array_join("terms", " ").alias("query"))
+    return search.index_search(index, q, 6)
+
+
 @query("WITH x AS (SELECT 1)" + _COS.replace("a.id % 20 = 0", "a.id % 20 = 1").replace("ON a.id <> b.id", "ON true").replace("rank <= 5", "rank <= 10") + "SELECT query AS query_id, 'd' || id AS id, score, (row_number() OVER (PARTITION BY query ORDER BY score DESC, 'd' || id))::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, 'd' || id) AS k FROM sim) WHERE k <= 10")
 def semantic_search(spark, d):
     """The notes nearest to each question's vector."""
@@ -250,6 +259,61 @@ def recency(spark, d):
     return n.select("id", "updated", F.round(T.recency(F.col("updated"), F.lit(TODAY).cast("date")), 6).alias("fresh")).distinct()
 
 
+@query(r"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN updated WHEN 1 THEN NULL ELSE CASE WHEN regexp_matches(left(text, 10), '^\d{4}-\d{1,2}-\d{1,2}$') THEN try_cast(left(text, 10) AS DATE) END END AS day FROM documents")
+def lenient_dates(spark, d):
+    """Dates with more behind them, dates of another form, and texts."""
+    u = F.col("updated").cast("string")
+    value = F.when(F.col("doc_id") % 3 == 0, F.concat(u, F.lit("T10:00:00Z"))).when(F.col("doc_id") % 3 == 1, F.replace(u, F.lit("-"), F.lit("/"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", T.lenient_date(value).alias("day"))
+
+
+@query(r"""WITH b AS (SELECT doc_id, regexp_replace(replace(text, chr(13), ''), '\A---\n(?s:.*?\n)---(?:\n|\z)', '') AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(t, '(?ms)^```.*?(?:^```|\z)', '', 'g') AS t FROM b),
+h AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^ {0,3}(#{1,6})(?:[ \t][^\n]*)?$', 1)) AS m FROM c)
+SELECT doc_id, length(m)::INT AS level, count(*) AS n FROM h GROUP BY ALL""")
+def heading_outline(spark, d):
+    """Headings of each document by level, outside code."""
+    from quillgraph.functions.markup import parsed_notes
+
+    files = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("rel_path"), "text")
+    h = parsed_notes(spread(files), want=("headings",)).select(F.col("path").cast("long").alias("doc_id"), F.explode("headings").alias("h"))
+    return h.groupBy("doc_id", F.col("h.level").alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(_vault("SELECT id, count(*) AS n FROM note WHERE i % 8 = 0 GROUP BY id"))
+def masked_links(spark, d):
+    """Links that stand in code."""
+    n = vault.notes(spark, d, "links")
+    return n.select("id", F.explode("links").alias("l")).where("l.masked").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT DISTINCT path AS p FROM notes WHERE path IS NOT NULL UNION SELECT rel_path FROM resources WHERE rel_path IS NOT NULL UNION SELECT 'raw/x/' || doc_id || '.meta.md' FROM documents UNION SELECT 'wiki/.hidden/' || doc_id || '.txt' FROM documents)
+SELECT CASE WHEN p LIKE 'wiki/%' AND p LIKE '%.md' AND p NOT LIKE 'wiki/sources/%' THEN 'note' WHEN p LIKE 'raw/%' AND p NOT LIKE '%.meta.md' AND p NOT LIKE 'raw/research/%' THEN 'resource' ELSE 'none' END AS layer, count(*) AS n FROM p GROUP BY 1""")
+def scan_layers(spark, d):
+    """What a scan takes for a note or a resource."""
+    from quillgraph.sources import config, files
+
+    cfg = config.parse('[vault]\nnotes = ["wiki/**/*.md"]\nexclude = ["wiki/sources/**"]\n[resources]\npaths = ["raw/**/*"]\nexclude = ["raw/research/**"]\n')
+    docs = table(spark, d, "documents").select("doc_id")
+    p = table(spark, d, "notes").select(F.col("path").alias("p")).union(table(spark, d, "resources").select("rel_path"))
+    p = p.union(docs.select(F.format_string("raw/x/%d.meta.md", "doc_id"))).union(docs.select(F.format_string("wiki/.hidden/%d.txt", "doc_id"))).where("p is not null").distinct()
+    layer = F.when(files.is_note(F.col("p"), cfg), "note").when(files.is_resource(F.col("p"), cfg), "resource").otherwise("none")
+    return p.groupBy(layer.alias("layer")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT DISTINCT CASE WHEN length(rel_path) % 4 = 0 THEN rel_path ELSE regexp_replace(rel_path, '\\.md$', '.bin') END AS p FROM resources WHERE rel_path IS NOT NULL)
+SELECT p AS rel_path, CASE WHEN p LIKE '%.md' THEN p WHEN length(p) % 2 = 0 THEN regexp_replace(p, '\\.[^./]*$', '') || '.meta.md' WHEN length(p) % 3 = 0 THEN p || '.meta.md' END AS meta_path FROM r""")
+def meta_paths(spark, d):
+    """Where each resource's metadata stands: in itself, or in one of its two companions."""
+    from quillgraph.sources import files
+
+    n = F.length("rel_path")
+    r = table(spark, d, "resources").where("rel_path is not null").select(F.when(n % 4 == 0, F.col("rel_path")).otherwise(F.regexp_replace("rel_path", r"\.md$", ".bin")).alias("rel_path")).distinct()
+    stem = r.where(n % 2 == 0).select(F.concat(F.regexp_replace("rel_path", r"\.[^./]*$", ""), F.lit(".meta.md")).alias("rel_path"))
+    full = r.where(n % 3 == 0).select(F.concat("rel_path", F.lit(".meta.md")).alias("rel_path"))
+    return files.meta_paths(r, r.unionByName(stem).unionByName(full).distinct())
+
+
 # --- links and edges
 
 

@@ -74,11 +74,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.seq = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df and read it back."""
+    def keep(self, df: DataFrame, partition: str | None = None) -> DataFrame:
+        """Write df, partitioned by a column if given, and read it back."""
         self.seq += 1
         path = f"{self.root}/{self.seq}"
-        df.write.parquet(path)
+        (df.write.partitionBy(partition) if partition else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quill_path = path  # noqa: SLF001 - a tag for drop()
         return out
