@@ -31,6 +31,8 @@ LEAST = 0.65
 #: Common prefix tokens that a candidate must show (fewer where 65 % of a text are fewer). Any number is exact.
 COMMON = 40
 BUCKETS = 1 << 19
+#: A token in one of so many texts of a block is frequent there.
+DENSE = 8
 #: What a block holds at most, on average.
 BLOCK_TEXTS, BLOCK_WORDS = 8_192, 1 << 20
 #: Texts whose lengths differ by less than 65 % lie in the same or in neighbouring bands of this ratio.
@@ -190,13 +192,28 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
         owner = np.repeat(np.arange(len(cb), dtype=np.int32), np.diff(at_b))[order]
         known, start = np.unique(gb[order], return_index=True)
         stop = np.r_[start[1:], len(gb)]
+        # tokens of many texts as rows of ones and zeros, which add up faster than lists of their texts
+        often = np.flatnonzero(stop - start > len(cb) // DENSE)
+        row = np.full(len(known), -1)
+        row[often] = np.arange(len(often))
+        ones = np.zeros((len(often), len(cb)), np.uint16)
+        for r, k in enumerate(often):
+            np.add.at(ones[r], owner[start[k] : stop[k]], 1)
         where = np.minimum(np.searchsorted(known, ga), len(known) - 1)
         hit = known[where] == ga
+        least = need_b.min()
         for i in range(len(ca)):
             k = where[at_a[i] : at_a[i + 1]][hit[at_a[i] : at_a[i + 1]]]
             if len(k):
-                n = np.bincount(np.concatenate([owner[x:y] for x, y in zip(start[k], stop[k])]), minlength=len(cb))
-                j = np.flatnonzero((n >= np.minimum(need_a[i], need_b)) & (np.minimum(na[i], nb) >= LEAST * np.maximum(na[i], nb)) & (cb != ca[i]))
+                rows = row[k]
+                few = k[rows < 0]
+                n = np.bincount(np.concatenate([owner[x:y] for x, y in zip(start[few], stop[few])]), minlength=len(cb)) if len(few) else np.zeros(len(cb), np.int64)
+                if len(few) < len(k):
+                    n += ones[rows[rows >= 0]].sum(axis=0, dtype=np.uint16)
+                j = np.flatnonzero(n >= min(need_a[i], least))
+                if len(j):
+                    ok = (n[j] >= np.minimum(need_a[i], need_b[j])) & (np.minimum(na[i], nb[j]) >= LEAST * np.maximum(na[i], nb[j])) & (cb[j] != ca[i])
+                    j = j[ok]
                 if len(j):
                     found.append((np.full(len(j), ca[i]), cb[j]))
     a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
