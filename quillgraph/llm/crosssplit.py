@@ -66,17 +66,41 @@ def longest_common(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+class Sequence:
+    """A word sequence with what comparisons need of it."""
+
+    def __init__(self, words: list):
+        self.words, self.distinct, self.at = words, set(words), {}
+        for i, w in enumerate(words):
+            self.at[w] = self.at.get(w, 0) | 1 << i
+
+
 def same_enough(a: list, b: list, least: float = LEAST) -> bool:
-    longer = max(len(a), len(b))
-    if not a or not b or min(len(a), len(b)) < least * longer:
+    return alike(Sequence(a), Sequence(b), least)
+
+
+def alike(a: Sequence, b: Sequence, least: float = LEAST) -> bool:
+    """Whether the longest common subsequence has enough of the longer one's words."""
+    m, n = len(a.words), len(b.words)
+    longer = max(m, n)
+    if not m or not n or min(m, n) < least * longer:
         return False
-    if a == b:
+    if a.words == b.words:
         return True
     # no more words in common in any order than distinct ones and repetitions allow
-    x, y = set(a), set(b)
-    if len(x & y) + min(len(a) - len(x), len(b) - len(y)) < least * longer:
+    if len(a.distinct & b.distinct) + min(m - len(a.distinct), n - len(b.distinct)) < least * longer:
         return False
-    return longest_common(a, b) >= least * longer
+    get, full = a.at.get, (1 << m) - 1
+    row, left = full, n
+    for w in b.words:
+        hit = row & get(w, 0)
+        if hit:
+            row = (row + hit | row - hit) & full
+        left -= 1
+        # what is left cannot make up for what is missing
+        if not left & 15 and m - row.bit_count() + left < least * longer:
+            return False
+    return m - row.bit_count() >= least * longer
 
 
 def _norm_batches(batches):
@@ -221,9 +245,19 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _verify_batches(batches):
+    known: dict[str, Sequence] = {}
+
+    def of(text: str) -> Sequence:
+        got = known.get(text)
+        if got is None:
+            if len(known) >= 2048:
+                known.clear()
+            got = known[text] = Sequence(text.split(" "))
+        return got
+
     for b in batches:
         a, c = b.column("norm_a").to_pylist(), b.column("norm_b").to_pylist()
-        keep = pa.array([same_enough(x.split(" "), y.split(" ")) for x, y in zip(a, c)], pa.bool_())
+        keep = pa.array([alike(of(x), of(y)) for x, y in zip(a, c)], pa.bool_())
         yield b.select(["ca", "cb"]).filter(keep)
 
 
