@@ -278,6 +278,15 @@ def links_prompt(claims: list[str], candidates: list[tuple[str, str]], slug: str
 # --- pages and writes
 
 
+#: How a conflict, an ingest's heading and the lines of the log are worded.
+CONFLICT = '- Conflicts with [[{page_id}]]: it says "{existing_text}", this source claims "{new_claim}". {explanation}'
+FROM_INGEST = "## From ingest ({today})"
+LOG = {
+    "head": "## [{today}] ingest | {title}", "source": "- source: {0}", "created": "- source page created: {0}", "updated": "- pages updated: {0}", "new": "- pages created: {0}",
+    "against": "- contradictions raised: {0} ({1})", "near": "- near-duplicates flagged: {0}", "run": "- run: {0} (model {1})",
+}
+
+
 def _quoted(text: str) -> str:
     return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
@@ -300,7 +309,7 @@ def render_source(title: str, capture: str, today: date, ex: dict, references=()
         ("tags", f"[{', '.join(ex.get('tags') or [])}]"), ("contradicts", contradictions and f"[{', '.join(c['page_id'] for c in contradictions)}]"), ("owner", owner), ("ingested_by", model),
     ]
     said = lambda q: f'> "{q["text"].strip()}"' + (f" — {q['location'].strip()}" if (q.get("location") or "").strip() else "")
-    against = [f"- Conflicts with [[{c['page_id']}]]: it says \"{c['existing_text'].strip()}\", this source claims \"{c['new_claim'].strip()}\". {c['explanation'].strip()}" for c in contradictions]
+    against = [CONFLICT.format(**{k: str(c[k]).strip() for k in ("page_id", "existing_text", "new_claim", "explanation")}) for c in contradictions]
     return _page(head, [
         f"# {title}", f"## Summary\n\n{(ex.get('summary') or '').strip()}", _listed("Key claims", [f"- {c['text'].strip()}" for c in ex.get("claims") or []]),
         _listed("Quotes", [said(q) for q in ex.get("quotes") or []]), _listed("Contradictions", against), _listed("Cross-references", [f"- [[{r}]]" for r in references]),
@@ -310,20 +319,20 @@ def render_source(title: str, capture: str, today: date, ex: dict, references=()
 def render_new_page(spec: dict, claims: list[str], source_slug: str, today: date, owner: str = "", model: str = "") -> str:
     """A first page for a name: what it is, the claims that link to it, and where they come from."""
     head = [("title", _quoted(spec["title"])), ("kind", spec["kind"]), ("status", "draft"), ("updated", str(today)), ("tags", "[]"), ("owner", owner), ("ingested_by", model)]
-    body = [f"# {spec['title']}", (spec.get("blurb") or "").strip(), f"## From ingest ({today})", "\n".join(f"- {c}" for c in claims), f"Source: [[{source_slug}]]"]
+    body = [f"# {spec['title']}", (spec.get("blurb") or "").strip(), FROM_INGEST.format(today=today), "\n".join(f"- {c}" for c in claims), f"Source: [[{source_slug}]]"]
     return _page(head, body)
 
 
 def log_entry(today: date, title: str, report: Report, model: str = "") -> str:
     """What is appended to the log for a run."""
     names = lambda x: ", ".join(x) or "none"
+    near = [f"{d['id']} ({d['via']}, {d['score']:.2f})" for d in report.near_duplicates]
     lines = [
-        f"- source: {report.raw_path}", f"- source page created: {report.source_page or 'none'}", f"- pages updated: {names(report.pages_updated)}", f"- pages created: {names(report.pages_created)}",
-        report.contradictions and f"- contradictions raised: {len(report.contradictions)} ({'; '.join(c['page_id'] for c in report.contradictions)})",
-        report.near_duplicates and "- near-duplicates flagged: " + ", ".join(f"{d['id']} ({d['via']}, {d['score']:.2f})" for d in report.near_duplicates),
-        f"- run: {report.run_id} (model {model})",
+        LOG["source"].format(report.raw_path), LOG["created"].format(report.source_page or "none"), LOG["updated"].format(names(report.pages_updated)), LOG["new"].format(names(report.pages_created)),
+        report.contradictions and LOG["against"].format(len(report.contradictions), "; ".join(c["page_id"] for c in report.contradictions)),
+        near and LOG["near"].format(", ".join(near)), LOG["run"].format(report.run_id, model),
     ]
-    return f"\n## [{today}] ingest | {title}\n" + "\n".join(x for x in lines if x) + "\n"
+    return "\n" + "\n".join([LOG["head"].format(today=today, title=title), *(x for x in lines if x)]) + "\n"
 
 
 def update_section(topic: str, body: str, source: str, today: date, page: str) -> str:
