@@ -760,6 +760,20 @@ def mined_outcomes(spark, d):
     return histogram(mined(pages, raw, notes=notes))
 
 
+@query(rf"""WITH p AS (SELECT doc_id, trim(regexp_replace({_SECTION.format("Summary")}, '\s+', ' ', 'g')) AS summary, {_BULLETS} AS b FROM documents WHERE kind = 'source_page' AND text IS NOT NULL),
+g AS (SELECT doc_id, count(DISTINCT replace(lower(trim(split_part(split_part(l, '|', 1), '#', 1))), '/', '-')) AS gold FROM (SELECT doc_id, unnest(regexp_extract_all(array_to_string(b, chr(10)), '\[\[([^\]\n]*)\]\]', 1)) AS l FROM p) WHERE trim(split_part(split_part(l, '|', 1), '#', 1)) <> '' GROUP BY doc_id)
+SELECT doc_id, sha256(summary) AS summary, len(b)::INT AS claims, coalesce(gold, 0)::INT AS gold FROM p LEFT JOIN g USING (doc_id) WHERE summary <> '' AND len(b) > 0""")
+def reconstructed_pages(spark, d):
+    """The reply behind every accepted source page: its summary, its claims and the pages these link to."""
+    from quillgraph.operators.distill import reconstructed
+
+    p = table(spark, d, "documents").where("kind = 'source_page' and text is not null")
+    none = F.lit(None).cast("string")
+    p = p.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("slug"), F.col("text").alias("body_text"), none.alias("frontmatter_json"), F.lit("").alias("raw_text"))
+    r = reconstructed(p, {"concepts": "concept", "entities": "entity"})
+    return r.select(F.col("id").alias("doc_id"), F.sha2(F.get_json_object("extraction", "$.summary"), 256).alias("summary"), F.size("linked_claims").alias("claims"), F.size("gold").alias("gold"))
+
+
 @query(rf"""WITH p AS (SELECT len(list_filter(string_split({_SECTION.format("Key claims")}, chr(10)), lambda x: starts_with(x, '- '))) AS c, len(list_filter(string_split({_SECTION.format("Quotes")}, chr(10)), lambda x: starts_with(x, '> '))) AS q,
   list_sum(list_transform(list_filter(string_split({_SECTION.format("Key claims")}, chr(10)), lambda x: starts_with(x, '- ')), lambda x: len(regexp_extract_all(x, '\[\[')))) AS l FROM documents WHERE kind = 'source_page' AND text IS NOT NULL)
 SELECT count(*) AS pages, round(avg(c), 1) AS claims_avg, round(avg(q), 1) AS quotes_avg, coalesce(sum(l), 0)::BIGINT AS links_in_claims FROM p""")
@@ -879,6 +893,56 @@ def linked_claims(spark, d):
     return got.select("key", "pos", T.normalize_ws(F.col("text")).alias("text"), "reverted")
 
 
+@query(r"""WITH s AS (SELECT coalesce(source, 'none') AS run, doc_id AS pos, lower(trim(CASE doc_id % 4 WHEN 0 THEN 'd' || (doc_id // 2) WHEN 1 THEN 'Bad Slug!' ELSE ' D' || doc_id || '-x ' END)) AS slug, coalesce(kind, 'none') AS dir,
+  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'T' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN 'odd' ELSE 'concept' END AS kind FROM documents),
+v AS (SELECT *, dir || '-' || slug AS id FROM s WHERE regexp_matches(slug, '^[a-z0-9][a-z0-9-]{1,60}$') AND dir IN ('note', 'clip') AND dir || '-' || slug NOT IN (SELECT 'note-d' || doc_id FROM documents WHERE doc_id % 5 = 0)),
+f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY run, id ORDER BY pos) = 1)
+SELECT run, id, coalesce(title, replace(slug, '-', ' ')) AS title, CASE WHEN kind = 'concept' THEN kind WHEN dir = 'note' THEN 'concept' ELSE 'entity' END AS kind, (row_number() OVER (PARTITION BY run ORDER BY pos))::INT AS n FROM f QUALIFY n <= 6""")
+def new_pages(spark, d):
+    """Proposed pages with a sound slug, a known folder and a free id, six for each source at most."""
+    docs = table(spark, d, "documents")
+    i = F.col("doc_id")
+    slug = F.when(i % 4 == 0, F.concat(F.lit("d"), F.expr("doc_id div 2"))).when(i % 4 == 1, "Bad Slug!").otherwise(F.concat(F.lit(" D"), i, F.lit("-x ")))
+    specs = docs.select(
+        F.coalesce("source", F.lit("none")).alias("run"), i.alias("pos"), slug.alias("slug"), F.coalesce("kind", F.lit("none")).alias("dir"),
+        F.when(i % 3 == 0, " ").otherwise(F.concat(F.lit("T"), i)).alias("title"), F.when(i % 2 == 0, "odd").otherwise("concept").alias("kind"),
+    )
+    taken = docs.where("doc_id % 5 = 0").select(F.concat(F.lit("note-d"), i).alias("id"))
+    return checks.valid_new_pages(specs, {"note": "concept", "clip": "entity"}, taken, kinds=("concept", "entity")).select("run", "id", "title", "kind", "n")
+
+
+@query(_vault(""", p AS (SELECT a.id AS run, a.i, b.id AS page_id FROM note a LEFT JOIN note b ON b.slug = 'd' || ((7 * a.i + 1) % a.n)),
+h AS (SELECT run, i, page_id, 0 AS pos, page_id IS NOT NULL AS hit FROM p UNION ALL SELECT run, i, page_id, 1, i % 3 = 0 FROM p)
+SELECT run, coalesce(page_id, 'none') AS page_id, pos FROM h QUALIFY hit OR NOT bool_or(hit) OVER (PARTITION BY run)"""))
+def relevant_claims(spark, d):
+    """Of each note's two claims, those that link to a page or name it; both where neither does."""
+    from quillgraph.operators.ingest import relevant_claims as relevant
+
+    n = vault.ids(vault.files(spark, d))
+    most = (table(spark, d, "documents").agg(F.max("doc_id")).first()[0] or 0) + 1
+    i = F.coalesce(F.regexp_extract("path", r"/x(\d+)/", 1).try_cast("long"), F.regexp_extract("slug", r"^d(\d+)$", 1).try_cast("long"))
+    c = n.select(F.col("id").alias("run"), "dir", i.alias("i")).withColumn("to", F.expr(f"concat('d', (7 * i + 1) % {most})"))
+    claims = c.select("run", "dir", F.posexplode(F.array(F.concat(F.lit("See [["), "to", F.lit("]].")), F.lit("Plain."))).alias("pos", "text"))
+    pages = c.join(n.select(F.col("slug").alias("to"), F.col("id").alias("page_id")), "to", "left").select("run", F.coalesce("page_id", F.lit("none")).alias("page_id"), F.format_string("Page %d of many", "i").alias("title"))
+    names = c.select("run", F.lit(1).alias("pos"), F.when(F.col("i") % 3 == 0, F.format_string("PAGE %d", "i")).otherwise("zz").alias("name"))
+    return relevant(claims, names, pages, n).select("run", "page_id", "pos")
+
+
+@query(_CUR + r""", f AS (SELECT id, body_text, title, substring(trim(regexp_replace(body_text, '\s+', ' ', 'g')), 5, 30) AS part, length(id) AS k FROM c WHERE title IS NOT NULL)
+SELECT id FROM f WHERE trim(part) <> '' AND k % 3 <> 0 AND k % 4 <> 0""")
+def contradiction_gate(spark, d):
+    """Findings that quote their page, white space aside, and one of the claims, whatever the case."""
+    from quillgraph.operators.ingest import valid_contradictions
+
+    n = vault.current_notes(spark, d, "title", "body_text").where("title is not null").select("id", "title", "body_text", F.length("id").alias("k"))
+    part = F.substring(T.normalize_ws(F.col("body_text")), 5, 30)
+    found = n.select(
+        F.col("id").alias("run"), F.col("id").alias("page_id"), F.when(F.col("k") % 3 == 0, F.concat(part, F.lit(" not said"))).otherwise(F.concat(F.lit(" \n"), F.replace(part, F.lit(" "), F.lit(" \t ")))).alias("existing_text"),
+        F.when(F.col("k") % 4 == 0, F.concat("title", F.lit(" not claimed"))).otherwise(F.concat(F.lit("  "), F.upper("title"))).alias("new_claim"),
+    )
+    return valid_contradictions(found, n, n.select(F.col("id").alias("run"), F.col("title").alias("text"))).select(F.col("run").alias("id"))
+
+
 _REPLY = r"""WITH r AS (SELECT DISTINCT ON (run_id, seq) run_id, seq, raw_output, list_filter(messages, lambda m: m.role = 'user')[1].content AS body FROM training_records WHERE task = 'extract'),
 k AS (SELECT * FROM r WHERE regexp_matches(raw_output, '"key_claims"\s*:\s*\['))
 """
