@@ -80,9 +80,10 @@ def _scatter(pairs: DataFrame, by_head: bool, n: int) -> DataFrame:
     return pairs.select(*(("h", "t") if packed else ("head", "tail"))).mapInArrow(run, _PART)
 
 
-def _gather(parts: DataFrame) -> DataFrame:
-    """A block of each bucket, every pair once, by head and tail: distinct heads, where the tails of each end, and
-    these as places among the distinct tails."""
+def _gather(pairs: DataFrame, by_head: bool, n: int) -> DataFrame:
+    """The pairs as n blocks by head or tail, each pair once, by head and tail: distinct heads, where the tails of each end,
+    and these as places among the distinct tails. Tasks are several to a block and not merged, so that most blocks
+    lie in files of their own and are read apart."""
 
     def run(t: pa.Table) -> pa.Table:
         h = np.concatenate([_full(x.as_py()) for x in t["h"]])
@@ -94,7 +95,7 @@ def _gather(parts: DataFrame) -> DataFrame:
         ends = np.cumsum(np.bincount(key >> 32, minlength=len(heads)))
         return pa.Table.from_batches([_batch(_BLOCK, [t["b"][0].as_py()], [_thin(heads)], [_thin(ends)], [_thin(key & 0xFFFFFFFF, False)], [_thin(tails)])])
 
-    return parts.groupBy("b").applyInArrow(run, _BLOCK)
+    return _scatter(pairs, by_head, n).repartition(3 * n, "b").groupBy("b").applyInArrow(run, _BLOCK)
 
 
 def _open(row: dict) -> tuple[np.ndarray, ...]:
@@ -242,14 +243,14 @@ def lineage(layers: list[tuple[str, str, DataFrame]], roots: DataFrame, root_typ
         steps += [(a, None, odd, odd_n)] if odd_n else []
     start = whole(roots, "key").where("key is not null").select(F.col("key").alias("head"), F.col("key").alias("tail"))
     count = start.count()
-    at = {root_type: scratch.keep(_gather(_scatter(start, True, _blocks(scratch.spark, count, PAIRS))))} if count else {}
+    at = {root_type: scratch.keep(_gather(start, True, _blocks(scratch.spark, count, PAIRS)))} if count else {}
     out = []
     most = min(max(depth, 1), 5)
     for d in range(1, most + 1):
         ways = [s for s in steps if s[0] in at]
         reached = {}
         for a, b, e, n in ways:
-            edges = scratch.keep(_gather(_scatter(e, False, -(-n // EDGES))))
+            edges = scratch.keep(_gather(e, False, -(-n // EDGES)))
             if d == most and sum(w[1] == b for w in ways) == 1:
                 out.append(_unfolded(_step(at[a], edges, _LISTS, _ids(f"{root_type}:", b and f"{b}:")), d))
             else:
@@ -260,7 +261,7 @@ def lineage(layers: list[tuple[str, str, DataFrame]], roots: DataFrame, root_typ
             found = reduce(DataFrame.unionByName, parts)
             count = found.agg(F.sum("n")).first()[0]
             if count:
-                at[b] = scratch.keep(_gather(_scatter(found, True, _blocks(scratch.spark, count, PAIRS))))
+                at[b] = scratch.keep(_gather(found, True, _blocks(scratch.spark, count, PAIRS)))
             for p in parts:
                 scratch.drop(p)
         for b in at:
